@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factloom.llm import near_dup, trie_bpe
-from factloom.llm.common import table
+from factloom.llm import lang_id, near_dup, trie_bpe
+from factloom.llm.common import crc_bucket, table
 
 
 def vocabulary(name: str) -> str:
@@ -15,6 +15,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; rows whose crc32 leaves 2 by 4 are held out of the fit."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_bucket("doc_id", 4) == 2, F.lit(False))
+    model = lang_id.fit(docs.where(~held_out), vocabulary("piece_bpe_32k.model"))
+    return lang_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count, digest of the ids and digest of the decoded text of every document."""
     out = trie_bpe.encode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
@@ -26,5 +34,5 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, threshold=(85, 100))
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op5_near_dup": op5_near_dup}
+QUERIES = {"op1_lang_id": op1_lang_id, "op4_bpe": op4_bpe, "op5_near_dup": op5_near_dup}
 ORACLES: dict[str, str] = {}
