@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from factloom.llm import q_licenses, q_quality, q_records, q_text
+from factloom.llm import q_licenses, q_passages, q_quality, q_records, q_text
 
-MODULES = [q_text, q_records, q_quality, q_licenses]
+MODULES = [q_text, q_records, q_quality, q_licenses, q_passages]
 
 
 def queries() -> dict:
