@@ -24,8 +24,15 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return dict(_ORACLES)
+
+
+def load() -> None:
+    """Import every module that registers queries."""
+    from factloom.plans import q_relational, q_warehouse  # noqa: F401

@@ -29,7 +29,7 @@ def _plain(v):
         return str([_plain(x) for x in v.values()])
     if isinstance(v, int):
         return str(v)
-    return str(v.isoformat(sep=" ") if hasattr(v, "isoformat") else v)
+    return str(v)
 
 
 def compare(spark, con, sf_dir: str, query, sql: str) -> tuple[int, list, list]:
