@@ -2,7 +2,8 @@
 
 A byte goes if it is covered by a run of LENGTH bytes that also starts in a document with a smaller doc_id. Equal runs of
 LENGTH bytes hold the same smallest q-gram (their anchor), so anchors deal all runs into suffix buckets: what is shipped is
-each stretch of neighbouring runs with one anchor, once per batch of documents, under the batch's smallest doc_id for it. A
+each stretch of neighbouring runs with one anchor, once per batch of documents, under the batch's smallest doc_id for it;
+batches first announce their anchors, four bytes each, and ship only stretches whose anchor another document has too. A
 bucket then sorts the suffixes of its stretches one block at a time. A block is sorted by the first V bytes; suffixes that
 tie are told apart by ranks of the positions in a difference cover modulo V, precomputed for the bucket: for any two
 suffixes some shift below V brings both into the cover. Memory follows the size of a bucket, not of the ties. Neighbours in
@@ -112,13 +113,66 @@ def gather(text: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray
     return text[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + sizes, sizes)]
 
 
+def _buckets(anchors: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(anchors) % np.uint64(buckets)).astype(np.int64)
+
+
+def _marks(anchors: np.ndarray) -> np.ndarray:
+    """Four bytes that stand for an anchor within its bucket; two anchors of one mark only ship more than is needed."""
+    return (mix(anchors ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)).astype(np.uint32)
+
+
+def _announced(batch: Batch, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (bucket, mark) of a batch in order, and whether several of its documents hold it."""
+    key = _buckets(batch.anchor, buckets) << 32 | _marks(batch.anchor)
+    keys, of = np.unique(key, return_inverse=True)
+    low, high = np.full(len(keys), NO_DOC), np.full(len(keys), np.iinfo(np.int64).min)
+    np.minimum.at(low, of, batch.owner)
+    np.maximum.at(high, of, batch.owner)
+    return keys, low < high
+
+
+ANNOUNCED = "bucket int, batch long, marks binary, several binary"
+
+
+def _announce(table: pa.Table, buckets: int) -> pa.Table:
+    """What anchors a batch has, four bytes each."""
+    keys, several = _announced(Batch(table["doc_id"].to_pylist(), table["text_bytes"].to_pylist()), buckets)
+    cuts = np.flatnonzero(np.diff(keys >> 32, prepend=-1))
+    parts = list(zip(cuts, np.append(cuts[1:], len(keys)), strict=True))
+    columns = [pa.array([int(keys[a] >> 32) for a, _ in parts], pa.int32()), pa.array([table["batch"][0].as_py()] * len(parts), pa.int64()), pa.array([(keys[a:b] & 0xFFFFFFFF).astype(np.uint32).tobytes() for a, b in parts], pa.binary()), pa.array([np.packbits(several[a:b]).tobytes() for a, b in parts], pa.binary())]
+    return pa.table(columns, [c.split()[0] for c in ANNOUNCED.split(", ")])
+
+
+SHARED = "batch long, bucket int, shared binary"
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """Which of a batch's anchors, a bit each, another document holds too."""
+    marks = [np.frombuffer(x.as_buffer(), np.uint32) for x in table["marks"]]
+    several = np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=len(m)) for x, m in zip(table["several"], marks, strict=True)])
+    _, of, times = np.unique(np.concatenate(marks), return_inverse=True, return_counts=True)
+    often = times > 1
+    np.logical_or.at(often, of, several.astype(bool))
+    bits = np.split(often[of], np.cumsum([len(m) for m in marks])[:-1])
+    return pa.table([table["batch"], table["bucket"], pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())], ["batch", "bucket", "shared"])
+
+
 SHIPPED = "bucket int, batch long, numbers binary, docs binary, sizes binary, anchors binary, content binary"
 
 
-def _ship(table: pa.Table, buckets: int) -> pa.Table:
+def _ship(table: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
+    """A batch's distinct stretches whose anchor stands in another document too."""
     batch = Batch(table["doc_id"].to_pylist(), table["text_bytes"].to_pylist())
-    to = (mix(batch.anchor[batch.sample]) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
+    keys, _ = _announced(batch, buckets)
+    bits = dict(zip(replies["bucket"].to_pylist(), replies["shared"], strict=True))
+    cuts = np.append(np.flatnonzero(np.diff(keys >> 32, prepend=-1)), len(keys))
+    shared = [np.unpackbits(np.frombuffer(bits[int(keys[a] >> 32)].as_buffer(), np.uint8), count=b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    keys = keys[np.concatenate(shared).astype(bool)] if shared else keys
+    anchors = batch.anchor[batch.sample]
+    to = _buckets(anchors, buckets)
+    chosen = np.flatnonzero(np.isin(to << 32 | _marks(anchors), keys))
+    order = chosen[np.argsort(to[chosen], kind="stable")]
     cuts = np.flatnonzero(np.diff(to[order], prepend=-1))
     pack, rows = zstandard.ZstdCompressor(level=3), []
     for part in np.split(order, cuts[1:]) if len(order) else []:
@@ -309,7 +363,9 @@ def dedup(docs: DataFrame, text_too: bool = False) -> DataFrame:
     batches, buckets = 1 + size // BATCH_BYTES, 1 + size * 4 // BUCKET_BYTES  # stretches hold a byte 3.7 times over on average
     key = F.pmod(F.xxhash64("doc_id", "text_bytes"), F.lit(batches))
     dealt = docs.withColumn("batch", key).repartition(batches, "batch")
-    replies = dealt.groupBy("batch").applyInArrow(lambda t: _ship(t, buckets), SHIPPED).groupBy("bucket").applyInArrow(lambda t: _sources(t), "batch long, runs binary")
+    known = dealt.groupBy("batch").applyInArrow(lambda t: _announce(t, buckets), ANNOUNCED).groupBy("bucket").applyInArrow(lambda t: _shared(t), SHARED)
+    shipped = dealt.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(lambda a, b: _ship(a, b, buckets), SHIPPED)
+    replies = shipped.groupBy("bucket").applyInArrow(lambda t: _sources(t), "batch long, runs binary")
     rest = [c for c in docs.columns if c != "text_bytes"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest, "text_bytes").schema), "kept_bytes binary", "removed_spans array<struct<start:bigint,end:bigint>>", *["kept_text string"] * text_too])
     out = dealt.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(lambda a, b: _remove(a, b, [*rest, "text_bytes"], text_too), schema)

@@ -62,9 +62,12 @@ def test_small_blocks_and_pieces(monkeypatch, seed):
     rng = random.Random(seed)
     rows, buckets = rows_of(rng), rng.randint(1, 4)
     tables = [pa.table({"doc_id": pa.array([d for d, _ in part], pa.int64()), "text_bytes": pa.array([None if t is None else t.encode() for _, t in part], pa.binary()), "batch": pa.array([b] * len(part), pa.int64())}) for b in range(5) if (part := rows[b::5])]
-    shipped = pa.concat_tables([sd._ship(t, buckets) for t in tables])
-    replies = pa.concat_tables([sd._sources(shipped.filter(pa.compute.equal(shipped["bucket"], k))) for k in sorted(set(shipped["bucket"].to_pylist()))])
-    got = pa.concat_tables([sd._remove(t, replies.filter(pa.compute.equal(replies["batch"], t["batch"][0])), ["doc_id"]) for t in tables]).to_pylist()
+    where = lambda t, c, v: t.filter(pa.compute.equal(t[c], v))
+    grouped = lambda t, f: pa.concat_tables([f(where(t, "bucket", k)) for k in sorted(set(t["bucket"].to_pylist()))])
+    known = grouped(pa.concat_tables([sd._announce(t, buckets) for t in tables]), sd._shared)
+    shipped = pa.concat_tables([sd._ship(t, where(known, "batch", t["batch"][0]), buckets) for t in tables])
+    replies = grouped(shipped, sd._sources)
+    got = pa.concat_tables([sd._remove(t, where(replies, "batch", t["batch"][0]), ["doc_id"]) for t in tables]).to_pylist()
     assert sorted(((r["doc_id"], r["kept_bytes"], [(s["start"], s["end"]) for s in r["removed_spans"]]) for r in got), key=str) == brute(rows)
 
 
