@@ -64,7 +64,7 @@ def method_token(token: Column) -> Column:
 
 def word_at(line: Column, col0: Column) -> Column:
     """The word around a 0-based column."""
-    before = F.regexp_extract(F.substring(line, F.lit(1), col0), r"\w*$", 0)
+    before = F.regexp_extract(F.substring(line, F.lit(1), col0), r"\w*\z", 0)
     return F.concat(before, F.regexp_extract(line.substr(col0 + 1, F.length(line)), r"^\w*", 0))
 
 

@@ -137,12 +137,12 @@ def decode_left_join(spark: SparkSession, d: str) -> DataFrame:
     return facts.syms(spark, d).join(facts.files(spark, d).select("file_id", "path"), "file_id").join(container, "file_id", "left").select("file_id", "path", "key", "container_id")
 
 
-@register("two_phase_references", f"WITH {SYMS_SQL}, k AS (SELECT DISTINCT file_id FROM refs WHERE key = 'that') SELECT o.file_id, o.at, f.source FROM occ o JOIN k ON o.file_id = k.file_id JOIN files f ON o.file_id = f.file_id WHERE o.key = 'that'")
+@register("two_phase_references", f"WITH {SYMS_SQL}, k AS (SELECT DISTINCT file_id FROM refs WHERE key = 'that') SELECT o.file_id, o.pos, f.source FROM occ o JOIN k ON o.file_id = k.file_id JOIN files f ON o.file_id = f.file_id WHERE o.key = 'that'")
 def two_phase_references(spark: SparkSession, d: str) -> DataFrame:
     """Candidate files by the index, the exact matcher on the survivors."""
     key = spark.sql("SELECT 'that' AS key")
     files = R.candidates(facts.refs(spark, d), F.broadcast(key))
-    return facts.occurrences(spark, d).where("key = 'that'").join(files, "file_id", "left_semi").join(facts.files(spark, d).select("file_id", "source"), "file_id").select("file_id", "at", "source")
+    return facts.occurrences(spark, d).where("key = 'that'").join(files, "file_id", "left_semi").join(facts.files(spark, d).select("file_id", "source"), "file_id").select("file_id", "pos", "source")
 
 
 GEN = "SELECT c_nationkey AS path, o_orderkey AS generation, o_orderstatus AS map FROM orders JOIN customer ON o_custkey = c_custkey"

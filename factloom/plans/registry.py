@@ -35,4 +35,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Import every module that registers queries."""
-    from factloom.plans import q_evidence, q_graph, q_relational, q_spans, q_warehouse  # noqa: F401
+    from factloom.plans import q_evidence, q_graph, q_relational, q_reports, q_scalar, q_spans, q_verbs, q_warehouse  # noqa: F401

@@ -20,8 +20,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file_id, at (ordinal), key: every token of every document."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))).alias("at", "key"))
+    """file_id, pos (ordinal), key: every token of every document."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))).alias("pos", "key"))
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,15 +34,15 @@ def syms(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("lang") == "en", 1).when(F.col("lang") == "fr", 2).when(F.col("lang") == "de", 3).otherwise(4)
     flags = F.when((F.col("quality") == 1) & (F.col("source") == "workspace"), LINKAGE | EXPORTED).otherwise(LINKAGE)
     labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("file_id"), "quality")
-    first = occurrences(spark, sf_dir).join(labelled.select("file_id"), "file_id", "left_semi").groupBy("file_id", "key").agg(F.min("at").alias("start_at"))
+    first = occurrences(spark, sf_dir).join(labelled.select("file_id"), "file_id", "left_semi").groupBy("file_id", "key").agg(F.min("pos").alias("start_at"))
     return first.join(labelled, "file_id").join(files(spark, sf_dir), "file_id").select("file_id", "key", kind.alias("kind"), "start_at", flags.alias("flags"))
 
 
 #: SQL twins, as common table expressions.
 FILES_SQL = "files AS (SELECT doc_id AS file_id, 'doc/' || lang || '/' || doc_id AS path, CASE WHEN CAST(substr(source, 4) AS INT) < 10 THEN 'workspace' ELSE 'import' END AS source, lang FROM documents)"
-OCC_SQL = f"occ AS (SELECT file_id, unnest(range(len(l))) AS at, unnest(l) AS key FROM (SELECT doc_id AS file_id, regexp_extract_all(lower(text), '{TOKEN}') AS l FROM documents))"
+OCC_SQL = f"occ AS (SELECT file_id, unnest(range(len(l))) AS pos, unnest(l) AS key FROM (SELECT doc_id AS file_id, regexp_extract_all(lower(text), '{TOKEN}') AS l FROM documents))"
 REFS_SQL = f"{OCC_SQL}, refs AS (SELECT DISTINCT file_id, key FROM occ)"
 SYMS_SQL = f"""{FILES_SQL}, {REFS_SQL}, syms AS (
-  SELECT o.file_id, o.key, CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 2 WHEN 'de' THEN 3 ELSE 4 END AS kind, min(o.at) AS start_at,
+  SELECT o.file_id, o.key, CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 2 WHEN 'de' THEN 3 ELSE 4 END AS kind, min(o.pos) AS start_at,
     CASE WHEN quality = 1 AND files.source = 'workspace' THEN {LINKAGE | EXPORTED} ELSE {LINKAGE} END AS flags
   FROM occ o JOIN labels ON o.file_id = doc_id JOIN files ON o.file_id = files.file_id GROUP BY o.file_id, o.key, lang, quality, files.source)"""
