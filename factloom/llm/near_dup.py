@@ -1,10 +1,11 @@
 """MinHash near-duplicates with odd sketches.
 
-Documents with equal shingle sets collapse into one class before anything is paired. Classes meet in LSH bands; a
-candidate pair is first judged by its odd sketches (parity bitmaps of the MinHash samples, whose XOR population count
-estimates a high Jaccard similarity closely) and then confirmed on the full sets. A bucket of many classes is never
-expanded into all its pairs: its members are held against one hub at a time, which unites most of them, and only pairs
-that still lie in different components are compared at the end, so no link between different components is lost.
+Documents with equal shingle sets collapse into one class before anything is paired. Classes meet in LSH bands; each is
+paired with the first of its bucket only, and the pair is judged by odd sketches: parity bitmaps of the MinHash samples,
+whose XOR population count estimates a high Jaccard similarity closely. Pairs that may be somewhat alike tie classes into
+families. A family is cut into blocks of bounded size, and every two blocks meet in a task of their own: there the odd
+sketches pick the candidates of a class among those it isn't united with yet, the full sets confirm them, and a task
+returns links that span what it has found. So all pairs of a family are decided, and none is ever a row.
 
 Defined results: null or empty text has an empty set and is linked with nothing; fewer words than a shingle make one
 shingle of the whole text; repeated rows each get a row; a null doc_id is its own document, and reaches the smallest
@@ -21,14 +22,21 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from factloom.llm.common import BROADCAST_IDS, WordHashes, cut, mix, windows
+from factloom.llm.common import WordHashes, cut, mix, windows
 
 SKETCH_BITS = 512
-#: A pair goes on to the exact check while its estimate is above the threshold less this (six standard deviations at 100 samples).
-MARGIN = 0.2
-#: Buckets up to this many classes are compared pair by pair at once (15.5 pairs a member at most).
-SMALL_BUCKET = 32
-HUB_ROUNDS = 4
+#: A pair is confirmed on full sets while its estimate is above the threshold less this: five standard deviations at 160 samples.
+MARGIN = 0.15
+#: Classes belong to one family while their estimate is above the threshold less this. A link is lost only if a class this
+#: far from both its ends comes first in each of the buckets they share (14 of 32 on average at 0.85).
+FAMILY_MARGIN = 0.45
+#: Families are first made from this share of the bands; the rest pairs only classes that are still apart.
+FIRST_BANDS = 4
+#: Bytes of shingles in a block of a family, about.
+BLOCK_BYTES = 4 << 20
+EDGES_A_TASK = 200_000
+#: Classes of families (about 150 bytes each) up to which they are broadcast to the documents.
+BROADCAST_CLASSES = 50_000
 _WORDS = WordHashes()
 
 
@@ -82,21 +90,61 @@ def _sketches(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int)
             yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 512], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), listed(acc.view(np.int64)), listed(odd_sketch(sig))], ["doc_id", "n_shingles", "set_key", "bands", "sketch"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 128):
-            part = batch.slice(at, 128)
-            sets = [shingle_set(t, k) for t in part.column(1).to_pylist()]
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            values = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["node", "found_key", "shingles"])
+def estimates(sketch: np.ndarray, sketches: np.ndarray, samples: int) -> np.ndarray:
+    """Similarity of one odd sketch to each of several."""
+    differ = np.bitwise_count((sketches ^ sketch).view(np.uint64)).sum(axis=1, dtype=np.int64)  # of unsigned words: NumPy counts the bits of absolute values
+    return 1 + np.log(np.maximum(1 - 2 * differ / SKETCH_BITS, 1e-9)) * (SKETCH_BITS / (4 * samples))
+
+
+def _links(table: pa.Table, k: int, num: int, den: int, samples: int) -> pa.Table:
+    """Links (u, v) that span the components of two blocks (or one): texts of the classes of blocks lo and hi."""
+    seen: dict[int, tuple] = {}
+    rows = zip(*(table[c].to_pylist() for c in ("node", "block", "set_key", "text")), table["sketch"].to_pylist(), strict=True)
+    for node, block, key, text, sketch in rows:
+        s = shingle_set(text, k)
+        if node not in seen and xxhash.xxh3_128_digest(s.tobytes()) == key:  # else a row repeated, or another text under the doc_id
+            seen[node] = (block, s, sketch)
+    nodes = np.array(sorted(seen), np.int64)
+    lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
+    block = np.array([seen[n][0] for n in nodes.tolist()])
+    sets = [seen[n][1] for n in nodes.tolist()]
+    sketches = np.array([seen[n][2] for n in nodes.tolist()], np.int64).reshape(len(nodes), -1)
+    del seen
+    sizes = np.array([len(s) for s in sets], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    _, flat = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_inverse=True)
+    mark = np.zeros(len(flat) + 1, bool)
+    label = np.arange(len(nodes))
+    out = []
+    for x in np.flatnonzero(block == lo):
+        others = np.flatnonzero((block == hi) & (label != label[x]) if lo != hi else (np.arange(len(nodes)) > x) & (label != label[x]))
+        others = others[(np.minimum(sizes[others], sizes[x]) * den >= np.maximum(sizes[others], sizes[x]) * num)]  # a smaller set cannot hold enough
+        others = others[estimates(sketches[x], sketches[others], samples) >= num / den - MARGIN]
+        if not len(others):
+            continue
+        mine = flat[starts[x] : starts[x] + sizes[x]]
+        mark[mine] = True
+        if len(others) > 8:
+            common = np.add.reduceat(mark[flat], starts, dtype=np.int64)[others]
+        else:
+            common = np.array([mark[flat[starts[y] : starts[y] + sizes[y]]].sum() for y in others])
+        mark[mine] = False
+        for y in others[common * den >= (sizes[x] + sizes[others] - common) * num]:
+            if label[y] != label[x]:
+                out.append((nodes[x], nodes[y]))
+                label[label == label[y]] = label[x]
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node each node of the edges (u, v) reaches, by alternating large and small stars."""
+    """(node, label): the smallest node each node of the edges (u, v) reaches, by alternating large and small stars until only stars are left."""
     e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    mark = None
     while True:
+        e = e.coalesce(1 + e.count() // EDGES_A_TASK)
+        several = e.groupBy("u").count().where("count > 1")
+        if several.isEmpty() and e.join(e.select(F.col("v").alias("w")), F.col("u") == F.col("w"), "left_semi").isEmpty():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
@@ -104,29 +152,38 @@ def components(edges: DataFrame) -> DataFrame:
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
         e = cut(small.where("u <> v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
-        mark = tuple(now)
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int, samples: int) -> DataFrame:
-    """Pairs (u, v) of classes whose full sets meet the threshold."""
-    side = lambda x: classes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
+def _families(classes: DataFrame, bands: int, num: int, den: int, samples: int) -> DataFrame:
+    """(node, label): families of classes that share buckets with a hub that is somewhat alike."""
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"))
     differ = sum((F.bit_count(F.col("su")[i].bitwiseXOR(F.col("sv")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    share = 1 - 2 * F.col("differ") / F.lit(float(SKETCH_BITS))
+    share = 1 - 2 * differ / F.lit(float(SKETCH_BITS))
     estimate = F.when(share > 0, 1 + F.log(share) * (SKETCH_BITS / (4.0 * samples))).otherwise(0.0)
-    near = pairs.join(side("u"), "u").join(side("v"), "v").withColumn("differ", differ).where(estimate >= num / den - MARGIN)
-    near = near.where((F.least("nu", "nv") * den) >= F.greatest("nu", "nv") * num)  # a smaller set cannot hold enough
-    near = cut(near.select("u", "v", "nu", "nv"))
-    needed = cut(near.select(F.col("u").alias("node")).union(near.select("v")).distinct().join(classes.select("node", "set_key", F.col("doc_id").alias("rep")), "node"))
-    few = needed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(needed) if few else needed, F.col("doc_id").eqNullSafe(F.col("rep")))
-    sets = texts.select("node", "text").mapInArrow(partial(_sets, k=k), "node long, found_key binary, shingles array<long>")
-    sets = sets.join(needed.select("node", "set_key"), "node").where("found_key = set_key").select("node", "shingles")
-    both = near.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    return both.withColumn("common", common).where(F.col("common") * den >= (F.col("nu") + F.col("nv") - F.col("common")) * num).select("u", "v").distinct()
+    labels, edges = None, None
+    for first, n in ((1, FIRST_BANDS), (1 + FIRST_BANDS, bands - FIRST_BANDS)):
+        own = classes.select("node", F.slice("bands", first, n).alias("bands"))
+        own = own.withColumn("label", F.col("node")) if labels is None else own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        members = own.select("node", "label", F.explode("bands").alias("bucket"))
+        hubs = members.groupBy("bucket").agg(F.min(F.struct("label", "node")).alias("x"), F.max("label").alias("high")).where("x.label < high").select("bucket", F.col("x.node").alias("u"), F.col("x.label").alias("of_hub"))
+        pairs = members.join(hubs, "bucket").where("label <> of_hub").select("u", F.col("node").alias("v")).distinct()
+        near = pairs.join(side("v"), "v").join(side("u"), "u").where(estimate >= num / den - FAMILY_MARGIN).select("u", "v")
+        edges = near if labels is None else near.union(labels.select(F.col("node").alias("u"), F.col("label").alias("v")))
+        labels = cut(components(edges))
+    return labels
+
+
+def _confirmed(classes: DataFrame, families: DataFrame, docs: DataFrame, k: int, num: int, den: int, samples: int) -> DataFrame:
+    """Links (u, v) between classes, enough to span the components of every family."""
+    own = classes.select("node", "set_key", "sketch", "n_shingles", F.col("doc_id").alias("rep")).join(families, "node")
+    blocks = own.groupBy("label").agg(F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES).cast("int").alias("blocks"))
+    own = own.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    own = cut(own.select("rep", "node", "set_key", "sketch", "label", "block", "blocks"))
+    few = own.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
+    texts = docs.join(F.broadcast(own) if few else own, F.col("doc_id").eqNullSafe(F.col("rep")))
+    meets = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meets = meets.select("label", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "block", "set_key", "sketch", "text")
+    return meets.groupBy("label", "lo", "hi").applyInArrow(lambda t: _links(t, k, num, den, samples), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int] = (80, 100), bands: int = 32, rows: int = 5) -> DataFrame:
@@ -142,36 +199,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int
     classes = filled.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), best.alias("x")).select("set_key", "doc_id", "x.*")
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
 
-    members = classes.select("node", F.explode("bands").alias("bucket"))
-    counted = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
-    met = cut(members.join(counted, "bucket"))
-    small, large = met.where(F.col("n") <= SMALL_BUCKET).select("bucket", "node"), met.where(F.col("n") > SMALL_BUCKET)
-    pairs = small.select("bucket", F.col("node").alias("u")).join(small.select("bucket", F.col("node").alias("v")), "bucket").where("u < v").select("u", "v")
-    pairs = pairs.union(large.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v"))).distinct()
-    links = _confirmed(pairs, classes, docs, shingle, num, den, bands * rows)
-    labels = cut(components(links))
-    links = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
-
-    for turn in range(HUB_ROUNDS + 1):
-        own = large.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = own.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("hub")).where("lo <> hi")
-        own = cut(own.join(mixed.select("bucket", "hub", "n"), "bucket"))
-        if own.isEmpty():
-            break
-        sums = own.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.first("n").alias("n")).agg(F.sum(F.col("c") * (F.col("n") - F.col("c"))).alias("p"), F.sum("c").alias("m")).first()
-        last = turn == HUB_ROUNDS or sums["p"] <= 2 * SMALL_BUCKET * sums["m"]
-        if last:  # all pairs that still lie in different components
-            pairs = own.select("bucket", F.col("node").alias("u"), F.col("label").alias("lu")).join(own.select("bucket", F.col("node").alias("v"), F.col("label").alias("lv")), "bucket").where("u < v and lu <> lv").select("u", "v").distinct()
-        else:
-            hubs = own.where("node = hub").select("bucket", F.col("label").alias("of_hub"))
-            pairs = own.join(hubs, "bucket").where("label <> of_hub").select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct()
-        found = cut(_confirmed(pairs, classes, docs, shingle, num, den, bands * rows))
-        if not found.isEmpty():
-            links = labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(found)
-            labels = cut(components(links))
-        if last:
-            break
-
+    samples = bands * rows
+    families = _families(classes, bands, num, den, samples)
+    labels = components(_confirmed(classes, families, docs, shingle, num, den, samples))
     named = classes.select("set_key", "doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = named.join(smallest, "label").select("set_key", "component_id")

@@ -59,5 +59,15 @@ def test_against_brute_force(spark, k, threshold):
     assert run(spark, rows, shingle=k, threshold=threshold) == brute(rows, k, *threshold)
 
 
+def test_families_in_blocks(spark, monkeypatch):
+    from factloom.llm import near_dup
+
+    monkeypatch.setattr(near_dup, "BLOCK_BYTES", 20_000)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdéf") for _ in range(rng.randint(1, 5))) for _ in range(400)]
+    rows = list(enumerate(family(rng, words, 150, 9)))
+    assert run(spark, rows, shingle=3, threshold=(85, 100)) == brute(rows, 3, 85, 100)
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
