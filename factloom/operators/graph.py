@@ -61,7 +61,7 @@ def depth_first(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH,
     """
     near = closure(edges, seeds, max_depth, include_self=True).select("origin", "node")
     own = near.join(edges.select("src", "dst", "ord"), F.col("node") == F.col("src")).select("origin", "src", "dst", "ord")
-    own = seeds.select("origin").distinct().join(own, "origin", "left")
+    own = seeds.select("origin").distinct().join(own, "origin")
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         origin = group["origin"].iloc[0]
@@ -78,7 +78,7 @@ def depth_first(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH,
                 seen.update(fresh)
                 stack += [(c, depth + 1) for c in reversed(fresh)]
         order = order[:max_visits]
-        return pd.DataFrame({"origin": [origin] * len(order), "node": order, "rank": range(1, len(order) + 1)})
+        return pd.DataFrame({"origin": [origin] * len(order), "node": order, "rank": range(1, len(order) + 1)}, dtype=object)
 
     kind = dict(edges.dtypes)["src"]
     return own.groupBy("origin").applyInPandas(walk, f"origin {kind}, node {kind}, rank int")

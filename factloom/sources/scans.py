@@ -61,11 +61,15 @@ def manifest_requires(manifests: DataFrame) -> DataFrame:
     return manifests.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^\s*requires\s*\(?\s*['\"]([\w:]+)['\"]"), F.lit(1))).alias("module"))
 
 
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+
+
 def pod_items(docs: DataFrame) -> DataFrame:
     """name, doc of every =item of a text (text), the first of a name kept; a doc runs to the next command."""
     parts = docs.select(F.posexplode(F.split("text", r"(?m)^=item\s+")).alias("ord", "part")).where("ord > 0")
     name = F.regexp_extract("part", r"^(\w+)", 1)
-    doc = F.trim(F.regexp_replace(F.regexp_replace("part", r"^[^\n]*\n?", ""), r"(?ms)^=(head|back|over|cut).*", ""))
+    doc = _stripped(F.regexp_replace(F.regexp_replace("part", r"^[^\n]*\n?", ""), r"(?ms)^=(head|back|over|cut).*", ""))
     found = parts.select(name.alias("name"), doc.alias("doc"), "ord").where("name <> ''")
     return found.groupBy("name").agg(F.min_by("doc", "ord").alias("doc"))
 
@@ -75,7 +79,7 @@ def pod_to_markdown(text: Column) -> Column:
     steps = ((r"(?m)^=head1\s+(.*)$", "# $1"), (r"(?m)^=head2\s+(.*)$", "## $1"), (r"(?m)^=head3\s+(.*)$", "### $1"), (r"(?m)^=item\s+\*?\s*(.*)$", "- $1"), (r"(?m)^=(over|back|cut|pod|encoding).*$\n?", ""), (r"B<([^<>]*)>", "**$1**"), (r"I<([^<>]*)>", "*$1*"), (r"[CF]<([^<>]*)>", "`$1`"), (r"L<([^<>|]*)\|([^<>]*)>", "[$1]($2)"), (r"L<([^<>]*)>", "`$1`"))
     for pattern, new in steps:
         text = F.regexp_replace(text, pattern, new)
-    return F.trim(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+    return _stripped(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
