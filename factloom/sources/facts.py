@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from factloom.model import EXPORTED, LINKAGE
 
@@ -19,14 +19,24 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.concat(F.lit("doc/"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), tier.alias("source"), "lang")
 
 
-def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file_id, pos (ordinal), key: every token of every document."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))).alias("pos", "key"))
+def _tokens() -> Column:
+    return F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))
+
+
+def occurrences(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """file_id, pos (ordinal), key: every token of every document, or of those in of (file_id), which are chosen before texts are split."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text")
+    if of is not None:
+        docs = docs.join(of.select("file_id"), "file_id", "left_semi")
+    return docs.select("file_id", F.posexplode(_tokens()).alias("pos", "key"))
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file_id, key: a set of pairs; counts over it are counts of files."""
-    return occurrences(spark, sf_dir).select("file_id", "key").distinct()
+    """file_id, key: a set of pairs; counts over it are counts of files.
+
+    A file is one row of documents, so its set is made within the row and nothing is shuffled.
+    """
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.explode(F.array_distinct(_tokens())).alias("key"))
 
 
 def syms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +44,9 @@ def syms(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("lang") == "en", 1).when(F.col("lang") == "fr", 2).when(F.col("lang") == "de", 3).otherwise(4)
     flags = F.when((F.col("quality") == 1) & (F.col("source") == "workspace"), LINKAGE | EXPORTED).otherwise(LINKAGE)
     labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("file_id"), "quality")
-    first = occurrences(spark, sf_dir).join(labelled.select("file_id"), "file_id", "left_semi").groupBy("file_id", "key").agg(F.min("pos").alias("start_at"))
-    return first.join(labelled, "file_id").join(files(spark, sf_dir), "file_id").select("file_id", "key", kind.alias("kind"), "start_at", flags.alias("flags"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text").join(labelled, "file_id").join(files(spark, sf_dir), "file_id")
+    first = docs.select("file_id", kind.alias("kind"), flags.alias("flags"), F.posexplode(_tokens()).alias("pos", "key"))
+    return first.groupBy("file_id", "key", "kind", "flags").agg(F.min("pos").alias("start_at")).select("file_id", "key", "kind", "start_at", "flags")
 
 
 #: SQL twins, as common table expressions.
