@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 
 LONG_WORD = 200
 #: Pieces of text between blanks that a worker keeps; twice as many at most, as the older half is dropped at once.
-CACHE_CHUNKS = 200_000
-BLOCK_CHARS = 2_000_000
+CACHE_CHUNKS = 100_000
+BLOCK_CHARS = 500_000
 END = "</w>"
 #: Control characters that Python takes for blanks and the vocabulary's patterns do not.
 BLANKS_OF_PYTHON = "\x1c\x1d\x1e\x1f"
@@ -91,7 +91,7 @@ class TrieBpe:
         key = before << 20 | token
         ok = self.agrees.get(key)
         if ok is None:
-            if len(self.agrees) > 2_000_000:
+            if len(self.agrees) > 500_000:
                 self.agrees.clear()
             pair = [before, token] if before >= 0 else [token]
             ok = self.agrees[key] = self._merged([x for t in pair for x in self._symbols(t)]) == pair
