@@ -1,10 +1,11 @@
 """License scans: phrases by place, and an exact set-similarity join of text blocks with license templates.
 
-DataFrame functions only. A block is a line, cut into runs of BLOCK words every half block. A template is met by a block
-that holds at least the threshold's share of the template's distinct tokens. Tokens are ordered globally, rarest first, by
-the number of documents that hold them; then each template is indexed by its prefix (the shortest run of rarest tokens of
-which a match must hold one), blocks that share no prefix token or hold too few template tokens never reach the join, and
-the position of the first common token bounds the overlap before it is counted. None of these filters loses a match.
+DataFrame functions only. Blocks are runs of BLOCK words of the whole text, every half block; lines don't bound them. A
+template is met by a block that holds at least the threshold's share of the template's distinct tokens. Tokens are ordered
+globally, rarest first, by the number of documents that hold them; then each template is indexed by its prefix (the
+shortest run of rarest tokens of which a match must hold one), texts that hold no prefix token and blocks that share none or
+hold too few template tokens never reach the join, and the position of the first common token bounds the overlap before it
+is counted. None of these filters loses a match.
 
 Defined results: null text is empty and has no words; ASCII letters are lower-cased; overlapping places all count; a block
 that meets several templates has all their labels. Repeated rows each get a row; a null doc_id is a row like any other.
@@ -87,7 +88,7 @@ def _ranked_templates(docs: DataFrame, templates: tuple[tuple[str, str], ...]) -
 
 
 def template_matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_key, block (line and run), label and containment of every block that meets a template; docs has doc_key and text."""
+    """doc_key, start (the block's first word), label and containment of every block that meets a template; docs has doc_key and text."""
     spark = docs.sparkSession
     order, rank = _ranked_templates(docs.select(words_of(F.col("text")).alias("joined")), templates)
     rows = []
@@ -100,21 +101,21 @@ def template_matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = T
     index = spark.range(1).select(F.inline(F.array(*map(entry, rows))))
     prefix = sorted({r[5] for r in rows})
     least = min(r[4] for r in rows)
-    # a text or line that holds no prefix token at all can meet no template
-    some = "(?i)(?:" + "|".join(order[r] for r in prefix) + ")"
-    lines = docs.where(F.col("text").rlike(some)).select("doc_key", F.posexplode(F.split("text", "\n")).alias("line", "said")).where(F.col("said").rlike(some))
-    lines = lines.select("doc_key", "line", F.split(words_of(F.col("said")), " ").alias("words"))
+    # a text that holds no prefix token at all can meet no template
+    some = "(?:^| )(?:" + "|".join(order[r] for r in prefix) + ")(?: |$)"
+    texts = docs.select("doc_key", words_of(F.col("text")).alias("joined")).where(F.col("joined").rlike(some))
+    texts = texts.select("doc_key", F.split("joined", " ").alias("words"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1 - BLOCK // 2, F.lit(0)), F.lit(BLOCK // 2))
-    blocks = lines.select("doc_key", "line", "words", F.explode(starts).alias("start")).select("doc_key", "line", "start", F.slice("words", F.col("start") + 1, F.lit(BLOCK)).alias("words"))
+    blocks = texts.select("doc_key", "words", F.explode(starts).alias("start")).select("doc_key", "start", F.slice("words", F.col("start") + 1, F.lit(BLOCK)).alias("words"))
     ranks_of = F.create_map(*[F.lit(x) for w, i in rank.items() for x in (w, i)])
     ranks = F.array_sort(F.transform(F.array_intersect("words", F.array(*map(F.lit, order))), lambda w: F.try_element_at(ranks_of, w)))
-    blocks = blocks.select("doc_key", "line", "start", ranks.alias("held")).where(F.size("held") >= least)
-    probes = blocks.select("doc_key", "line", "start", "held", F.posexplode("held").alias("j", "token"))
+    blocks = blocks.select("doc_key", "start", ranks.alias("held")).where(F.size("held") >= least)
+    probes = blocks.select("doc_key", "start", "held", F.posexplode("held").alias("j", "token"))
     # length and position: what may still follow the common token on either side, itself included
     small = F.broadcast(index)  # bounded: one row per prefix token of the declared templates
     near = probes.join(small, "token").where((F.size("held") >= F.col("need")) & (F.least(F.col("size") - F.col("at"), F.size("held") - F.col("j")) + F.least("at", "j") >= F.col("need")))
     near = near.withColumn("common", F.size(F.array_intersect("held", "ranks"))).where("common >= need")
-    return near.select("doc_key", "line", "start", "template", "label", (F.col("common") / F.col("size")).alias("containment")).distinct()
+    return near.select("doc_key", "start", "template", "label", (F.col("common") / F.col("size")).alias("containment")).distinct()
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
