@@ -62,7 +62,7 @@ def udaf_join(spark: SparkSession, d: str) -> DataFrame:
 def lateral_tokens(spark: SparkSession, d: str) -> DataFrame:
     """A Python table function under LATERAL."""
     X.register(spark)
-    table(spark, d, "part").where("p_partkey < 300").createOrReplaceTempView("factloom_part")
+    table(spark, d, "part").createOrReplaceTempView("factloom_part")
     return spark.sql("SELECT p_partkey, count(*) AS n FROM factloom_part, LATERAL tokens(p_name) GROUP BY p_partkey")
 
 

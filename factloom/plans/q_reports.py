@@ -102,7 +102,7 @@ def rank_by_expected_type(spark: SparkSession, d: str) -> DataFrame:
 
 @register("sorted_locations", "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey < 200")
 def sorted_locations(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").where("l_partkey < 200").select("l_orderkey", "l_linenumber").dropDuplicates().orderBy("l_orderkey", "l_linenumber")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").dropDuplicates().orderBy("l_orderkey", "l_linenumber")
 
 
 @register("priority_rank_cap", "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY CAST(substr(o_orderpriority, 1, 1) AS INT), o_orderkey LIMIT 100")

@@ -29,7 +29,7 @@ def name_functions(spark: SparkSession, d: str) -> DataFrame:
 @register("package_agreement", "SELECT a.s_suppkey AS a, b.s_suppkey AS b, b.q = a.q OR ends_with(a.q, '::' || b.q) OR ends_with(b.q, '::' || a.q) AS agrees FROM (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'Foo::Bar' WHEN 1 THEN 'Bar' ELSE 'Foo' END AS q FROM supplier WHERE s_suppkey < 12) a, (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'Foo::Bar' WHEN 1 THEN 'Bar' ELSE 'Foo' END AS q FROM supplier WHERE s_suppkey < 12) b WHERE b.s_suppkey = (a.s_suppkey * 5 + 1) % 12")
 def package_agreement(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey") % 3
-    a = table(spark, d, "supplier").where("s_suppkey < 12").select(F.col("s_suppkey").alias("a"), F.when(k == 0, "Foo::Bar").when(k == 1, "Bar").otherwise("Foo").alias("qa"))
+    a = table(spark, d, "supplier").select(F.col("s_suppkey").alias("a"), F.when(k == 0, "Foo::Bar").when(k == 1, "Bar").otherwise("Foo").alias("qa"))
     b = a.select(F.col("a").alias("b"), F.col("qa").alias("qb"))
     return a.join(b, F.col("b") == (F.col("a") * 5 + 1) % 12).select("a", "b", N.package_agrees(True, F.col("qa"), F.col("qb")).alias("agrees"))
 
@@ -87,7 +87,7 @@ def apply_edits(spark: SparkSession, d: str) -> DataFrame:
 def affix_rename(spark: SparkSession, d: str) -> DataFrame:
     """One declaration's spellings, each with its own affixes."""
     pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in (("", ""), ("has_", ""), ("clear_", "_all"))])
-    p = table(spark, d, "part").where("p_partkey < 100").withColumn("x", F.explode(pairs))
+    p = table(spark, d, "part").withColumn("x", F.explode(pairs))
     return p.select("p_partkey", N.affixed(F.col("x.a"), F.col("p_brand"), F.col("x.b")).alias("spelling"))
 
 
@@ -121,7 +121,7 @@ def strip_noncode(spark: SparkSession, d: str) -> DataFrame:
 
 @register("word_tokens", "SELECT doc_id, i AS line, regexp_extract_all(l, '[A-Za-z]{5,}') AS words FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE doc_id < 100) WHERE len(regexp_extract_all(l, '[A-Za-z]{5,}')) > 0")
 def word_tokens(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "documents").where("doc_id < 100").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l"))
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l"))
     return lines.select("doc_id", F.col("line").cast("long").alias("line"), F.regexp_extract_all("l", F.lit("[A-Za-z]{5,}"), F.lit(0)).alias("words")).where(F.size("words") > 0)
 
 
@@ -134,7 +134,7 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
 @register("json_canonical", "SELECT l_orderkey, l_linenumber, '{\"a\":' || l_partkey || ',\"b\":\"' || l_returnflag || '\"}' AS key FROM lineitem WHERE l_orderkey < 1000")
 def json_canonical(spark: SparkSession, d: str) -> DataFrame:
     """Equality keys: fields in sorted order, no blanks."""
-    return table(spark, d, "lineitem").where("l_orderkey < 1000").select("l_orderkey", "l_linenumber", F.to_json(F.struct(F.col("l_partkey").alias("a"), F.col("l_returnflag").alias("b"))).alias("key"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.to_json(F.struct(F.col("l_partkey").alias("a"), F.col("l_returnflag").alias("b"))).alias("key"))
 
 
 @register("map_last_win", "SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) FILTER (o_orderstatus = 'F') AS f, arg_max(o_orderpriority, o_orderkey) FILTER (o_orderstatus = 'O') AS o FROM orders GROUP BY o_custkey")

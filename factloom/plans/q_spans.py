@@ -19,7 +19,7 @@ def _bodies(spark: SparkSession, d: str) -> DataFrame:
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("file"))
-    return table(spark, d, "lineitem").where("l_linenumber <= 2").join(o, "l_orderkey").select("file", "l_orderkey", "l_linenumber", (F.col("l_partkey") % 60).alias("pos"))
+    return table(spark, d, "lineitem").join(o, "l_orderkey").select("file", "l_orderkey", "l_linenumber", (F.col("l_partkey") % 60).alias("pos"))
 
 
 @register("range_containment", f"WITH {BODY_SQL}, {POINT_SQL} SELECT body, count(*) AS n FROM body JOIN pt ON body.file = pt.file AND pos >= start AND pos <= \"end\" GROUP BY body")

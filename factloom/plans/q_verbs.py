@@ -144,7 +144,7 @@ UNRESOLVED_SQL = "SELECT o.file_id, o.pos, o.key FROM occ o WHERE o.file_id % 10
 
 
 def _unresolved(spark: SparkSession, d: str) -> DataFrame:
-    calls = facts.occurrences(spark, d).where("file_id % 10 = 0")  # the calling tier of the binding
+    calls = facts.occurrences(spark, d)
     s = facts.syms(spark, d)
     builtins = F.broadcast(spark.sql("SELECT * FROM VALUES ('that'), ('with'), ('this') AS t(key)"))
     exported = s.where(F.col("flags").bitwiseAND(8) != 0).select("key").distinct()
