@@ -1,10 +1,12 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
-Every benchmark item is cut into patterns: overlapping windows of WINDOW characters of its normalized text, or the whole of
-a shorter item. A text holds a pattern within k edits only if some run of neighbouring diagonals, as wide as the edits can
+Every benchmark item is cut into patterns: windows of WINDOW characters of its normalized text, one from every word's start
+and from every STRIDE-th character, or the whole of a shorter item. So a copied excerpt of WINDOW characters from a word's
+start, or of WINDOW + STRIDE - 1 from anywhere, holds a whole window and is found; shorter ones are found where they come
+within k edits of one. A text holds a pattern within k edits only if some run of neighbouring diagonals, as wide as the edits can
 drift, holds at least (m - q + 1) - k * q of the pattern's q-grams at matching places. So the text's q-grams are looked up
-in the benchmark's, hits are counted per pattern in overlapping diagonal bands, bands that meet the bound are retained, and
-a banded alignment of pattern and region decides.
+in the benchmark's, hits are counted per item in overlapping diagonal bands, bands that could meet the bound are counted per
+pattern by place, those that meet it are retained, and a banded alignment of pattern and region decides.
 
 Texts are normalized before: lower case, every run of characters that are neither letters nor digits becomes one blank.
 The benchmark is read in blocks of bounded size, each of which is broadcast and held against all documents in one scan
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from factloom.llm.common import mix
 
 WINDOW = 60
-STRIDE = 30
+STRIDE = 10
 Q = 9
 #: Edits allowed in a pattern, as a share of its length (rounded down).
 EDITS = 0.08
@@ -59,72 +61,116 @@ def grams(codes: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
+def starts(codes: np.ndarray) -> np.ndarray:
+    """Where the patterns of an item begin."""
+    last = len(codes) - WINDOW
+    if last <= 0:
+        return np.zeros(1, np.int64)
+    words = np.flatnonzero(codes[:-1] == ord(" ")) + 1
+    return np.unique(np.concatenate([np.arange(0, last, STRIDE), words[words < last], [last]]))
+
+
 @dataclass
 class Index:
-    """Patterns of a block of items, and the places of their q-grams by hash."""
+    """Patterns of a block of items, and the places of the items' q-grams by hash.
+
+    An item's patterns follow each other and are of one size; they are slices of its characters, kept once.
+    """
 
     items: list
+    codes: list[np.ndarray]
     pattern_item: np.ndarray
     pattern_start: np.ndarray
-    patterns: list[np.ndarray]
     edits: np.ndarray
     needed: np.ndarray
+    first_pattern: np.ndarray  # of each item, and one more
     hashes: np.ndarray  # sorted and distinct
     first: np.ndarray  # of each hash, into the two below
-    of_pattern: np.ndarray
+    of_item: np.ndarray
     of_place: np.ndarray
     filter: np.ndarray
 
+    def pattern(self, i: int) -> np.ndarray:
+        return self.codes[self.pattern_item[i]][self.pattern_start[i] : self.pattern_start[i] + WINDOW]
+
+    @property
+    def patterns(self) -> list[np.ndarray]:
+        return [self.pattern(i) for i in range(len(self.pattern_item))]
+
 
 def build(items: list[tuple[int | None, str | None]]) -> Index:
-    ids, owner, start, patterns = [], [], [], []
+    ids, kept = [], []
     for item_id, text in items:
         codes = _codes(normalized(text))
-        if len(codes) < Q:
-            continue
-        starts = [*range(0, len(codes) - WINDOW, STRIDE), len(codes) - WINDOW] if len(codes) > WINDOW else [0]
-        for s in starts:
-            owner.append(len(ids))
-            start.append(s)
-            patterns.append(codes[s : s + WINDOW])
-        ids.append(item_id)
-    sizes = np.array([len(p) for p in patterns], np.int64)
+        if len(codes) >= Q:
+            ids.append(item_id)
+            kept.append(codes)
+    begin = [starts(c) for c in kept]
+    count = np.array([len(b) for b in begin], np.int64)
+    sizes = np.repeat(np.array([min(len(c), WINDOW) for c in kept], np.int64), count)
     edits = np.minimum((sizes * EDITS).astype(np.int64), np.maximum((sizes - Q) // Q, 0))  # a bound of one q-gram at least
     needed = sizes - Q + 1 - edits * Q
-    found = [grams(p) for p in patterns]
+    none = np.empty(0, np.int64)
+    found = [grams(c) for c in kept]
     h = np.concatenate(found) if found else np.empty(0, np.uint64)
-    which = np.repeat(np.arange(len(patterns)), [len(x) for x in found])
-    place = np.concatenate([np.arange(len(x)) for x in found]) if found else np.empty(0, np.int64)
+    which = np.repeat(np.arange(len(kept)), [len(x) for x in found]) if found else none
+    place = np.concatenate([np.arange(len(x)) for x in found]) if found else none
     order = np.argsort(h, kind="stable")
     hashes, first = np.unique(h[order], return_index=True)
     bloom = np.zeros(1 << _FILTER_BITS, bool)
     bloom[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-    return Index(ids, np.array(owner), np.array(start), patterns, edits, needed, hashes, np.append(first, len(h)), which[order], place[order], bloom)
+    owner = np.repeat(np.arange(len(kept)), count) if kept else none
+    return Index(ids, kept, owner, np.concatenate(begin) if begin else none, edits, needed, np.append(0, np.cumsum(count)), hashes, np.append(first, len(h)), which[order], place[order], bloom)
+
+
+def _repeated(first: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... for times[i] numbers, one after another."""
+    return np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
 
 
 def candidates(codes: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
     """(pattern, first diagonal of the band) of every band of a text that holds enough q-grams of a pattern."""
     h = grams(codes)
+    none = np.empty(0, np.int64)
     (at,) = np.nonzero(index.filter[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
     if not len(at):
-        return at, at
+        return none, none
     j = np.minimum(np.searchsorted(index.hashes, h[at]), len(index.hashes) - 1)
     ok = index.hashes[j] == h[at]
     at, j = at[ok], j[ok]
     if not len(at):
-        return at, at
+        return none, none
     times = index.first[j + 1] - index.first[j]
-    hit = np.repeat(index.first[j], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    pattern = index.of_pattern[hit]
-    diagonal = np.repeat(at, times) - index.of_place[hit] + WINDOW  # not negative
+    hit = _repeated(index.first[j], times)
+    item, place = index.of_item[hit], index.of_place[hit]
+    base = max(map(len, index.codes))
+    diagonal = np.repeat(at, times) - place + base  # not negative
     # bands are 2k+1 wide at least and overlap by half: any k neighbouring diagonals lie in one of them
-    step = np.maximum(index.edits[pattern], 1) + 1
-    band = diagonal // step
-    key = np.concatenate([pattern * (1 << 40) + band, pattern * (1 << 40) + np.maximum(band - 1, 0)])
-    keys, n = np.unique(key, return_counts=True)
-    keys = keys[n >= index.needed[keys >> 40]]
-    pattern = keys >> 40
-    return pattern, (keys & ((1 << 40) - 1)) * (np.maximum(index.edits[pattern], 1) + 1) - WINDOW
+    some = index.first_pattern[item]  # the patterns of an item have one size
+    band = diagonal // (np.maximum(index.edits[some], 1) + 1)
+    key = np.concatenate([item * (1 << 40) + band, item * (1 << 40) + np.maximum(band - 1, 0)])
+    place = np.concatenate([place, place])
+    keys, of, n = np.unique(key, return_inverse=True, return_counts=True)
+    # no pattern of an item has more hits in a band than the item
+    enough = n >= index.needed[index.first_pattern[keys >> 40]]
+    if not enough.any():
+        return none, none
+    number = np.cumsum(enough) - 1
+    keep = enough[of]
+    keys = keys[enough]
+    item = keys >> 40
+    times = index.first_pattern[item + 1] - index.first_pattern[item]
+    pattern = _repeated(index.first_pattern[item], times)
+    which = np.repeat(np.arange(len(keys)), times)
+    wide = base + WINDOW + 1
+    spots = np.sort(number[of[keep]] * wide + place[keep])
+    lo = which * wide + index.pattern_start[pattern]
+    grams_of = index.needed[pattern] + index.edits[pattern] * Q
+    n = np.searchsorted(spots, lo + grams_of) - np.searchsorted(spots, lo)
+    ok = n >= index.needed[pattern]
+    pattern, which = pattern[ok], which[ok]
+    band = keys[which] & ((1 << 40) - 1)
+    return pattern, band * (np.maximum(index.edits[pattern], 1) + 1) - base + index.pattern_start[pattern]
 
 
 def aligned(patterns: list[np.ndarray], texts: list[np.ndarray], first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +206,7 @@ def aligned(patterns: list[np.ndarray], texts: list[np.ndarray], first: np.ndarr
 
 def matches(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int]]:
     """(text, item, start, end, edits) of the verified regions, merged where one item's regions touch; places in normalized text."""
-    if not index.patterns:
+    if not len(index.pattern_item):
         return []
     where, pattern, first, codes = [], [], [], []
     for i, text in enumerate(texts):
@@ -174,10 +220,11 @@ def matches(texts: list[str], index: Index) -> list[tuple[int, int, int, int, in
     for s in range(0, len(where), 20_000):
         w, p, f = where[s : s + 20_000], pattern[s : s + 20_000], np.array(first[s : s + 20_000])
         width = 2 * (int(index.edits[p].max()) + 2) + 1
-        best, ends = aligned([index.patterns[x] for x in p], [codes[x] for x in w], f, width)
-        for x, y, e, b in zip(w, p, ends, best, strict=True):
+        cut = [index.pattern(x) for x in p]
+        best, ends = aligned(cut, [codes[x] for x in w], f, width)
+        for x, y, c, e, b in zip(w, p, cut, ends, best, strict=True):
             if b <= index.edits[y]:
-                out.setdefault((x, int(index.pattern_item[y])), []).append((int(max(0, e - len(index.patterns[y]))), int(e), int(b)))
+                out.setdefault((x, int(index.pattern_item[y])), []).append((int(max(0, e - len(c))), int(e), int(b)))
     merged = []
     for (x, item), spans in sorted(out.items()):
         lo, hi, edits = None, None, 0
@@ -214,7 +261,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()  # bounded by BLOCK_CHARS, about
         index = build(sorted(((r["item_id"], r["text"]) for r in rows), key=str))
-        if index.patterns:
+        if len(index.pattern_item):
             shared = spark.sparkContext.broadcast(index)
             out = out.union(docs.mapInArrow(partial(_search, shared=shared), "doc_id long, item_id long, start int, end int, edits int"))
     return out
