@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -126,18 +127,20 @@ def implementations(inherits: DataFrame, methods: DataFrame, targets: DataFrame)
     return found.join(targets, "origin").join(methods, ["node", "method"], "left_semi").select("origin", F.col("node").alias("member")).distinct()
 
 
-def dirty_closure(provides: DataFrame, consumes: DataFrame, changed: DataFrame, max_rounds: int = MAX_DEPTH) -> DataFrame:
+def dirty_closure(provides: DataFrame, consumes: DataFrame, changed: DataFrame) -> DataFrame:
     """file: every consumer, however far, of names that the changed files (file) provide: (file, name) in both relations."""
     steps = provides.join(consumes.select(F.col("file").alias("dst"), "name"), "name").where("file <> dst").select(F.col("file").alias("src"), "dst").distinct()
-    # one walk for the whole set: all changed files start together
+    # one walk for the whole set: all changed files start together; each round finds new files or is the last
     reached = cut(changed.select("file").distinct())
     frontier = reached
-    for _ in range(max_rounds):
+    for depth in count(1):
         new = frontier.join(steps, F.col("file") == F.col("src")).select(F.col("dst").alias("file")).distinct()
         frontier = cut(new.join(reached, "file", "left_anti"))
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
+        if depth % MAX_DEPTH == 0:  # keeps the plan of a long walk short
+            reached = cut(reached)
     return reached.join(changed, "file", "left_anti")
 
 
