@@ -71,7 +71,7 @@ def surface_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 
 @register("csv_html_escape", "SELECT doc_id, CASE WHEN regexp_matches(t, '[\",\\n\\r]') THEN '\"' || replace(t, '\"', '\"\"') || '\"' ELSE t END AS csv, replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS html FROM (SELECT doc_id, left(text, 60) || CASE WHEN doc_id % 3 = 0 THEN '\"q\" <b>&' ELSE '' END AS t FROM documents)")
 def csv_html_escape(spark: SparkSession, d: str) -> DataFrame:
-    t = F.concat(F.left("text", F.lit(60)), F.when(F.col("doc_id") % 3 == 0, '"q" <b>&').otherwise(""))
+    t = F.concat("text", F.when(F.col("doc_id") % 3 == 0, '"q" <b>&').otherwise(""))
     return table(spark, d, "documents").select("doc_id", N.csv_escaped(t).alias("csv"), N.html_escaped(t).alias("html"))
 
 
