@@ -138,8 +138,8 @@ ANNOUNCED = "bucket int, batch long, marks binary, several binary"
 def _announce(table: pa.Table, buckets: int) -> pa.Table:
     """What anchors a batch has, four bytes each."""
     keys, several = _announced(Batch(table["doc_id"].to_pylist(), table["text_bytes"].to_pylist()), buckets)
-    cuts = np.flatnonzero(np.diff(keys >> 32, prepend=-1))
-    parts = list(zip(cuts, np.append(cuts[1:], len(keys)), strict=True))
+    cuts = np.append(np.flatnonzero(np.diff(keys >> 32, prepend=-1)), len(keys))  # one entry only where no text has LENGTH bytes
+    parts = list(zip(cuts[:-1], cuts[1:], strict=True))
     columns = [pa.array([int(keys[a] >> 32) for a, _ in parts], pa.int32()), pa.array([table["batch"][0].as_py()] * len(parts), pa.int64()), pa.array([(keys[a:b] & 0xFFFFFFFF).astype(np.uint32).tobytes() for a, b in parts], pa.binary()), pa.array([np.packbits(several[a:b]).tobytes() for a, b in parts], pa.binary())]
     return pa.table(columns, [c.split()[0] for c in ANNOUNCED.split(", ")])
 

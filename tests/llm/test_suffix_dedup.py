@@ -86,5 +86,11 @@ def test_blockwise_order(monkeypatch):
         assert sd.least_docs(text, starts, docs).tolist() == [least[text[s : s + sd.LENGTH].tobytes()] for s in starts]
 
 
+@pytest.mark.parametrize("rows", [[(1, "short"), (2, "short")], [(1, "")], [(1, None), (None, None)], [(None, "y" * 49), (3, "y" * 50), (4, "")]])
+def test_texts_below_the_length(spark, rows):
+    got = sd.dedup(spark.createDataFrame(rows, "doc_id long, text string"), text_too=True).collect()
+    assert sorted(((r.doc_id, bytes(r.kept_bytes), [tuple(s) for s in r.removed_spans]) for r in got), key=str) == brute(rows)
+
+
 def test_empty_table(spark):
     assert sd.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
