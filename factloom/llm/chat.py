@@ -1,14 +1,17 @@
 """Chat formatting by a finite-state machine, in DataFrame functions only.
 
 A template declares the mark of each role, the mark that ends a turn, which roles may follow which, and whose texts are
-learned from. The machine is a fold over a conversation's turns; each turn emits three segments (opening mark, escaped
-text, closing mark) of which only texts of learned roles carry the loss flag. Escapes leave no mark inside a text: a
-backslash doubles, and the first letter of a would-be mark turns into a backslash and a stand-in letter.
+learned from. The machine's state is the role of the turn before (or start); a turn moves it to its own role, which is legal
+where the template's table has that move. Each move emits three segments (opening mark, escaped text, closing mark), of
+which only the text carries the loss flag, and only where the state moved to is a learned one. A move that the table lacks
+is emitted all the same, counted, and makes the conversation invalid; the machine goes on from the role it reached.
+Escapes leave no mark inside a text: a backslash doubles, and the first letter of a would-be mark turns into a backslash
+and a stand-in letter.
 
 Defined results: rows go by turn, then role and text (ties and repeated rows stay, in that order; null turns first); null
-text and null role are empty strings; a role that the template lacks is formatted under a mark of its own and makes the
-conversation invalid, as does a turn out of order; rows without a conv_id are one conversation. Extra columns are ignored.
-An empty table gives no conversations. A conversation is one value of the result, so its turns meet in one row.
+text and null role are empty strings; a role that the template lacks is formatted under a mark of its own, and no move
+leads to it or from it. Rows without a conv_id are one conversation. Extra columns are ignored. An empty table gives no
+conversations. A conversation is one value of the result, so its turns meet in one row; time and memory are linear in it.
 """
 
 from __future__ import annotations
@@ -60,25 +63,27 @@ def _mark(role: Column, t: Template) -> Column:
     return out
 
 
-def _moves(t: Template) -> Column:
-    pairs = [(f"{state}\n{role}", role) for state, roles in t.follows.items() for role in roles]
-    return F.create_map(*[F.lit(x) for p in pairs for x in p])
+def moves(turns: Column, t: Template) -> Column:
+    """array<struct<role, text, state, legal>>: each turn with the state that it finds and whether the table has its move."""
+    table = [f"{state}\n{role}" for state, roles in t.follows.items() for role in roles]
+    state = lambda i: F.when(i == 0, F.lit("start")).otherwise(F.get(turns, i - 1)["role"])
+    found = F.transform(turns, lambda x, i: F.struct(x["role"].alias("role"), x["text"].alias("text"), state(i).alias("state")))
+    return F.transform(found, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"), x["state"].alias("state"), F.concat(x["state"], F.lit("\n"), x["role"]).isin(*table).alias("legal")))
 
 
 def format_chats(turns: DataFrame, template: Template = DEFAULT) -> DataFrame:
-    """conv_id, n_turns, formatted, segments (text, loss), valid, for each conversation of turns (conv_id, turn, role, text)."""
+    """conv_id, n_turns, formatted, segments (text, loss), n_illegal, valid, for each conversation of turns (conv_id, turn, role, text)."""
     t = template
     row = F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    talks = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("turns"))
-    moves = _moves(t)
-    final = F.aggregate("turns", F.lit("start"), lambda state, x: F.coalesce(F.try_element_at(moves, F.concat(state, F.lit("\n"), x["role"])), F.lit("invalid")))
+    talks = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("turns")).withColumn("moves", moves(F.col("turns"), t))
 
     def emitted(x: Column) -> Column:
         segment = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
         return F.array(segment(_mark(x["role"], t), F.lit(False)), segment(escape(x["text"], t), x["role"].isin(*t.learned)), segment(F.lit(t.end), F.lit(False)))
 
-    talks = talks.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.flatten(F.transform("turns", emitted)).alias("segments"), (final != "invalid").alias("valid"))
-    return talks.select("conv_id", "n_turns", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments", "valid")
+    n_illegal = F.aggregate("moves", F.lit(0).cast("long"), lambda n, x: n + F.when(x["legal"], 0).otherwise(1))
+    talks = talks.select("conv_id", F.size("moves").cast("long").alias("n_turns"), F.flatten(F.transform("moves", emitted)).alias("segments"), n_illegal.alias("n_illegal"))
+    return talks.select("conv_id", "n_turns", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments", "n_illegal", (F.col("n_illegal") == 0).alias("valid"))
 
 
 def read_chats(formatted: Column, template: Template = DEFAULT) -> Column:

@@ -56,7 +56,7 @@ def crc_bucket(doc_id: str | Column, n: int) -> Column:
 class WordHashes(dict):
     """Word (bytes) to its 64-bit hash; a worker keeps it between batches up to a bounded number of words."""
 
-    LIMIT = 300_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         h = self[word] = xxhash.xxh64_intdigest(word)

@@ -12,8 +12,8 @@ Texts are normalized before: lower case, every run of characters that are neithe
 The benchmark is read in blocks of bounded size, each of which is broadcast and held against all documents in one scan
 without a shuffle: a stated query set in blocks, whatever the sizes of the two tables.
 
-Defined results: null or empty texts match nothing; items whose normalized text is shorter than q characters cannot be
-found and match nothing; equal items are each reported; a null doc_id or item_id is reported as null. Repeated rows each
+Defined results: null or empty texts match nothing; items whose normalized text is shorter than q characters have no q-gram
+and are found where their words stand as they are, and empty ones nowhere; equal items are each reported; a null doc_id or item_id is reported as null. Repeated rows each
 report their matches; an empty benchmark or table gives no rows. Extra columns are ignored.
 """
 
@@ -89,6 +89,7 @@ class Index:
     of_item: np.ndarray
     of_place: np.ndarray
     filter: np.ndarray
+    short: dict  # first word to (item, normalized text) of items shorter than a q-gram
 
     def pattern(self, i: int) -> np.ndarray:
         return self.codes[self.pattern_item[i]][self.pattern_start[i] : self.pattern_start[i] + WINDOW]
@@ -99,12 +100,18 @@ class Index:
 
 
 def build(items: list[tuple[int | None, str | None]]) -> Index:
-    ids, kept = [], []
+    ids, kept, short = [], [], {}
     for item_id, text in items:
-        codes = _codes(normalized(text))
-        if len(codes) >= Q:
+        plain = normalized(text)
+        if len(plain) >= Q:
+            ids.append(item_id)
+            kept.append(_codes(plain))
+        elif plain:
+            short.setdefault(plain.split(" ")[0], []).append((item_id, plain))
+    for of_word in short.values():
+        for i, (item_id, plain) in enumerate(of_word):
+            of_word[i] = (len(ids), plain)
             ids.append(item_id)
-            kept.append(codes)
     begin = [starts(c) for c in kept]
     count = np.array([len(b) for b in begin], np.int64)
     sizes = np.repeat(np.array([min(len(c), WINDOW) for c in kept], np.int64), count)
@@ -120,7 +127,7 @@ def build(items: list[tuple[int | None, str | None]]) -> Index:
     bloom = np.zeros(1 << _FILTER_BITS, bool)
     bloom[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
     owner = np.repeat(np.arange(len(kept)), count) if kept else none
-    return Index(ids, kept, owner, np.concatenate(begin) if begin else none, edits, needed, np.append(0, np.cumsum(count)), hashes, np.append(first, len(h)), which[order], place[order], bloom)
+    return Index(ids, kept, owner, np.concatenate(begin) if begin else none, edits, needed, np.append(0, np.cumsum(count)), hashes, np.append(first, len(h)), which[order], place[order], bloom, short)
 
 
 def _repeated(first: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -204,10 +211,25 @@ def aligned(patterns: list[np.ndarray], texts: list[np.ndarray], first: np.ndarr
     return best, ends
 
 
+def _short_matches(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int]]:
+    """The same for items shorter than a q-gram, word by word and without edits."""
+    out = []
+    for x, text in enumerate(texts):
+        padded = f" {text} "
+        for word in index.short.keys() & set(text.split(" ")):
+            for item, plain in index.short[word]:
+                at = padded.find(f" {plain} ")
+                while at >= 0:
+                    out.append((x, item, at, at + len(plain), 0))
+                    at = padded.find(f" {plain} ", at + 1)
+    return sorted(out)
+
+
 def matches(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int]]:
     """(text, item, start, end, edits) of the verified regions, merged where one item's regions touch; places in normalized text."""
+    short = _short_matches(texts, index) if index.short else []
     if not len(index.pattern_item):
-        return []
+        return short
     where, pattern, first, codes = [], [], [], []
     for i, text in enumerate(texts):
         c = _codes(text)
@@ -236,7 +258,7 @@ def matches(texts: list[str], index: Index) -> list[tuple[int, int, int, int, in
                 merged.append((x, item, lo, hi, edits))
             lo, hi, edits = a, b, e
         merged.append((x, item, lo, hi, edits))
-    return merged
+    return merged + short
 
 
 def _search(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -261,7 +283,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()  # bounded by BLOCK_CHARS, about
         index = build(sorted(((r["item_id"], r["text"]) for r in rows), key=str))
-        if len(index.pattern_item):
+        if index.items:
             shared = spark.sparkContext.broadcast(index)
             out = out.union(docs.mapInArrow(partial(_search, shared=shared), "doc_id long, item_id long, start int, end int, edits int"))
     return out

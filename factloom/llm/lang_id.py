@@ -6,8 +6,10 @@ words. The piece probabilities come from expected counts over all segmentations
 language in two rounds. Letters that no piece covers pass as single letters of a small fixed probability.
 
 Defined results: `und` with score 0 for null text, for text without a letter, and where there is nothing to learn from;
-ties go to the first language by name. Runs of more than RUN characters without a blank are cut into such runs, so that no
-text is skipped. Rows with a null lang teach nothing; repeated rows each get a row; extra columns are ignored.
+ties go to the first language by name. Words of any length are scored whole: of a long one only the last sums, as many as
+the longest piece has letters, are carried on, rescaled as they go. Only the fit cuts words of more than RUN letters into
+such runs to count their pieces. Rows with a null lang teach nothing; repeated rows each get a row; extra columns are
+ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ from pyspark.sql import DataFrame, functions as F
 #: Documents per language that the fit reads, about (a uniform sample by hash of the doc_id beyond that).
 TRAIN_DOCS = 3000
 ROUNDS = 2
-#: Longest piece, in characters, and longest run of a text that is scored as one word.
-PIECE = 10
+#: Letters up to which a word is scored without rescaling (a letter counts UNKNOWN at least) and is not cut by the fit.
 RUN = 24
+#: Words scored at a time, and letters of long words.
+WORDS, LETTERS = 1024, 16_384
 UNKNOWN = 1e-7
 SMOOTHING = 0.05
 CACHE_WORDS = 200_000
@@ -36,13 +39,13 @@ _SEED = np.uint64(0xCBF29CE484222325)
 
 
 def vocabulary_pieces(path: str) -> list[str]:
-    """Lower-case pieces of a sentencepiece model, up to PIECE characters, without control and byte pieces."""
+    """Lower-case pieces of a sentencepiece model, without control and byte pieces."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = range(model.get_piece_size())
     pieces = {model.id_to_piece(i).lower() for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-    return sorted(p for p in pieces if 0 < len(p) <= PIECE)
+    return sorted(p for p in pieces if p)
 
 
 def _hash(codes: np.ndarray) -> np.ndarray:
@@ -59,20 +62,21 @@ class Pieces:
 
     def __init__(self, pieces: list[str]):
         self.size = len(pieces)
+        self.longest = max(map(len, pieces), default=1)
         self.tables = []
-        for k in range(1, PIECE + 1):
+        for k in range(1, self.longest + 1):
             of = [i for i, p in enumerate(pieces) if len(p) == k]
             h = _hash(np.array([[ord(c) for c in pieces[i]] for i in of], np.uint64).reshape(-1, k))
             order = np.argsort(h)
             self.tables.append((h[order], np.array(of, np.int64)[order]))
 
     def at(self, codes: np.ndarray) -> np.ndarray:
-        """n x length x PIECE: the piece that starts at a place and has 1, 2, … characters, or -1."""
+        """n x length x longest: the piece that starts at a place and has 1, 2, … characters, or -1."""
         n, length = codes.shape
-        out = np.full((n, length, PIECE), -1, np.int64)
+        out = np.full((n, length, min(self.longest, length)), -1, np.int64)
         for i in range(length):
             h = np.full(n, _SEED, np.uint64)
-            for k in range(1, min(PIECE, length - i) + 1):
+            for k in range(1, min(self.longest, length - i) + 1):
                 h = (h ^ codes[:, i + k - 1]) * _BASE
                 h ^= h >> np.uint64(32)
                 keys, numbers = self.tables[k - 1]
@@ -82,9 +86,14 @@ class Pieces:
         return out
 
 
-def spelt(word: str) -> list[str]:
-    """The runs of a word, each opened by the vocabulary's word mark or, within a long word, as it stands."""
-    word = "▁" + word
+def spelt(word: str) -> str:
+    """A word opened by the vocabulary's word mark."""
+    return "▁" + word
+
+
+def cut_runs(word: str) -> list[str]:
+    """The runs of RUN letters of a word, for the fit."""
+    word = spelt(word)
     return [word[i : i + RUN] for i in range(0, len(word), RUN)]
 
 
@@ -93,8 +102,9 @@ def _by_length(runs: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     sizes = np.fromiter(map(len, runs), np.int64, len(runs))
     for length in np.unique(sizes):
         (where,) = np.nonzero(sizes == length)
-        for i in range(0, len(where), 4096):
-            part = where[i : i + 4096]
+        step = max(1, LETTERS // int(length)) if length > RUN else WORDS
+        for i in range(0, len(where), step):
+            part = where[i : i + step]
             text = "".join([runs[j] for j in part])
             yield part, np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64).reshape(len(part), length)
 
@@ -108,20 +118,45 @@ def _weights(found: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 def _forward(p: np.ndarray) -> np.ndarray:
     """languages x runs x (length + 1): the sum over all segmentations of each beginning."""
-    langs, n, length, _ = p.shape
+    langs, n, length, longest = p.shape
     f = np.zeros((langs, n, length + 1))
     f[..., 0] = 1.0
     for end in range(1, length + 1):
-        for k in range(1, min(PIECE, end) + 1):
+        for k in range(1, min(longest, end) + 1):
             f[..., end] += f[..., end - k] * p[:, :, end - k, k - 1]
     return f
 
 
+def _long_scores(codes: np.ndarray, pieces: Pieces, table: np.ndarray) -> np.ndarray:
+    """languages x words: as ``_forward``, in log, for words longer than RUN: the last sums are carried from part to part."""
+    n, length = codes.shape
+    size = pieces.longest
+    last = np.zeros((len(table), n, size))  # last[..., -k]: the sum k letters back
+    last[..., -1] = 1.0
+    log = np.zeros((len(table), n))
+    for a in range(0, length, max(1, LETTERS // n)):
+        b = min(length, a + max(1, LETTERS // n))
+        begin = max(0, a - size + 1)  # pieces that end in this part begin here at the earliest
+        p = _weights(pieces.at(codes[:, begin:b]), table)
+        p = np.concatenate([p, np.zeros((*p.shape[:3], size - p.shape[3]))], axis=3) if p.shape[3] < size else p
+        for end in range(a + 1, b + 1):
+            steps = np.arange(min(size, end), 0, -1)  # longest piece first, as in last
+            new = (last[..., size - len(steps) :] * p[:, :, end - steps - begin, steps - 1]).sum(axis=2)
+            last = np.concatenate([last[..., 1:], new[..., None]], axis=2)
+            if end % 8 == 0:
+                log += np.log(new)
+                last /= new[..., None]
+    return log + np.log(last[..., -1])
+
+
 def log_scores(runs: list[str], pieces: Pieces, table: np.ndarray) -> np.ndarray:
     """runs x languages: log probability of each run, all segmentations summed."""
     out = np.zeros((len(runs), len(table)))
     for where, codes in _by_length(runs):
-        out[where] = np.log(_forward(_weights(pieces.at(codes), table))[..., -1]).T
+        if codes.shape[1] <= RUN:
+            out[where] = np.log(_forward(_weights(pieces.at(codes), table))[..., -1]).T
+        else:
+            out[where] = _long_scores(codes, pieces, table).T
     return out
 
 
@@ -136,10 +171,10 @@ def expected_counts(runs: list[str], times: np.ndarray, pieces: Pieces, table: n
         b = np.zeros((len(where), length + 1))
         b[:, length] = 1.0
         for start in range(length - 1, -1, -1):
-            for k in range(1, min(PIECE, length - start) + 1):
+            for k in range(1, min(pieces.longest, length - start) + 1):
                 b[:, start] += p[:, start, k - 1] * b[:, start + k]
         for start in range(length):
-            for k in range(1, min(PIECE, length - start) + 1):
+            for k in range(1, min(pieces.longest, length - start) + 1):
                 share = times[where] * f[:, start] * p[:, start, k - 1] * b[:, start + k] / f[:, length]
                 hit = found[:, start, k - 1] >= 0
                 np.add.at(counts, found[hit, start, k - 1], share[hit])
@@ -164,7 +199,7 @@ def _count(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.
     def fold(i: int) -> None:
         runs, times = [], []
         for w, n in words[i].items():
-            parts = spelt(w)
+            parts = cut_runs(w)
             runs += parts
             times += [n] * len(parts)
         if runs:
@@ -229,10 +264,7 @@ def _predict(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[p
                 known, rows = _Scores(), np.empty((0, len(model.langs)))
             texts = [np.fromiter(map(known.__getitem__, w), np.int64, len(w)) for w in ((t or "").lower().split() for t in part.column(1).to_pylist())]
             if known.waiting:
-                runs = [spelt(w) for w in known.waiting]
-                flat = log_scores([r for rs in runs for r in rs], model.pieces, model.table)
-                starts = np.cumsum([0, *(len(rs) for rs in runs[:-1])])
-                rows = np.concatenate([rows, np.add.reduceat(flat, starts, axis=0)])
+                rows = np.concatenate([rows, log_scores([spelt(w) for w in known.waiting], model.pieces, model.table)])
                 known.waiting.clear()
             total = np.array([rows[t].sum(axis=0) if len(t) else np.zeros(len(model.langs)) for t in texts])
             best = total.argmax(axis=1)

@@ -42,6 +42,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("learned").cast("long").alias("loss_chars"),
         F.sha2("learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "n_illegal",
+        "valid",
     )
 
 
@@ -54,13 +56,16 @@ m AS (
   SELECT *, CASE role WHEN 'system' THEN 12 WHEN 'user' THEN 10 WHEN 'assistant' THEN 15 ELSE 7 + length(url_encode(role)) END + 8 AS marks,
     length(text) + (length(text) - length(replace(text, '\', ''))) + (length(text) - length(replace(text, '</turn>', ''))) // 7
       + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{3,}'), lambda r: length(r) - 2)), 0) AS escaped
-  FROM t)
+  FROM t),
+o AS (SELECT *, row_number() OVER w AS place, lag(role, 1, 'start') OVER w AS state FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
 SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(marks + escaped)::BIGINT AS formatted_chars
-FROM m GROUP BY conv_id
+  sum(marks + escaped)::BIGINT AS formatted_chars,
+  count(*) FILTER (NOT legal)::BIGINT AS n_illegal, count(*) FILTER (NOT legal) = 0 AS valid
+FROM (SELECT *, (state, role) IN (('start', 'system'), ('start', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user')) AS legal FROM o)
+GROUP BY conv_id
 """
 
 QUERIES = {"op3_warc": op3_warc, "op10_chat": op10_chat}

@@ -52,10 +52,19 @@ def test_query_finds_whole_items(spark):
     assert {(a, b) for a, t in docs for b, s in items if s in t} <= got and got
 
 
+def test_items_shorter_than_a_gram():
+    items = [(1, "a b"), (2, "tiny"), (3, "!!"), (4, "b"), (5, "tiny ab")]
+    index = dc.build(items)
+    texts = ["a b a b", "tiny", "tinyb atiny", "x tiny ab", "", "A-B? tiny".lower()]
+    got = {(x, index.items[item], a, b) for x, item, a, b, _ in dc.matches([dc.normalized(t) for t in texts], index)}
+    want = {(x, i, a, a + len(p)) for x, t in enumerate(map(dc.normalized, texts)) for i, s in items if (p := dc.normalized(s)) for a in range(len(t)) if f" {t} "[a : a + len(p) + 2] == f" {p} "}
+    assert got == want and len(want) == 10
+
+
 def test_odd_rows(spark):
     bench = spark.createDataFrame([(1, "The quick brown fox, jumps over THE lazy dog again", "x"), (1, None, "x"), (None, "another passage that is long enough", "x"), (3, "short", "x")], "item_id long, text string, doc_id string")
     docs = spark.createDataFrame([(1, "so the quick brown fox jumps over the lazy dog again!", 0), (1, "so the quick brown fox jumps over the lazy dog again!", 0), (2, None, 0), (3, "", 0), (None, "another  passage that is\nlong enuogh", 0), (4, "short", 0)], "doc_id long, text string, item_id int")
     got = sorted(((r.doc_id, r.item_id) for r in dc.contaminated(docs, bench).collect()), key=str)
-    assert got == [(1, 1), (1, 1), (None, None)]
+    assert got == [(1, 1), (1, 1), (4, 3), (None, None)]
     assert dc.contaminated(docs, bench.where("false")).count() == 0 == dc.contaminated(docs.where("false"), bench).count()
     assert np.array_equal(dc.grams(np.zeros(3, np.uint32)), [])

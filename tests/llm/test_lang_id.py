@@ -1,6 +1,7 @@
 """The forward sum against enumeration, and held-out accuracy."""
 
 import numpy as np
+import pytest
 
 from factloom.llm import lang_id, q_text
 
@@ -25,7 +26,7 @@ def ways(text, p):
 
 
 def test_forward_and_expected_counts():
-    runs = [*lang_id.spelt("abab"), *lang_id.spelt("bab"), *lang_id.spelt("aéb"), "bab", "b"]
+    runs = [lang_id.spelt("abab"), lang_id.spelt("bab"), lang_id.spelt("aéb"), "bab", "b"]
     pieces = lang_id.Pieces(PIECES)
     got = lang_id.log_scores(runs, pieces, table())
     want = [[np.log(sum(q for q, _ in ways(r, p))) for p in table()] for r in runs]
@@ -41,6 +42,38 @@ def test_forward_and_expected_counts():
     assert np.allclose(lang_id.expected_counts(runs, times, pieces, table()[:1]), expected)
 
 
+def plain(text, p):
+    """Log of the forward sum, one number at a time, in whole fractions."""
+    from fractions import Fraction
+
+    f = [Fraction(1)]
+    for end in range(1, len(text) + 1):
+        at = lambda k: p[PIECES.index(text[end - k : end])] if text[end - k : end] in PIECES else lang_id.UNKNOWN if k == 1 else 0  # noqa: E731, B023
+        f.append(sum(f[end - k] * Fraction(float(at(k))) for k in range(1, min(3, end) + 1)))
+    return float(f[-1].numerator.bit_length() - f[-1].denominator.bit_length()) * np.log(2), f[-1]
+
+
+@pytest.mark.parametrize("letters", [1, 7, 64, 16_384])
+def test_long_words_are_summed_whole(monkeypatch, letters):
+    monkeypatch.setattr(lang_id, "LETTERS", letters)
+    words = [lang_id.spelt(w) for w in ("ab" * 12, "bab" * 8 + "é", "aéb" * 40, "ab" * 300, "é" * 200, "ba" * 12, "ab" * 11 + "a", "bab" * 100)]
+    got = lang_id.log_scores(words, lang_id.Pieces(PIECES), table())
+    for w, row in zip(words, got, strict=True):
+        for p, x in zip(table(), row, strict=True):
+            rough, exact = plain(w, p)
+            assert abs(x - (rough + np.log(float(exact / 2 ** round(rough / np.log(2))) if rough > 0 else float(exact * 2 ** round(-rough / np.log(2)))))) < 1e-6 * len(w)
+
+
+def test_every_piece_of_the_vocabulary_counts():
+    path = q_text.vocabulary("piece_bpe_32k.model")
+    pieces = lang_id.vocabulary_pieces(path)
+    index = lang_id.Pieces(pieces)
+    assert index.longest == max(map(len, pieces)) > 10
+    longest = [p for p in pieces if len(p) == index.longest][0]
+    codes = np.array([[ord(c) for c in longest]], np.uint64)
+    assert index.at(codes)[0, 0, index.longest - 1] == pieces.index(longest)
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     got = q_text.op1_lang_id(spark, d).where("held_out").join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()

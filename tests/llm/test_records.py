@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, warc
+from factloom.llm import chat, q_records, warc
 
 
 def page_rows():
@@ -69,4 +69,16 @@ def test_chats_read_back(spark, rows):
 def test_turn_order(spark):
     talks = {1: ["user", "assistant"], 2: ["system", "user", "assistant", "user"], 3: ["assistant"], 4: ["user", "user"], 5: ["user", "tool"]}
     df = spark.createDataFrame([(c, i, r, "t") for c, rs in talks.items() for i, r in enumerate(rs)], "conv_id long, turn long, role string, text string")
-    assert {r.conv_id: r.valid for r in chat.format_chats(df).collect()} == {1: True, 2: True, 3: False, 4: False, 5: False}
+    assert {r.conv_id: (r.n_illegal, r.valid) for r in chat.format_chats(df).collect()} == {1: (0, True), 2: (0, True), 3: (1, False), 4: (1, False), 5: (1, False)}
+    assert chat.format_chats(df.where("false")).count() == 0
+
+
+def test_machine_is_in_the_plan(spark):
+    plan = q_records.op10_chat(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda legal" in plan or "legal" in plan and "aggregate(" in plan
+
+
+def test_long_conversation(spark):
+    turns = spark.range(20_000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('t', id) AS text")
+    (r,) = chat.format_chats(turns).select("n_turns", "valid", F.size("segments").alias("n")).collect()
+    assert (r.n_turns, r.valid, r.n) == (20_000, True, 60_000)
