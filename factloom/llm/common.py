@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Ids up to which a set of ids is broadcast (8 bytes each); beyond that the join shuffles.
+#: Keys up to which a set of keys is broadcast (16 bytes each); beyond that the join shuffles.
 BROADCAST_IDS = 200_000
 
 
@@ -18,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or on one machine, as in tests, a folder of our own where that is unset."""
     sc = spark.sparkContext
     if spark.conf.get("spark.checkpoint.dir", None):
         path = spark.conf.get("spark.checkpoint.dir")
@@ -26,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(path)
         return path
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -40,11 +45,39 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id isn't in ids; rows without a doc_id stay. Ids are broadcast only up to BROADCAST_IDS."""
-    ids = cut(ids.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct())
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["_id"], "left_anti")
+#: What tells rows apart: the id, and a hash of the text, as a doc_id may be null or repeated.
+ROW = ("doc_id", "text_key")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key and text: one key for rows with the same id and text."""
+    return docs.select("doc_id", F.xxhash64(F.col("text").isNull(), "text").alias("text_key"), "text")
+
+
+def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of docs whose key isn't in rows (ROW); null ids are equal. Keys are broadcast only up to BROADCAST_IDS."""
+    gone = cut(rows.select(*(F.col(c).alias(f"_{c}") for c in ROW)).distinct())
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    key = F.xxhash64(F.col("text").isNull(), "text") == F.col("_text_key")
+    return docs.join(F.broadcast(gone) if few else gone, key & docs["doc_id"].eqNullSafe(gone["_doc_id"]), "left_anti")
+
+
+def give_back() -> None:
+    """Return freed memory to the system; workers live from stage to stage, and what one stage freed another executor part may need."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def releasing(f: Callable[..., Iterator[pa.RecordBatch]], **fixed) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f over batches with its other arguments fixed; freed memory is given back after the last batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches, **fixed)
+        give_back()
+
+    return run
 
 
 def crc_bucket(doc_id: str | Column, n: int) -> Column:

@@ -21,7 +21,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from factloom.llm.common import mix
+from factloom.llm.common import mix, releasing
 
 WINDOW = 60
 STRIDE = 10
@@ -266,24 +265,25 @@ def _search(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            ids = part.column(0).to_pylist()
-            found = matches([normalized(t) for t in part.column(1).to_pylist()], index)
+            found = matches([normalized(t) for t in part.column(0).to_pylist()], index)
             columns = list(zip(*found, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in columns[0]], pa.int64()), pa.array([index.items[x] for x in columns[1]], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[2:])], ["doc_id", "item_id", "start", "end", "edits"])
+            keys = [k.take(pa.array(columns[0], pa.int64())) for k in part.columns[1:]]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array([index.items[x] for x in columns[1]], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[2:])], [*part.schema.names[1:], "item_id", "start", "end", "edits"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, start, end, edits: each region of a document (doc_id, text) that holds a passage of benchmark (item_id, text)."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keys, item_id, start, end, edits: each region of a document (keys, text) that holds a passage of benchmark (item_id, text)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("text").cast("string").alias("text"), *(F.col(k).cast("long").alias(k) for k in keys))
+    schema = ", ".join(f"`{k}` long" for k in keys) + ", item_id long, start int, end int, edits int"
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = 1 + int(chars) // BLOCK_CHARS
-    out = spark.createDataFrame([], "doc_id long, item_id long, start int, end int, edits int")
+    out = spark.range(0).select(*(F.lit(None).cast(c.split()[-1]).alias(c.split()[0].strip("`")) for c in schema.split(", ")))
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()  # bounded by BLOCK_CHARS, about
         index = build(sorted(((r["item_id"], r["text"]) for r in rows), key=str))
         if index.items:
             shared = spark.sparkContext.broadcast(index)
-            out = out.union(docs.mapInArrow(partial(_search, shared=shared), "doc_id long, item_id long, start int, end int, edits int"))
+            out = out.union(docs.mapInArrow(releasing(_search, shared=shared), schema))
     return out

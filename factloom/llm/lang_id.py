@@ -17,13 +17,14 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
+from factloom.llm.common import releasing
+
 #: Documents per language that the fit reads, about (a uniform sample by hash of the doc_id beyond that).
 TRAIN_DOCS = 3000
 ROUNDS = 2
@@ -229,12 +230,12 @@ def fit(docs: DataFrame, vocabulary: str) -> Model:
     model = Model(langs, pieces, np.full((len(langs), pieces.size), 1.0 / pieces.size))
     if not langs:
         return model
-    shares = spark.createDataFrame([(x, float(min(1.0, TRAIN_DOCS / n))) for x, n in sizes.items()], "lang string, share double")
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, float(min(1.0, TRAIN_DOCS / n)))]), F.col("lang"))
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    rows = docs.join(F.broadcast(shares), "lang").where((chance < F.col("share")) | (F.col("share") >= 1)).select("lang", "text")
+    rows = docs.where((chance < share) | (share >= 1)).select("lang", "text")
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model)
-        found = rows.mapInArrow(partial(_count, shared=shared), "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+        found = rows.mapInArrow(releasing(_count, shared=shared), "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
         counts = np.full(model.table.shape, SMOOTHING)
         np.add.at(counts, (found["lang"].to_numpy(), found["piece"].to_numpy()), found["n"].to_numpy())
         shared.destroy()
@@ -262,22 +263,24 @@ def _predict(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[p
             part = batch.slice(start, 256)
             if len(known) > CACHE_WORDS:
                 known, rows = _Scores(), np.empty((0, len(model.langs)))
-            texts = [np.fromiter(map(known.__getitem__, w), np.int64, len(w)) for w in ((t or "").lower().split() for t in part.column(1).to_pylist())]
+            texts = [np.fromiter(map(known.__getitem__, w), np.int64, len(w)) for w in ((t or "").lower().split() for t in part.column(0).to_pylist())]
             if known.waiting:
                 rows = np.concatenate([rows, log_scores([spelt(w) for w in known.waiting], model.pieces, model.table)])
                 known.waiting.clear()
             total = np.array([rows[t].sum(axis=0) if len(t) else np.zeros(len(model.langs)) for t in texts])
             best = total.argmax(axis=1)
             score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-            letters = np.array(part.column(2).to_pylist(), bool)
+            letters = np.array(part.column(1).to_pylist(), bool)
             langs = [model.langs[b] if ok else "und" for b, ok in zip(best, letters, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(np.where(letters, score, 0.0))], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(langs, pa.string()), pa.array(np.where(letters, score, 0.0))], [*part.schema.names[2:], "lang_pred", "score"])
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred and score (the language's share of the probability of the text) for each row of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def identify(docs: DataFrame, model: Model, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keys, lang_pred and score (the language's share of the probability of the text) for each row of docs (keys, text)."""
+    keyed = [F.col(k).cast("long").alias(k) for k in keys]
     if not model.langs:
-        return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*keyed, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.withColumn("letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(partial(_predict, shared=shared), "doc_id long, lang_pred string, score double")
+    text = F.col("text").cast("string")
+    docs = docs.select(text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letter"), *keyed)
+    return docs.mapInArrow(releasing(_predict, shared=shared), ", ".join(f"`{k}` long" for k in keys) + ", lang_pred string, score double")

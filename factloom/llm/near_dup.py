@@ -15,14 +15,13 @@ non-null doc_id of its component. Ties need no rule, as a component's id is a mi
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from factloom.llm.common import WordHashes, cut, mix, windows
+from factloom.llm.common import WordHashes, cut, give_back, mix, releasing, windows
 
 SKETCH_BITS = 512
 #: A pair is confirmed on full sets while its estimate is above the threshold less this: five standard deviations at 160 samples.
@@ -73,7 +72,7 @@ def odd_sketch(signatures: np.ndarray) -> np.ndarray:
 def _sketches(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     a, b = _coefficients(bands * rows)
     for batch in batches:
-        texts = batch.column(1)
+        texts = batch.column(0)
         for at in range(0, len(texts), 512):
             sizes, keys, sigs = [], [], []
             for t in texts[at : at + 512].to_pylist():
@@ -87,7 +86,8 @@ def _sketches(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int)
             for i in range(rows):
                 acc = mix(acc + band[:, :, i])
             listed = lambda m: pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 512], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), listed(acc.view(np.int64)), listed(odd_sketch(sig))], ["doc_id", "n_shingles", "set_key", "bands", "sketch"])
+            carried = [c[at : at + 512] for c in batch.columns[1:]]
+            yield pa.RecordBatch.from_arrays([*carried, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), listed(acc.view(np.int64)), listed(odd_sketch(sig))], [*batch.schema.names[1:], "n_shingles", "set_key", "bands", "sketch"])
 
 
 def estimates(sketch: np.ndarray, sketches: np.ndarray, samples: int) -> np.ndarray:
@@ -134,6 +134,9 @@ def _links(table: pa.Table, k: int, num: int, den: int, samples: int) -> pa.Tabl
                 out.append((nodes[x], nodes[y]))
                 label[label == label[y]] = label[x]
     pairs = np.array(out, np.int64).reshape(-1, 2)
+    del sets, sketches, flat, mark
+    if table.nbytes > 1 << 20:
+        give_back()
     return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
 
@@ -141,9 +144,11 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node each node of the edges (u, v) reaches, by alternating large and small stars until only stars are left."""
     e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     while True:
-        e = e.coalesce(1 + e.count() // EDGES_A_TASK)
-        several = e.groupBy("u").count().where("count > 1")
-        if several.isEmpty() and e.join(e.select(F.col("v").alias("w")), F.col("u") == F.col("w"), "left_semi").isEmpty():
+        side = lambda x: e.select(F.col(x).alias("node"), F.lit(int(x == "u")).alias("up"), F.lit(x == "v").alias("down"))  # noqa: E731, B023
+        per = side("u").unionByName(side("v")).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        n, more = per.agg(F.coalesce(F.sum("up"), F.lit(0)), F.coalesce(F.max((F.col("up") > 1) | (F.col("up") > 0) & F.col("down")), F.lit(False))).first()
+        e = e.coalesce(1 + n // EDGES_A_TASK)
+        if not more:
             return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
@@ -186,14 +191,16 @@ def _confirmed(classes: DataFrame, families: DataFrame, docs: DataFrame, k: int,
     return meets.groupBy("label", "lo", "hi").applyInArrow(lambda t: _links(t, k, num, den, samples), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int] = (80, 100), bands: int = 32, rows: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept, for each row of docs (doc_id, text).
+def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int] = (80, 100), bands: int = 32, rows: int = 5, keys: tuple[str, ...] = ("doc_id",), labelled: bool = False) -> DataFrame:
+    """keys, n_shingles, component_id (smallest doc_id reachable), kept, for each row of docs (keys, of which doc_id is one, and text).
 
-    Two documents are linked when threshold[1] * intersection >= threshold[0] * union of their shingle sets.
+    Two documents are linked when threshold[1] * intersection >= threshold[0] * union of their shingle sets. With
+    labelled also label, one number for the rows of a component and null for rows without words.
     """
     num, den = threshold
-    docs = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    each = cut(docs.mapInArrow(partial(_sketches, k=shingle, bands=bands, rows=rows), "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"))
+    docs = docs.select(F.col("text").cast("binary").alias("text"), *(F.col(k).cast("long").alias(k) for k in keys))
+    named_keys = ", ".join(f"`{k}` long" for k in keys)
+    each = cut(docs.mapInArrow(releasing(_sketches, k=shingle, bands=bands, rows=rows), f"{named_keys}, n_shingles long, set_key binary, bands array<long>, sketch array<long>"))
     filled = each.where("set_key is not null")
     best = F.min_by(F.struct("n_shingles", "bands", "sketch"), F.coalesce("doc_id", F.lit(2**63 - 1)))
     classes = filled.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), best.alias("x")).select("set_key", "doc_id", "x.*")
@@ -201,10 +208,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int
 
     samples = bands * rows
     families = _families(classes, bands, num, den, samples)
-    labels = components(_confirmed(classes, families, docs, shingle, num, den, samples))
+    labels = components(_confirmed(classes, families, docs.select("doc_id", "text"), shingle, num, den, samples))
     named = classes.select("set_key", "doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(smallest, "label").select("set_key", "component_id")
-    out = each.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    named = named.join(smallest, "label").select("set_key", "component_id", "label")
+    out = each.select(*keys, "n_shingles", "set_key").join(named, "set_key", "left")
     of = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", of.alias("component_id"), F.col("doc_id").eqNullSafe(of).alias("kept"))
+    return out.select(*keys, "n_shingles", of.alias("component_id"), F.col("doc_id").eqNullSafe(of).alias("kept"), *["label"] * labelled)

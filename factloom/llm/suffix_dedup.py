@@ -24,7 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from factloom.llm.common import mix
+from factloom.llm.common import give_back, mix
 
 LENGTH = 50
 #: Bytes of the q-grams among which anchors are chosen.
@@ -32,7 +32,7 @@ Q = 16
 #: A perfect difference cover: every number modulo V is a difference of two of COVER.
 V, COVER = 13, (0, 1, 3, 9)
 #: Bytes of text in a batch and bytes of stretches in a bucket, about; suffixes in a block; positions hashed at a time.
-BATCH_BYTES, BUCKET_BYTES = 4 << 20, 6 << 20
+BATCH_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
 BLOCK = 1 << 20
 PIECE = 1 << 19
 NO_DOC = np.int64(2**63 - 1)
@@ -188,7 +188,9 @@ def words(text: np.ndarray) -> np.ndarray:
     """The eight bytes from each position, as a number that sorts like them; text has to be padded."""
     w = text.astype(np.uint64)
     for k in (1, 2, 4):
-        w = (w[:-k] << np.uint64(8 * k)) | w[k:]
+        step = w[:-k] << np.uint64(8 * k)
+        step |= w[k:]
+        w = step
     return w
 
 
@@ -222,6 +224,7 @@ def least_docs(text: np.ndarray, starts: np.ndarray, docs: np.ndarray) -> np.nda
     word = words(np.concatenate([text, np.zeros(LENGTH + 6 * V, np.uint8)]))
     ranks = cover_ranks(word, n + V)
     head = word[starts]
+    starts = starts.astype(np.int32 if n < 1 << 31 else np.int64)
     out = np.empty(len(starts), np.int64)
     n_blocks = 1 + len(starts) // BLOCK
     splits = np.unique(np.partition(head, np.arange(1, n_blocks) * len(head) // n_blocks)[np.arange(1, n_blocks) * len(head) // n_blocks]) if n_blocks > 1 else np.empty(0, np.uint64)
@@ -288,7 +291,7 @@ def _sources(table: pa.Table) -> pa.Table:
     # stretches with the same bytes are sorted once, under their smallest document
     numbers, docs, sizes, starts, batch, anchors = (x[keep] for x in (numbers, docs, sizes, starts, batch, anchors))
     text = gather(whole, starts, sizes + LENGTH - 1)
-    del whole
+    del whole, starts
     ends = np.cumsum(sizes + LENGTH - 1)
     raw = text.tobytes()
     known: dict[bytes, int] = {}
@@ -300,6 +303,7 @@ def _sources(table: pa.Table) -> pa.Table:
     begins = np.cumsum(sizes[first] + LENGTH - 1) - sizes[first] - LENGTH + 1
     runs = np.repeat(begins - np.cumsum(sizes[first]) + sizes[first], sizes[first]) + np.arange(sizes[first].sum())
     least = least_docs(text, runs, np.repeat(docs[first], sizes[first]))
+    del text, runs
     at = np.cumsum(sizes[first]) - sizes[first]
     # every stretch of a class asks for its own document
     length = sizes
@@ -307,6 +311,7 @@ def _sources(table: pa.Table) -> pa.Table:
     hit = least[asked] < np.repeat(docs, length)
     owner = np.repeat(np.arange(len(length)), length)
     inner = np.concatenate([[False], (owner[1:] == owner[:-1])])
+    del asked
     open_ = np.flatnonzero(hit & ~(np.concatenate([[False], hit[:-1]]) & inner))
     close = np.flatnonzero(hit & ~(np.append(hit[1:], False) & np.append(inner[1:], False))) + 1
     if not len(open_):
@@ -350,6 +355,11 @@ def _remove(left: pa.Table, right: pa.Table, names: list[str], text_too: bool =
     return out.append_column("kept_text", pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())) if text_too else out
 
 
+def _given(table: pa.Table) -> pa.Table:
+    give_back()
+    return table
+
+
 def dedup(docs: DataFrame, text_too: bool = False) -> DataFrame:
     """docs (doc_id, text and others) with kept_bytes (what is left, as bytes) and removed_spans (start, end in bytes of the text).
 
@@ -363,10 +373,10 @@ def dedup(docs: DataFrame, text_too: bool = False) -> DataFrame:
     batches, buckets = 1 + size // BATCH_BYTES, 1 + size * 4 // BUCKET_BYTES  # stretches hold a byte 3.7 times over on average
     key = F.pmod(F.xxhash64("doc_id", "text_bytes"), F.lit(batches))
     dealt = docs.withColumn("batch", key).repartition(batches, "batch")
-    known = dealt.groupBy("batch").applyInArrow(lambda t: _announce(t, buckets), ANNOUNCED).groupBy("bucket").applyInArrow(lambda t: _shared(t), SHARED)
-    shipped = dealt.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(lambda a, b: _ship(a, b, buckets), SHIPPED)
-    replies = shipped.groupBy("bucket").applyInArrow(lambda t: _sources(t), "batch long, runs binary")
+    known = dealt.groupBy("batch").applyInArrow(lambda t: _given(_announce(t, buckets)), ANNOUNCED).groupBy("bucket").applyInArrow(lambda t: _shared(t), SHARED)
+    shipped = dealt.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(lambda a, b: _given(_ship(a, b, buckets)), SHIPPED)
+    replies = shipped.groupBy("bucket").applyInArrow(lambda t: _given(_sources(t)), "batch long, runs binary")
     rest = [c for c in docs.columns if c != "text_bytes"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest, "text_bytes").schema), "kept_bytes binary", "removed_spans array<struct<start:bigint,end:bigint>>", *["kept_text string"] * text_too])
-    out = dealt.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(lambda a, b: _remove(a, b, [*rest, "text_bytes"], text_too), schema)
+    out = dealt.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(lambda a, b: _given(_remove(a, b, [*rest, "text_bytes"], text_too)), schema)
     return out.withColumn("text", F.col("text_bytes").cast("string")).select(*names, *more)

@@ -20,12 +20,14 @@ import json
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache, partial
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from factloom.llm.common import releasing
+
 #: Words (about 200 bytes each) that a worker keeps; twice as many at most, as the older half is dropped at once.
 CACHE_WORDS = 150_000
 #: Pairs of tokens (about 120 bytes each) whose test a worker keeps.
@@ -220,4 +222,4 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     vocabulary is the path of the tokenizer's file, readable on every executor. Rows need no shuffle: each worker keeps a
     bounded cache of words.
     """
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(partial(_encode, path=vocabulary), "doc_id long, ids binary, decoded string")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(releasing(_encode, path=vocabulary), "doc_id long, ids binary, decoded string")

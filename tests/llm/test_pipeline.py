@@ -68,4 +68,17 @@ def test_odd_rows(spark, tmp_path):
         docs = spark.createDataFrame(some, SCHEMA)
         for _, stage in cp.STAGES:
             docs = stage(spark, docs, str(tmp_path))
-        assert docs.count() == (2 if some else 0)
+        assert docs.count() == (1 if some else 0)  # the row without a doc_id is a copy of document 1
+
+
+def test_rows_without_or_under_one_id(spark, tmp_path):
+    rng = random.Random(3)
+    said = lambda k: " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 7))) for _ in range(k))
+    item, a, b, c = said(25), said(40), said(40), said(40)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(7, a, "en", "s", 1), (7, b, "en", "s", 1), (7, b, "en", "s", 1), (8, a, "en", "t", 1), (None, b, "en", "s", 1), (None, c, "en", "s", 1), (None, c, "en", "s", 1), (None, said(9) + " " + item, "en", "s", 1), (9, "", "en", "s", 1), (9, "", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    near = cp.near_dedup(spark, docs, str(tmp_path))
+    assert near.columns == docs.columns
+    assert sorted((tuple(r)[:2] for r in near.collect()), key=str) == sorted([(7, a), (7, b), (None, c), (None, rows[7][1]), (9, ""), (9, "")], key=str)
+    assert sorted((tuple(r)[:2] for r in cp.decontamination(spark, docs, str(tmp_path)).collect()), key=str) == sorted((r[:2] for r in rows if r is not rows[7]), key=str)
