@@ -1,8 +1,8 @@
 """A training-data pipeline over ``documents``: language, near-duplicates, passages, benchmark, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents. Documents are told apart by doc_id: a decision on a doc_id
-holds for every row that has it, and rows without a doc_id pass the stages that decide by it.
+one's docs. All but the last return the columns of documents. Decisions are on rows, told apart by doc_id and text, so that
+a null doc_id or one that stands twice is no exception; rows with the same doc_id and text are one document repeated.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom.llm import decontaminate, lang_id, near_dup, suffix_dedup, trie_bpe
-from factloom.llm.common import cut, fresh_path, table, without_ids
+from factloom.llm.common import ROW, cut, fresh_path, keyed, table, without_rows
 from factloom.llm.q_text import vocabulary
 
 #: A document stays if its most likely language has this share of its probability at least.
@@ -23,17 +23,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.where(F.col("text").rlike(r"\p{L}"))
     if not model.langs:
         return docs
-    return without_ids(docs, lang_id.identify(docs, model).where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SHARE)))
+    return without_rows(docs, lang_id.identify(keyed(docs), model, ROW).where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SHARE)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more): that of the smallest doc_id."""
-    found = cut(near_dup.near_duplicates(docs).select("doc_id", "kept"))
-    kept = without_ids(docs, found.where("not kept"))
-    ids = found.where("kept and doc_id is not null").groupBy("doc_id").count()
-    if not ids.where("count > 1").isEmpty():  # rows repeated under one doc_id
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept
+    """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more): the first by doc_id (null last) and text.
+
+    Rows repeated under one doc_id and text are one document, of which one row stays; rows without words are linked with nothing.
+    """
+    found = cut(near_dup.near_duplicates(keyed(docs), keys=ROW, labelled=True).where("label is not null").select(*ROW, "label"))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), *ROW)
+    first = found.groupBy("label").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("label", "first")
+    kept = without_rows(docs, found.join(first, "label").where(place != F.col("first")))
+    repeated = cut(found.groupBy(*ROW).count().where("count > 1").select(*ROW))
+    if repeated.isEmpty():
+        return kept
+    names = kept.columns
+    kept = kept.withColumn("_row_key", F.xxhash64(F.col("text").isNull(), "text"))
+    again = repeated.select(F.col("doc_id").alias("_again_id"), F.col("text_key").alias("_again_key"))
+    same = (F.col("_row_key") == F.col("_again_key")) & F.col("doc_id").eqNullSafe(F.col("_again_id"))
+    once = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "_row_key"])
+    return kept.join(again, same, "left_anti").unionByName(once).select(*names)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +56,7 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    return without_ids(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")))
+    return without_rows(docs, decontaminate.contaminated(keyed(docs), table(spark, sf_dir, "benchmark"), ROW))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
