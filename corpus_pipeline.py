@@ -33,8 +33,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = cut(near_dup.near_duplicates(keyed(docs), keys=ROW, labelled=True).where("label is not null").select(*ROW, "label"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), *ROW)
-    first = found.groupBy("label").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("label", "first")
-    kept = without_rows(docs, found.join(first, "label").where(place != F.col("first")))
+    first = found.groupBy("label").agg(F.min(place).alias("x")).select(F.col("x.doc_id").alias("first_id"), F.col("x.text_key").alias("first_key"))
+    is_first = (F.col("text_key") == F.col("first_key")) & F.col("doc_id").eqNullSafe(F.col("first_id"))  # by row, not by label: a group may be large
+    kept = without_rows(docs, found.join(first, is_first, "left_anti"))
     repeated = cut(found.groupBy(*ROW).count().where("count > 1").select(*ROW))
     if repeated.isEmpty():
         return kept
