@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from factloom.model import EDGE_KINDS
+from factloom.session import shared_folder
 
 MAX_DEPTH = 20
 MAX_VISITS = 10_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that spark.checkpoint.dir names (a temporary one where it is unset, as in tests)."""
+    """Reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 

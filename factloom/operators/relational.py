@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factloom.model import EXPORTED
+from factloom.operators.graph import cut
 
 
-def intern(strings: DataFrame, column: str, partitions: int = 64) -> DataFrame:
+def intern(strings: DataFrame, column: str, partitions: int | None = None) -> DataFrame:
     """str_id, s: dense ids from 1 in the order of the distinct strings.
 
     The strings are dealt by range, ranked within their range, and lifted by the sizes of the ranges before; no window sees
     more than one range, and only one number per range is shared.
     """
     s = strings.select(F.col(column).alias("s")).where("s is not null").distinct()
-    dealt = s.repartitionByRange(partitions, "s").withColumn("part", F.spark_partition_id())
-    ranked = dealt.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("s")))
-    sizes = ranked.groupBy("part").agg(F.max("r").alias("n"), F.min("s").alias("low"))
-    # ranges are told apart by their smallest string, so a second run of the plan cannot mix them up; one row per range
-    before = sizes.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # cut once: a range that is dealt again after a loss must not differ from the one that was counted
+    ranked = cut(s.repartitionByRange(*([partitions] if partitions else []), "s").withColumn("part", F.spark_partition_id()).withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("s"))))
+    sizes = ranked.groupBy("part").agg(F.max("r").alias("n"))  # one row per range
+    before = sizes.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return ranked.join(F.broadcast(before.select("part", "base")), "part").select((F.col("base") + F.col("r")).alias("str_id"), "s")
 
 

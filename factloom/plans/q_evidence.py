@@ -85,7 +85,7 @@ def edge_chase(spark: SparkSession, d: str) -> DataFrame:
     return ends.select("src", "terminal").unionByName(p.where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("src"), F.col("p_partkey").alias("terminal"))).join(types, "terminal").select("src", "type")
 
 
-@register("method_return_type", f"WITH {W_SQL}, r AS (SELECT att % 1000 AS method, att // 1000 AS class, arg_max(type, seq) FILTER (type IS NOT NULL) AS type FROM w GROUP BY att HAVING count(type) > 0) SELECT c_custkey, method, arg_min(type, depth) AS type FROM (SELECT c_custkey, 0 AS depth, c_custkey % 150 AS class FROM customer WHERE c_custkey < 300 UNION ALL SELECT c_custkey, 1, c_nationkey FROM customer WHERE c_custkey < 300) a JOIN r USING (class) WHERE method < 5 GROUP BY c_custkey, method")
+@register("method_return_type", f"WITH {W_SQL}, r AS (SELECT att % 1000 AS method, att // 1000 AS class, arg_max(type, seq) FILTER (type IS NOT NULL) AS type FROM w GROUP BY att HAVING count(type) > 0) SELECT c_custkey, method, arg_min(type, depth) AS type FROM (SELECT c_custkey, 0 AS depth, c_custkey % 150 AS class FROM customer UNION ALL SELECT c_custkey, 1, c_nationkey FROM customer) a JOIN r USING (class) GROUP BY c_custkey, method")
 def method_return_type(spark: SparkSession, d: str) -> DataFrame:
     """The first class in resolution order that has a type for the method."""
     r = witnesses(spark, d).groupBy("att").agg(E.latest(F.col("type"), F.col("seq")).alias("type")).where("type is not null")

@@ -58,7 +58,7 @@ def udaf_join(spark: SparkSession, d: str) -> DataFrame:
     return X.reducers(e, "key", [F.max(F.when(F.col("event_type") == "error", "error")), F.min("event_type")])
 
 
-@register("lateral_tokens", "SELECT p_partkey, count(*) AS n FROM (SELECT p_partkey, unnest(regexp_extract_all(p_name, '[A-Za-z_][0-9A-Za-z_]*')) AS w FROM part WHERE p_partkey < 300) GROUP BY p_partkey")
+@register("lateral_tokens", "SELECT p_partkey, count(*) AS n FROM (SELECT p_partkey, unnest(regexp_extract_all(p_name, '[A-Za-z_][0-9A-Za-z_]*')) AS w FROM part) GROUP BY p_partkey")
 def lateral_tokens(spark: SparkSession, d: str) -> DataFrame:
     """A Python table function under LATERAL."""
     X.register(spark)

@@ -43,14 +43,14 @@ def ancestors_mro(spark: SparkSession, d: str) -> DataFrame:
     return G.depth_first(hierarchy(spark, d), seeds)
 
 
-@register("closure_parts", f"WITH RECURSIVE {P_SQL}, c AS (SELECT p_partkey AS origin, p_partkey AS node, 0 AS depth FROM part WHERE p_partkey % 20 = 0 UNION SELECT origin, dst, depth + 1 FROM c JOIN e ON node = src WHERE depth < 20) SELECT origin, node, min(depth) AS depth FROM c WHERE node <> origin GROUP BY origin, node")
+@register("closure_parts", f"WITH RECURSIVE {P_SQL}, c AS (SELECT p_partkey AS origin, p_partkey AS node, 0 AS depth FROM part UNION SELECT origin, dst, depth + 1 FROM c JOIN e ON node = src WHERE depth < 20) SELECT origin, node, min(depth) AS depth FROM c WHERE node <> origin GROUP BY origin, node")
 def closure_parts(spark: SparkSession, d: str) -> DataFrame:
     """Everything reachable from every part, with fewest steps: diamonds at every level."""
     seeds = table(spark, d, "part").select(F.col("p_partkey").alias("origin"))
     return G.closure(parts_graph(spark, d), seeds).select("origin", "node", "depth")
 
 
-@register("closure_capped", f"WITH RECURSIVE {P_SQL}, c AS (SELECT p_partkey AS origin, p_partkey AS node, 0 AS depth FROM part WHERE p_partkey % 50 = 1 UNION SELECT origin, dst, depth + 1 FROM c JOIN e ON node = src WHERE depth < 2) SELECT origin, node, min(depth) AS depth, min(depth) = 2 AND node > 0 AS truncated FROM c WHERE node <> origin GROUP BY origin, node")
+@register("closure_capped", f"WITH RECURSIVE {P_SQL}, c AS (SELECT p_partkey AS origin, p_partkey AS node, 0 AS depth FROM part UNION SELECT origin, dst, depth + 1 FROM c JOIN e ON node = src WHERE depth < 2) SELECT origin, node, min(depth) AS depth, min(depth) = 2 AND node > 0 AS truncated FROM c WHERE node <> origin GROUP BY origin, node")
 def closure_capped(spark: SparkSession, d: str) -> DataFrame:
     """At most two steps, with the flag of walks that had further to go."""
     seeds = table(spark, d, "part").select(F.col("p_partkey").alias("origin"))
@@ -139,7 +139,7 @@ def dirty_closure(spark: SparkSession, d: str) -> DataFrame:
     return G.dirty_closure(o.where("file % 4 = 0"), o.where("file % 4 in (0, 1) and file % 3 = 0"), o.where("file < 400").select("file"))
 
 
-@register("reexport_walk", f"WITH RECURSIVE {P_SQL}, c AS (SELECT p_partkey AS origin, p_partkey AS node, 0 AS depth FROM part WHERE p_partkey BETWEEN 500 AND 560 UNION SELECT origin, dst, depth + 1 FROM c JOIN e ON node = src WHERE depth < 20), f AS (SELECT origin, node, min(depth) AS depth FROM c WHERE node <> origin AND node % 7 = 3 GROUP BY ALL) SELECT origin, arg_min(node, (depth, node)) AS definer, min(depth) AS depth FROM f GROUP BY origin")
+@register("reexport_walk", f"WITH RECURSIVE {P_SQL}, c AS (SELECT p_partkey AS origin, p_partkey AS node, 0 AS depth FROM part UNION SELECT origin, dst, depth + 1 FROM c JOIN e ON node = src WHERE depth < 20), f AS (SELECT origin, node, min(depth) AS depth FROM c WHERE node <> origin AND node % 7 = 3 GROUP BY ALL) SELECT origin, arg_min(node, (depth, node)) AS definer, min(depth) AS depth FROM f GROUP BY origin")
 def reexport_walk(spark: SparkSession, d: str) -> DataFrame:
     """The nearest definer over re-export edges."""
     seeds = table(spark, d, "part").select(F.col("p_partkey").alias("origin"))
@@ -156,7 +156,7 @@ def include_two_hop(spark: SparkSession, d: str) -> DataFrame:
     return one.union(two).distinct().select(F.col("src").alias("file_id"))
 
 
-@register("call_incoming", "SELECT l_partkey AS callee, l_suppkey AS caller, list_sort(list(l_orderkey)) AS sites FROM lineitem WHERE l_partkey < 50 GROUP BY l_partkey, l_suppkey")
+@register("call_incoming", "SELECT l_partkey AS callee, l_suppkey AS caller, list_sort(list(l_orderkey)) AS sites FROM lineitem GROUP BY l_partkey, l_suppkey")
 def call_incoming(spark: SparkSession, d: str) -> DataFrame:
     calls = table(spark, d, "lineitem")
     return calls.groupBy(F.col("l_partkey").alias("callee"), F.col("l_suppkey").alias("caller")).agg(F.sort_array(F.collect_list("l_orderkey")).alias("sites"))
@@ -179,7 +179,7 @@ def bridge_join(spark: SparkSession, d: str) -> DataFrame:
     return c.join(table(spark, d, "supplier").where("s_acctbal > 8000").select(F.col("s_suppkey").alias("entity"), F.col("s_nationkey").alias("ns")), "ns").select("class", "entity")
 
 
-@register("union_overlay", "SELECT a.l_orderkey AS scope, a.l_linenumber AS member, list_sort(list(b.l_linenumber)) AS others FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber <> b.l_linenumber WHERE a.l_orderkey < 500 GROUP BY ALL")
+@register("union_overlay", "SELECT a.l_orderkey AS scope, a.l_linenumber AS member, list_sort(list(b.l_linenumber)) AS others FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber <> b.l_linenumber GROUP BY ALL")
 def union_overlay(spark: SparkSession, d: str) -> DataFrame:
     """Members that share a scope, each with the others: from one list per scope, not from a self join."""
     per = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_linenumber")).alias("all"))

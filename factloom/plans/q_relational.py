@@ -54,7 +54,7 @@ def shred_refs(spark: SparkSession, d: str) -> DataFrame:
 
 @register("intern_strings", f"WITH {REFS_SQL} SELECT dense_rank() OVER (ORDER BY key) AS str_id, key AS s FROM (SELECT DISTINCT key FROM refs)")
 def intern_strings(spark: SparkSession, d: str) -> DataFrame:
-    return R.intern(facts.refs(spark, d), "key", 16)
+    return R.intern(facts.refs(spark, d), "key")
 
 
 @register("string_gc", f"WITH {SYMS_SQL} SELECT key AS s FROM (SELECT DISTINCT key FROM refs) r WHERE NOT EXISTS (SELECT 1 FROM syms WHERE syms.key = r.key)")
@@ -270,7 +270,7 @@ def auto_import_candidates(spark: SparkSession, d: str) -> DataFrame:
 @register("every_nth_sample", f"WITH {FILES_SQL} SELECT file_id, path FROM (SELECT *, row_number() OVER (ORDER BY file_id) AS rn FROM files) WHERE rn % 10 = 0")
 def every_nth_sample(spark: SparkSession, d: str) -> DataFrame:
     """Every tenth file in id order; ranks come from ranges, not from one global window."""
-    ids = R.intern(facts.files(spark, d).select(F.format_string("%020d", "file_id").alias("k")), "k", 8)
+    ids = R.intern(facts.files(spark, d).select(F.format_string("%020d", "file_id").alias("k")), "k")
     return facts.files(spark, d).withColumn("k", F.format_string("%020d", "file_id")).join(ids.where("str_id % 10 = 0"), F.col("k") == F.col("s")).select("file_id", "path")
 
 

@@ -100,7 +100,7 @@ def rank_by_expected_type(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", (F.col("p_type") == "SMALL").alias("match")).orderBy(F.desc("match"), "p_partkey").limit(50)
 
 
-@register("sorted_locations", "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey < 200")
+@register("sorted_locations", "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem")
 def sorted_locations(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").dropDuplicates().orderBy("l_orderkey", "l_linenumber")
 

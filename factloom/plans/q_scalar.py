@@ -26,7 +26,7 @@ def name_functions(spark: SparkSession, d: str) -> DataFrame:
     return _names(spark, d).select("s_suppkey", N.sigil(n).alias("sigil"), N.strip_sigils(n).alias("stripped"), N.match_key(n).alias("match_key"), N.qualifier(n).alias("qualifier"), N.unqualified(n).alias("unqualified"), N.is_class_name(N.strip_sigils(n)).alias("class_name"), N.method_token(n).alias("token"))
 
 
-@register("package_agreement", "SELECT a.s_suppkey AS a, b.s_suppkey AS b, b.q = a.q OR ends_with(a.q, '::' || b.q) OR ends_with(b.q, '::' || a.q) AS agrees FROM (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'Foo::Bar' WHEN 1 THEN 'Bar' ELSE 'Foo' END AS q FROM supplier WHERE s_suppkey < 12) a, (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'Foo::Bar' WHEN 1 THEN 'Bar' ELSE 'Foo' END AS q FROM supplier WHERE s_suppkey < 12) b WHERE b.s_suppkey = (a.s_suppkey * 5 + 1) % 12")
+@register("package_agreement", "SELECT a.s_suppkey AS a, b.s_suppkey AS b, b.q = a.q OR ends_with(a.q, '::' || b.q) OR ends_with(b.q, '::' || a.q) AS agrees FROM (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'Foo::Bar' WHEN 1 THEN 'Bar' ELSE 'Foo' END AS q FROM supplier) a, (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'Foo::Bar' WHEN 1 THEN 'Bar' ELSE 'Foo' END AS q FROM supplier) b WHERE b.s_suppkey = (a.s_suppkey * 5 + 1) % 12")
 def package_agreement(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey") % 3
     a = table(spark, d, "supplier").select(F.col("s_suppkey").alias("a"), F.when(k == 0, "Foo::Bar").when(k == 1, "Bar").otherwise("Foo").alias("qa"))
@@ -69,7 +69,7 @@ def surface_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.sha2(F.array_join(F.sort_array(F.collect_set("o_orderpriority")), "|"), 256).alias("fingerprint"))
 
 
-@register("csv_html_escape", "SELECT doc_id, CASE WHEN regexp_matches(t, '[\",\\n\\r]') THEN '\"' || replace(t, '\"', '\"\"') || '\"' ELSE t END AS csv, replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS html FROM (SELECT doc_id, left(text, 60) || CASE WHEN doc_id % 3 = 0 THEN '\"q\" <b>&' ELSE '' END AS t FROM documents)")
+@register("csv_html_escape", "SELECT doc_id, CASE WHEN regexp_matches(t, '[\",\\n\\r]') THEN '\"' || replace(t, '\"', '\"\"') || '\"' ELSE t END AS csv, replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS html FROM (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN '\"q\" <b>&' ELSE '' END AS t FROM documents)")
 def csv_html_escape(spark: SparkSession, d: str) -> DataFrame:
     t = F.concat("text", F.when(F.col("doc_id") % 3 == 0, '"q" <b>&').otherwise(""))
     return table(spark, d, "documents").select("doc_id", N.csv_escaped(t).alias("csv"), N.html_escaped(t).alias("html"))
@@ -83,7 +83,7 @@ def apply_edits(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").where(F.length("p_name") >= 4).select("p_partkey", N.apply_edits(F.col("p_name"), edits).alias("text"))
 
 
-@register("affix_rename", "SELECT p_partkey, unnest(['', 'has_', 'clear_']) || p_brand || unnest(['', '', '_all']) AS spelling FROM part WHERE p_partkey < 100")
+@register("affix_rename", "SELECT p_partkey, unnest(['', 'has_', 'clear_']) || p_brand || unnest(['', '', '_all']) AS spelling FROM part")
 def affix_rename(spark: SparkSession, d: str) -> DataFrame:
     """One declaration's spellings, each with its own affixes."""
     pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in (("", ""), ("has_", ""), ("clear_", "_all"))])
@@ -98,10 +98,16 @@ def fold_interpolation(spark: SparkSession, d: str) -> DataFrame:
     return n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.concat(F.lit("get_"), "n_name", F.lit("_"), "r_name").alias("value"))
 
 
-@register("coordinates", "SELECT doc_id, octet_length(encode(substr(text, 1, 40)))::BIGINT AS byte_column, left(text, 25) AS cut FROM documents")
+@register(
+    "coordinates",
+    """SELECT doc_id, part, octet_length(encode(substr(text, 1, length(text) * part // 8)))::BIGINT AS byte_column, left(text, 25) AS cut
+FROM documents, range(9) AS r(part) WHERE text IS NOT NULL""",
+)
 def coordinates(spark: SparkSession, d: str) -> DataFrame:
-    """Byte offsets of characters, and cuts at character boundaries."""
-    return table(spark, d, "documents").select("doc_id", N.byte_column(F.col("text"), F.lit(40)).cast("long").alias("byte_column"), F.left("text", F.lit(25)).alias("cut"))
+    """Byte offsets of characters at every eighth of each text, and cuts at character boundaries."""
+    at = F.floor(F.length("text") * F.col("part") / 8).cast("int")
+    parts = table(spark, d, "documents").where("text is not null").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(8).cast("long"))))
+    return parts.select("doc_id", "part", N.byte_column(F.col("text"), at).cast("long").alias("byte_column"), F.left("text", F.lit(25)).alias("cut"))
 
 
 @register("relative_paths", "SELECT doc_id, CASE WHEN starts_with(p, 'doc/en/') THEN substr(p, 8) ELSE p END AS rel FROM (SELECT doc_id, 'doc/' || lang || '/' || doc_id AS p FROM documents)")
@@ -119,7 +125,7 @@ def strip_noncode(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(blank).cast("long").alias("n_lines"), code.cast("long").alias("code_chars"))
 
 
-@register("word_tokens", "SELECT doc_id, i AS line, regexp_extract_all(l, '[A-Za-z]{5,}') AS words FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE doc_id < 100) WHERE len(regexp_extract_all(l, '[A-Za-z]{5,}')) > 0")
+@register("word_tokens", "SELECT doc_id, i AS line, regexp_extract_all(l, '[A-Za-z]{5,}') AS words FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) WHERE len(regexp_extract_all(l, '[A-Za-z]{5,}')) > 0")
 def word_tokens(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l"))
     return lines.select("doc_id", F.col("line").cast("long").alias("line"), F.regexp_extract_all("l", F.lit("[A-Za-z]{5,}"), F.lit(0)).alias("words")).where(F.size("words") > 0)
@@ -131,7 +137,7 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", k.alias("k"), (k % 10 == 9).alias("nine"))
 
 
-@register("json_canonical", "SELECT l_orderkey, l_linenumber, '{\"a\":' || l_partkey || ',\"b\":\"' || l_returnflag || '\"}' AS key FROM lineitem WHERE l_orderkey < 1000")
+@register("json_canonical", "SELECT l_orderkey, l_linenumber, '{\"a\":' || l_partkey || ',\"b\":\"' || l_returnflag || '\"}' AS key FROM lineitem")
 def json_canonical(spark: SparkSession, d: str) -> DataFrame:
     """Equality keys: fields in sorted order, no blanks."""
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.to_json(F.struct(F.col("l_partkey").alias("a"), F.col("l_returnflag").alias("b"))).alias("key"))

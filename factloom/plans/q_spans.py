@@ -9,7 +9,7 @@ from factloom.plans.registry import register
 from factloom.sources.facts import table
 
 BODY_SQL = "body AS (SELECT o_custkey AS file, o_orderkey AS body, o_orderkey % 50 AS start, o_orderkey % 50 + o_orderkey % 13 AS \"end\" FROM orders)"
-POINT_SQL = "pt AS (SELECT o_custkey AS file, l_linenumber, l_orderkey, l_partkey % 60 AS pos FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber <= 2)"
+POINT_SQL = "pt AS (SELECT o_custkey AS file, l_linenumber, l_orderkey, l_partkey % 60 AS pos FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
 
 
 def _bodies(spark: SparkSession, d: str) -> DataFrame:

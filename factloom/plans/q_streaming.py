@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom.plans.registry import register
+from factloom.session import shared_folder
 from factloom.sources.facts import table
 from factloom.streaming import changes as C
 
@@ -66,8 +66,7 @@ def enrichment_keys(spark: SparkSession, d: str) -> DataFrame:
 
 def _drain(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """Run a stream until what it has is read, into Parquet in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{base}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 

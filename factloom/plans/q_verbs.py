@@ -14,7 +14,7 @@ from factloom.sources.facts import FILES_SQL, SYMS_SQL, table
 TARGETS = "(1, 'that'), (2, 'with'), (3, 'aulich'), (4, 'zzzz')"
 REF_SQL = f"""WITH {SYMS_SQL}, t(target, key) AS (VALUES {TARGETS}), d AS (SELECT target, s.file_id, s.start_at AS pos FROM syms s JOIN t USING (key) JOIN files f ON s.file_id = f.file_id WHERE f.source = 'workspace'),
 u AS (SELECT target, o.file_id, o.pos FROM occ o JOIN t USING (key) JOIN files f ON o.file_id = f.file_id WHERE f.source = 'workspace'),
-r AS (SELECT target, file_id, pos, CASE WHEN (target, file_id, pos) IN (SELECT (target, file_id, pos) FROM d) THEN 2 ELSE 0 END AS access FROM u)"""
+r AS (SELECT u.target, u.file_id, u.pos, CASE WHEN d.pos IS NULL THEN 0 ELSE 2 END AS access FROM u LEFT JOIN d ON u.target = d.target AND u.file_id = d.file_id AND u.pos = d.pos)"""
 
 
 def _references(spark: SparkSession, d: str) -> DataFrame:
@@ -140,7 +140,10 @@ def package_variable_uses(spark: SparkSession, d: str) -> DataFrame:
     return decl.unionByName(facts.occurrences(spark, d).where("key = 'that'").join(own, "file_id", "left_semi").select(F.lit("same_lang").alias("how"), "file_id", "pos"))
 
 
-UNRESOLVED_SQL = "SELECT o.file_id, o.pos, o.key FROM occ o WHERE o.file_id % 10 = 0 AND o.key NOT IN ('that', 'with', 'this') AND NOT EXISTS (SELECT 1 FROM syms s WHERE s.key = o.key AND (s.flags & 8) <> 0) AND NOT EXISTS (SELECT 1 FROM syms s WHERE s.file_id = o.file_id AND s.key = o.key)"
+UNRESOLVED_SQL = """SELECT o.file_id, o.pos, o.key FROM occ o
+LEFT JOIN (SELECT DISTINCT key FROM syms WHERE (flags & 8) <> 0) e ON e.key = o.key
+LEFT JOIN (SELECT DISTINCT file_id, key FROM syms) l ON l.file_id = o.file_id AND l.key = o.key
+WHERE e.key IS NULL AND l.key IS NULL AND o.key NOT IN ('that', 'with', 'this')"""
 
 
 def _unresolved(spark: SparkSession, d: str) -> DataFrame:

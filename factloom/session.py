@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset, a temporary one, on one machine only (as in tests)."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="factloom-")
+
+
 def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
     """A local session with AQE on and few shuffle partitions, for tests and the benchmark."""
     return (

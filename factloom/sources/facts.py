@@ -51,9 +51,9 @@ def syms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: SQL twins, as common table expressions.
 FILES_SQL = "files AS (SELECT doc_id AS file_id, 'doc/' || lang || '/' || doc_id AS path, CASE WHEN CAST(substr(source, 4) AS INT) < 10 THEN 'workspace' ELSE 'import' END AS source, lang FROM documents)"
-OCC_SQL = f"occ AS (SELECT file_id, unnest(range(len(l))) AS pos, unnest(l) AS key FROM (SELECT doc_id AS file_id, regexp_extract_all(lower(text), '{TOKEN}') AS l FROM documents))"
+OCC_SQL = f"occ AS MATERIALIZED (SELECT file_id, unnest(range(len(l))) AS pos, unnest(l) AS key FROM (SELECT doc_id AS file_id, regexp_extract_all(lower(text), '{TOKEN}') AS l FROM documents))"
 REFS_SQL = f"{OCC_SQL}, refs AS (SELECT DISTINCT file_id, key FROM occ)"
-SYMS_SQL = f"""{FILES_SQL}, {REFS_SQL}, syms AS (
+SYMS_SQL = f"""{FILES_SQL}, {REFS_SQL}, syms AS MATERIALIZED (
   SELECT o.file_id, o.key, CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 2 WHEN 'de' THEN 3 ELSE 4 END AS kind, min(o.pos) AS start_at,
     CASE WHEN quality = 1 AND files.source = 'workspace' THEN {LINKAGE | EXPORTED} ELSE {LINKAGE} END AS flags
   FROM occ o JOIN labels ON o.file_id = doc_id JOIN files ON o.file_id = files.file_id GROUP BY o.file_id, o.key, lang, quality, files.source)"""

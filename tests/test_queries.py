@@ -17,3 +17,10 @@ def con():
 def test_against_oracle(spark, con, name):
     _, ours, theirs = compare(spark, con, SF, registry.queries()[name], registry.oracle_sql()[name])
     assert not ours and not theirs
+
+
+@pytest.mark.parametrize("name", ["lateral_tokens", "sorted_locations", "package_agreement", "references", "rule_unresolved_function"])
+def test_against_oracle_on_larger_tables(spark, name):
+    sf = SF.replace("0.001", "0.01")
+    n, ours, theirs = compare(spark, views(sf), sf, registry.queries()[name], registry.oracle_sql()[name])
+    assert n and not ours and not theirs
