@@ -113,11 +113,13 @@ def type_inner() -> UserDefinedFunction:
 
 
 def argument_slot(text: Column) -> Column:
-    """Separators of the outermost level in an argument list so far: nested brackets are dropped from the inside out."""
-    flat = text
-    for _ in range(4):
-        flat = F.regexp_replace(flat, r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}", "")
-    return F.size(F.split(flat, ",")) - 1
+    """Separators of the outermost level in an argument list so far, outside of strings and of brackets however deep."""
+    letters = F.split(F.regexp_replace(text, r"'[^']*'|\"[^\"]*\"", "''"), "")
+    step = lambda a, c: F.struct(
+        F.greatest(F.lit(0), a["depth"] + F.when(c.isin("(", "[", "{"), 1).when(c.isin(")", "]", "}"), -1).otherwise(0)).alias("depth"),
+        (a["n"] + F.when((c == ",") & (a["depth"] == 0), 1).otherwise(0)).alias("n"),
+    )
+    return F.aggregate(letters, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n")), step)["n"]
 
 
 def reducers(rows: DataFrame, key: str, ordered: list[Column]) -> DataFrame:

@@ -32,3 +32,29 @@ def constraint(spelt: Column) -> Column:
 def subsumes(wide: Column, narrow: Column) -> Column:
     """Equal, a hash over any hash, an array over any array, Numeric over Bool, Optional<T> over T."""
     return (wide == narrow) | ((wide == "HashRef") & narrow.startswith("Hash")) | ((wide == "ArrayRef") & (narrow.startswith("Array") | narrow.startswith("Sequence"))) | ((wide == "Numeric") & (narrow == "Bool")) | (wide == F.concat(F.lit("Optional<"), narrow, F.lit(">")))
+
+
+def canonical(spelt: Column) -> Column:
+    """A template's spelling without blanks that tell nothing apart: one between two words, none beside a mark."""
+    return F.trim(F.regexp_replace(F.regexp_replace(spelt, r"\s+", " "), r"\s*([<>,*&]|::)\s*", "$1"))
+
+
+def template_base(spelt: Column) -> Column:
+    return F.regexp_extract(canonical(spelt), r"^[^<]*", 0)
+
+
+def template_arguments(spelt: Column) -> Column:
+    """Arguments of the outermost template, however deep they nest; none for a plain type."""
+    inner = F.regexp_extract(canonical(spelt), r"^[^<]*<(.*)>$", 1)
+    step = lambda a, c: F.struct(
+        (a["depth"] + F.when(c == "<", 1).when(c == ">", -1).otherwise(0)).alias("depth"),
+        F.concat(a["out"], F.when((c == ",") & (a["depth"] == 0), F.lit("\n")).otherwise(c)).alias("out"),
+    )
+    parts = F.aggregate(F.split(inner, ""), F.struct(F.lit(0).alias("depth"), F.lit("").alias("out")), step)["out"]
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(parts, "\n"))
+
+
+def substituted(spelt: Column, of: Column) -> Column:
+    """A type with the parameters that the map names replaced, all at once, wherever they stand."""
+    tokens = F.regexp_extract_all(canonical(spelt), F.lit(r"[\w#]+|[^\w#]"), F.lit(0))
+    return F.array_join(F.transform(tokens, lambda x: F.coalesce(F.try_element_at(of, x), x)), "")

@@ -16,8 +16,12 @@ def contained(points: DataFrame, intervals: DataFrame, key: list[str], bin_width
     """
     binned = intervals.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / bin_width), F.floor(F.col("end") / bin_width))))
     p = points.withColumn("_bin", F.floor(F.col("pos") / bin_width))
-    both = p.alias("p").join(binned.alias("i"), [*key, "_bin"], how)
-    return both.where("pos >= start and pos <= end").drop("_bin") if how == "inner" else both.drop("_bin")
+    held = (F.col("pos") >= F.col("start")) & (F.col("pos") <= F.col("end"))
+    if how == "inner":
+        return p.join(binned, [*key, "_bin"]).where(held).drop("_bin")
+    on = [F.col(f"p.{c}") == F.col(f"i.{c}") for c in (*key, "_bin")]
+    both = p.alias("p").join(binned.alias("i"), [*on, held], how)
+    return both.select("p.*", *(f"i.{c}" for c in binned.columns if c not in (*key, "_bin"))).drop("_bin")
 
 
 def innermost(points: DataFrame, intervals: DataFrame, key: list[str], point_id: list[str], bin_width: int, value: str) -> DataFrame:

@@ -23,7 +23,7 @@ def matching_specs(instances: DataFrame, patterns: DataFrame, args: list[str], i
             of = of.where((F.col(a) != ANY) if f else (F.col(a) == ANY))
         on = [a for a, f in zip(args, fixed, strict=True) if f]
         of = of.select(pattern_id, *on)
-        hit = instances.join(of, on) if on else instances.join(F.broadcast(of.limit(1)))  # the primary template: one pattern
+        hit = instances.join(of, on) if on else instances.join(F.broadcast(of.agg(F.min(pattern_id).alias(pattern_id)).where(F.col(pattern_id).isNotNull())))  # the primary template: one row
         hit = hit.select(instance_id, pattern_id, F.lit(len(on)).alias("fixed"))
         found = hit if found is None else found.unionByName(hit)
     best = found.groupBy(instance_id).agg(F.max("fixed").alias("fixed"))

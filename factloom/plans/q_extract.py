@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom.operators import extract as X
+from factloom.operators.graph import cut
 from factloom.plans.registry import register
 from factloom.sources import code
 
@@ -137,7 +138,7 @@ CHAINS = """(24, '$self->stop_' || n, 'Shop::C' || k, NULL), (32, 'Shop::C' || k
 @register("chain_typing", sql(f"SELECT k AS file_id, 'run_' || k AS sub, x.line, x.chain, x.type FROM c, LATERAL (VALUES {CHAINS}) AS x(line, chain, root, type)"))
 def chain_typing(spark: SparkSession, d: str) -> DataFrame:
     """Types of chains of calls, a step a round; the owner of a customer's program comes through the nation's accessor."""
-    r = rows(spark, d)
+    r = cut(rows(spark, d))
     return X.chain_types(X.chains(r), X.method_types(r), X.witnesses(r), X.inherits(r)).select("file_id", "sub", "line", "chain", "type")
 
 
@@ -165,7 +166,7 @@ def assembled_analysis(spark: SparkSession, d: str) -> DataFrame:
     return X.assemble([capture_packs(spark, d)])
 
 
-@register("extract_events", sql("""SELECT k AS file_id, 'Shop::C' || k AS package, x.* FROM c, LATERAL (VALUES ('def.package', 1), ('def.sub', 3), ('def.var', 7), ('ref.method', 8), ('ref.key', 3), ('ref.call', 2)) AS x(capture, n)""", "SELECT k, 'Shop::C' || k, 'import', 1 + (k % 3 = 0)::BIGINT FROM c", "SELECT f, 'Shop::N' || b.n, x.* FROM b, LATERAL (VALUES ('def.package', 1), ('def.sub', 1), ('ref.key', 1)) AS x(capture, n)"))
+@register("extract_events", sql("""SELECT k AS file_id, 'Shop::C' || k AS package, x.* FROM c, LATERAL (VALUES ('def.package', 1), ('def.sub', 3), ('def.var', 7), ('ref.method', 7), ('ref.key', 3), ('ref.call', 2)) AS x(capture, n)""", "SELECT k, 'Shop::C' || k, 'import', 1 + (k % 3 = 0)::BIGINT FROM c", "SELECT f, 'Shop::N' || b.n, x.* FROM b, LATERAL (VALUES ('def.package', 1), ('def.sub', 1), ('ref.key', 1)) AS x(capture, n)"))
 def extract_events(spark: SparkSession, d: str) -> DataFrame:
     """Numbers of captures by kind, with the scope that was open where they stand."""
     return X.events(X.live(rows(spark, d)), "perl").groupBy("file_id", "package", "capture").agg(F.count("*").alias("n"))
