@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from factloom.model import EXPORTED
 from factloom.operators.graph import cut
 
+#: Tasks that share a folder of the index by name.
+SPREAD = 16
+
 
 def intern(strings: DataFrame, column: str, partitions: int | None = None) -> DataFrame:
     """str_id, s: dense ids from 1 in the order of the distinct strings.
@@ -31,6 +34,28 @@ def shred(files: DataFrame, occurrences: DataFrame, path: str) -> None:
     rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
+def index_by_name(occurrences: DataFrame, path: str, buckets: int = 64) -> None:
+    """Write the inverted index: distinct (key, file_id) in folders by a hash of the key, in order of the key within a file.
+
+    A folder is dealt over SPREAD tasks by file, so that a popular key is no task of its own; the pairs of a task are made
+    distinct where they are.
+    """
+    salt = F.pmod(F.xxhash64("file_id"), F.lit(SPREAD)).alias("salt")
+    rows = occurrences.select("key", "file_id", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket"), salt)
+    rows = rows.repartition("bucket", "salt").distinct().drop("salt")
+    rows.sortWithinPartitions("bucket", "key").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def lookup(spark: SparkSession, path: str, keys: tuple[str, ...], buckets: int = 64) -> DataFrame:
+    """key, file_id of the index for some keys: only their folders are read, and of those only the row groups that hold them."""
+    of = spark.sql("SELECT " + ", ".join(f"cast(pmod(xxhash64('{k}'), {buckets}) AS int)" for k in map(_quoted, keys))).first()
+    return spark.read.parquet(path).where(F.col("bucket").isin(*set(of)) & F.col("key").isin(*keys)).select("key", "file_id")
+
+
+def _quoted(key: str) -> str:
+    return key.replace("\\", "\\\\").replace("'", "\\'")
+
+
 def upsert_by_precedence(rows: DataFrame, key: str, source: str, order: tuple[str, ...]) -> DataFrame:
     """One row per key with its most precedent source; a lower one never demotes it."""
     rank = sum((F.when(F.col(source) == s, F.lit(len(order) - i)).otherwise(0) for i, s in enumerate(order)), F.lit(0))

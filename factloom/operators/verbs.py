@@ -8,14 +8,16 @@ from factloom.model import ACCESS
 from factloom.operators import relational as R
 
 
-def references(targets: DataFrame, refs: DataFrame, sites: DataFrame, declarations: DataFrame, files: DataFrame, mask: int) -> DataFrame:
+def references(targets: DataFrame, refs: DataFrame | None, sites: DataFrame, declarations: DataFrame, files: DataFrame, mask: int) -> DataFrame:
     """target, file_id, pos, access: declarations and uses of each target (target, key) in the files (file_id, role) of the mask.
 
     The index (refs: key, file_id) narrows the files first; sites (file_id, key, pos, access) are then matched exactly.
+    Without an index, sites are those of the targets' keys already.
     """
     visible = files.where(F.col("role").bitwiseAND(mask) != 0).select("file_id")
-    held = R.candidates(refs, targets.select("key").distinct())
-    uses = sites.join(held, "file_id", "left_semi").join(visible, "file_id", "left_semi").join(targets, "key").select("target", "file_id", "pos", "access")
+    if refs is not None:
+        sites = sites.join(R.candidates(refs, targets.select("key").distinct()), "file_id", "left_semi")
+    uses = sites.join(visible, "file_id", "left_semi").join(targets, "key").select("target", "file_id", "pos", "access")
     own = declarations.join(visible, "file_id", "left_semi").join(targets, "key").select("target", "file_id", "pos", F.lit(ACCESS["Declaration"]).alias("access"))
     return uses.unionByName(own).groupBy("target", "file_id", "pos").agg(F.max("access").alias("access"))
 

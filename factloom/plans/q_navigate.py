@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom.functions import types as T
-from factloom.operators import extract as X, navigate as N, store as ST
+from factloom.operators import extract as X, navigate as N, rules as U, store as ST
 from factloom.operators.graph import cut
 from factloom.plans.q_extract import C, S, rows, sql
 from factloom.plans.registry import register
@@ -208,3 +208,21 @@ def bounded_wait(spark: SparkSession, d: str) -> DataFrame:
     """Whether a question is answered now, waits, or is answered with what there is."""
     s = F.col("p_size") % 4
     return table(spark, d, "part").select("p_partkey", ST.readiness(s == 0, F.when(s == 1, "complete").otherwise("interactive"), F.lit(100), F.lit(500)).alias("answer"))
+
+
+CHECKED = "(39, 'unresolved-function', 'hint', 'mystery_' || k), (38, 'unresolved-method', 'hint', 'on')"
+
+
+@register("check_source", sql(f"SELECT k AS file_id, x.* FROM c, LATERAL (VALUES {CHECKED}) AS x(pos, rule, severity, subject)", f"SELECT c_custkey, 0, 'not-analysed', 'info', '{code.NESTING + 1}' FROM customer WHERE c_custkey % {code.DEEP_EVERY} = {code.DEEP_REST}"))
+def check_source(spark: SparkSession, d: str) -> DataFrame:
+    """Findings over extracted programs: calls that nothing answers, methods that a known class lacks, files not analysed."""
+    every = cut(X.nested(X.lines(code.programs(spark, d))))
+    r = cut(X.scoped(every))
+    calls = X.pinned_calls(X.calls(r), X.declarations(r), X.uses(r)).where("pinned is null")
+    sends = N.stamped_calls(r).join(N.packages(r).select("class"), "class", "left_semi").where("def_file is null and name not in ('isa', 'can', 'new', 'DOES')")
+    found = [
+        U.finding(calls.withColumnRenamed("line", "pos"), "unresolved-function", "hint", "name"),
+        U.finding(sends.withColumnRenamed("line", "pos"), "unresolved-method", "hint", "name"),
+        U.finding(X.too_deep(every).withColumn("pos", F.lit(0)), "not-analysed", "info", F.col("depth").cast("string")),
+    ]
+    return U.check(found).withColumn("pos", F.col("pos").cast("int"))

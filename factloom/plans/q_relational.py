@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from factloom.model import EXPORTED, ROLES, SYMBOL_KINDS
 from factloom.operators import relational as R
 from factloom.plans.registry import register
+from factloom.session import shared_folder
 from factloom.sources import facts
 from factloom.sources.facts import FILES_SQL, REFS_SQL, SYMS_SQL, table
 
@@ -278,3 +281,11 @@ def every_nth_sample(spark: SparkSession, d: str) -> DataFrame:
 def lag_fingerprint_order(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return table(spark, d, "events").select("event_id", "user_id", F.lag("value").over(w).alias("previous"))
+
+
+@register("inverted_index_lookup", f"WITH {REFS_SQL} SELECT key, file_id FROM refs WHERE key IN ('that', 'aulich', 'thonre')")
+def inverted_index_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The index by name, written once and read by key: the folders of other keys are pruned."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    R.index_by_name(facts.refs(spark, d), path)
+    return R.lookup(spark, path, ("that", "aulich", "thonre"))

@@ -11,7 +11,8 @@ from factloom.plans.registry import register
 from factloom.sources import facts
 from factloom.sources.facts import FILES_SQL, SYMS_SQL, table
 
-TARGETS = "(1, 'that'), (2, 'with'), (3, 'aulich'), (4, 'zzzz')"
+TARGET_KEYS = ((1, "that"), (2, "with"), (3, "aulich"), (4, "zzzz"))
+TARGETS = ", ".join(f"({i}, '{k}')" for i, k in TARGET_KEYS)
 REF_SQL = f"""WITH {SYMS_SQL}, t(target, key) AS (VALUES {TARGETS}), d AS (SELECT target, s.file_id, s.start_at AS pos FROM syms s JOIN t USING (key) JOIN files f ON s.file_id = f.file_id WHERE f.source = 'workspace'),
 u AS (SELECT target, o.file_id, o.pos FROM occ o JOIN t USING (key) JOIN files f ON o.file_id = f.file_id WHERE f.source = 'workspace'),
 r AS (SELECT u.target, u.file_id, u.pos, CASE WHEN d.pos IS NULL THEN 0 ELSE 2 END AS access FROM u LEFT JOIN d ON u.target = d.target AND u.file_id = d.file_id AND u.pos = d.pos)"""
@@ -20,9 +21,10 @@ r AS (SELECT u.target, u.file_id, u.pos, CASE WHEN d.pos IS NULL THEN 0 ELSE 2 E
 def _references(spark: SparkSession, d: str) -> DataFrame:
     targets = spark.sql(f"SELECT * FROM VALUES {TARGETS} AS t(target, key)")
     f = facts.files(spark, d).select("file_id", F.when(F.col("source") == "workspace", ROLES["workspace"]).otherwise(ROLES["dependency"]).alias("role"))
-    sites = facts.occurrences(spark, d).withColumn("access", F.lit(0))
-    decl = facts.syms(spark, d).select("file_id", "key", F.col("start_at").alias("pos"))
-    return V.references(targets, facts.refs(spark, d), sites, decl, f, ROLES["open"] | ROLES["workspace"])
+    keys = tuple(k for _, k in TARGET_KEYS)
+    sites = facts.occurrences(spark, d, keys=keys).withColumn("access", F.lit(0))
+    decl = facts.syms(spark, d, keys).select("file_id", "key", F.col("start_at").alias("pos"))
+    return V.references(targets, None, sites, decl, f, ROLES["open"] | ROLES["workspace"])
 
 
 @register("references", f"{REF_SQL} SELECT target, file_id, pos, access FROM r")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from factloom.model import EXPORTED, LINKAGE
@@ -23,12 +25,18 @@ def _tokens() -> Column:
     return F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))
 
 
-def occurrences(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
-    """file_id, pos (ordinal), key: every token of every document, or of those in of (file_id), which are chosen before texts are split."""
+def occurrences(spark: SparkSession, sf_dir: str, of: DataFrame | None = None, keys: tuple[str, ...] | None = None) -> DataFrame:
+    """file_id, pos (ordinal), key: every token of every document, or of those in of (file_id), which are chosen before texts are split.
+
+    With keys only theirs: texts that hold none are not split, and other tokens go where they are made.
+    """
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text")
     if of is not None:
         docs = docs.join(of.select("file_id"), "file_id", "left_semi")
-    return docs.select("file_id", F.posexplode(_tokens()).alias("pos", "key"))
+    if keys is None:
+        return docs.select("file_id", F.posexplode(_tokens()).alias("pos", "key"))
+    held = reduce(Column.__or__, [F.contains(F.lower("text"), F.lit(k)) for k in keys])
+    return docs.where(held).select("file_id", F.posexplode(_tokens()).alias("pos", "key")).where(F.col("key").isin(*keys))
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,8 +47,10 @@ def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.explode(F.array_distinct(_tokens())).alias("key"))
 
 
-def syms(spark: SparkSession, sf_dir: str) -> DataFrame:
+def syms(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] | None = None) -> DataFrame:
     """file_id, key, kind, start_at, flags: the tokens of labelled documents as symbols; exported where of quality in the workspace."""
+    if keys is not None:
+        return _syms_of(spark, sf_dir, keys)
     kind = F.when(F.col("lang") == "en", 1).when(F.col("lang") == "fr", 2).when(F.col("lang") == "de", 3).otherwise(4)
     flags = F.when((F.col("quality") == 1) & (F.col("source") == "workspace"), LINKAGE | EXPORTED).otherwise(LINKAGE)
     labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("file_id"), "quality")
@@ -49,6 +59,15 @@ def syms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.groupBy("file_id", "key", "kind", "flags").agg(F.min("pos").alias("start_at")).select("file_id", "key", "kind", "start_at", "flags")
 
 
+def _syms_of(spark: SparkSession, sf_dir: str, keys: tuple[str, ...]) -> DataFrame:
+    """The symbols of some keys, whose texts alone are split."""
+    kind = F.when(F.col("lang") == "en", 1).when(F.col("lang") == "fr", 2).when(F.col("lang") == "de", 3).otherwise(4)
+    flags = F.when((F.col("quality") == 1) & (F.col("source") == "workspace"), LINKAGE | EXPORTED).otherwise(LINKAGE)
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("file_id"), "quality")
+    first = occurrences(spark, sf_dir, keys=keys).groupBy("file_id", "key").agg(F.min("pos").alias("start_at"))
+    return first.join(labelled, "file_id").join(files(spark, sf_dir), "file_id").select("file_id", "key", kind.alias("kind"), "start_at", flags.alias("flags"))
+
+
 #: SQL twins, as common table expressions.
 FILES_SQL = "files AS (SELECT doc_id AS file_id, 'doc/' || lang || '/' || doc_id AS path, CASE WHEN CAST(substr(source, 4) AS INT) < 10 THEN 'workspace' ELSE 'import' END AS source, lang FROM documents)"
 OCC_SQL = f"occ AS MATERIALIZED (SELECT file_id, unnest(range(len(l))) AS pos, unnest(l) AS key FROM (SELECT doc_id AS file_id, regexp_extract_all(lower(text), '{TOKEN}') AS l FROM documents))"
