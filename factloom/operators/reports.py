@@ -39,11 +39,27 @@ def heatmap(syms: DataFrame, uses: DataFrame, bodies: DataFrame | None = None, d
     if bodies is not None:
         outs = bodies.where("callee <> key").groupBy("file_id", "key").agg(F.count_distinct("callee").alias("fan_out"))
         out = out.join(outs, ["file_id", "key"], "left").withColumn("fan_out", F.when(F.col("kind").isin(*CALLABLE), F.coalesce("fan_out", F.lit(0))))
+    return _judged(out, dynamic)
+
+
+def _judged(out: DataFrame, dynamic: Column | None) -> DataFrame:
     why = guard(F.col("fan_in"), F.col("exported"), F.col("key"), F.col("kind"), F.lit(True), F.lit(False) if dynamic is None else dynamic)
     out = out.withColumn("reachable_guard", why)
     return out.withColumn("dead_code_candidate", (F.col("fan_in") == 0) & F.col("reachable_guard").isNull()).withColumn("dead_export", F.col("kind").isin(*CALLABLE) & F.col("exported") & (F.col("cross_file_fan_in") == 0))
 
 
+def heatmap_of_sites(sites: DataFrame, dynamic: Column | None = None) -> DataFrame:
+    """The heatmap of one relation that holds uses and symbols: file_id, key, n (uses of the key in the file), and kind, start_at, flags where the file declares it.
+
+    Symbols carry their file's own uses already, so that only the totals of keys are joined.
+    """
+    totals = sites.groupBy("key").agg(F.sum("n").alias("fan_in"))
+    out = sites.where("kind is not null").join(totals, "key")
+    exported = F.col("flags").bitwiseAND(EXPORTED) != 0
+    out = out.select("file_id", "key", "kind", "start_at", "fan_in", (F.col("fan_in") - F.col("n")).alias("cross_file_fan_in"), exported.alias("exported"))
+    return _judged(out, dynamic)
+
+
 def write_report(rows: DataFrame, path: str, kind: str) -> None:
     """Sort by use and write as json, csv (RFC 4180 quotes) or one html table per part."""
     rows = rows.orderBy(F.desc("fan_in"), "file_id", "start_at", "key")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom.operators import reports, sampling
+from factloom.operators.graph import cut
 from factloom.plans.registry import register
 from factloom.sources import facts
 from factloom.sources.facts import SYMS_SQL, table
@@ -19,15 +20,12 @@ g AS (SELECT *, CASE WHEN fan_in > 0 THEN NULL WHEN exported THEN 'exported' WHE
 
 def _heat(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of labelled documents as symbols; each file's first occurrence of its own symbol is the declaration, no use."""
-    syms = facts.syms(spark, d)
-    uses = facts.occurrences(spark, d).groupBy("file_id", "key").agg(F.count("*").alias("n"))
-    declared = syms.select("file_id", "key", F.lit(1).alias("own"))
-    uses = uses.join(declared, ["file_id", "key"], "left").select("file_id", "key", (F.col("n") - F.coalesce("own", F.lit(0))).alias("n"))
-    # dynamic dispatch anywhere in the corpus shields methods: a sum over one row, then every other symbol by position
-    gate = table(spark, d, "labels").agg((F.sum("toxic") > 0).alias("d"))
-    syms = syms.join(F.broadcast(gate))  # one row
-    heat = reports.heatmap(syms.drop("d"), uses)
-    return heat.join(F.broadcast(gate)).withColumn("reachable_guard", reports.guard(F.col("fan_in"), F.col("exported"), F.col("key"), F.col("kind"), F.lit(True), F.col("d") & (F.col("start_at") % 2 == 0))).withColumn("dead_code_candidate", (F.col("fan_in") == 0) & F.col("reachable_guard").isNull()).drop("d")
+    sites = cut(facts.occurrences(spark, d).groupBy("file_id", "key").agg(F.count("*").alias("n"), F.min("pos").alias("start_at")))  # texts are split once
+    marked = sites.join(facts.declaring(spark, d), "file_id", "left")
+    marked = marked.withColumn("n", F.col("n") - F.col("kind").isNotNull().cast("long"))
+    # dynamic dispatch anywhere in the corpus shields every other symbol, by position: one value
+    shielded = bool(table(spark, d, "labels").agg(F.sum("toxic") > 0).first()[0])
+    return reports.heatmap_of_sites(marked, F.lit(shielded) & (F.col("start_at") % 2 == 0))
 
 
 COLUMNS = ["file_id", "key", "kind", "start_at", "fan_in", "cross_file_fan_in", "exported", "reachable_guard", "dead_code_candidate", "dead_export"]

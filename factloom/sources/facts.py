@@ -49,23 +49,17 @@ def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def syms(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] | None = None) -> DataFrame:
     """file_id, key, kind, start_at, flags: the tokens of labelled documents as symbols; exported where of quality in the workspace."""
-    if keys is not None:
-        return _syms_of(spark, sf_dir, keys)
-    kind = F.when(F.col("lang") == "en", 1).when(F.col("lang") == "fr", 2).when(F.col("lang") == "de", 3).otherwise(4)
-    flags = F.when((F.col("quality") == 1) & (F.col("source") == "workspace"), LINKAGE | EXPORTED).otherwise(LINKAGE)
-    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("file_id"), "quality")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text").join(labelled, "file_id").join(files(spark, sf_dir), "file_id")
-    first = docs.select("file_id", kind.alias("kind"), flags.alias("flags"), F.posexplode(_tokens()).alias("pos", "key"))
-    return first.groupBy("file_id", "key", "kind", "flags").agg(F.min("pos").alias("start_at")).select("file_id", "key", "kind", "start_at", "flags")
+    tokens = occurrences(spark, sf_dir, declaring(spark, sf_dir), keys)
+    first = tokens.groupBy("file_id", "key").agg(F.min("pos").alias("start_at"))
+    return first.join(declaring(spark, sf_dir), "file_id").select("file_id", "key", "kind", "start_at", "flags")
 
 
-def _syms_of(spark: SparkSession, sf_dir: str, keys: tuple[str, ...]) -> DataFrame:
-    """The symbols of some keys, whose texts alone are split."""
+def declaring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_id, kind, flags: the labelled documents, and what their symbols are."""
     kind = F.when(F.col("lang") == "en", 1).when(F.col("lang") == "fr", 2).when(F.col("lang") == "de", 3).otherwise(4)
     flags = F.when((F.col("quality") == 1) & (F.col("source") == "workspace"), LINKAGE | EXPORTED).otherwise(LINKAGE)
     labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("file_id"), "quality")
-    first = occurrences(spark, sf_dir, keys=keys).groupBy("file_id", "key").agg(F.min("pos").alias("start_at"))
-    return first.join(labelled, "file_id").join(files(spark, sf_dir), "file_id").select("file_id", "key", kind.alias("kind"), "start_at", flags.alias("flags"))
+    return files(spark, sf_dir).join(labelled, "file_id").select("file_id", kind.alias("kind"), flags.alias("flags"))
 
 
 #: SQL twins, as common table expressions.
