@@ -19,6 +19,8 @@ names, and text_bytes and batch, are replaced). An empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -51,8 +53,17 @@ def _shifts() -> np.ndarray:
 SHIFT = _shifts()
 
 
-def stretches(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first run, number of runs, anchor, content hash) of the stretches of a batch; ends: where each document ends in text."""
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse."""
+    return np.cumprod(np.full(n, _MULTIPLIER)), np.cumprod(np.full(n, _INVERSE))
+
+
+def stretches(text: np.ndarray, ends: np.ndarray, content_too: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first run, number of runs, anchor, content hash) of the stretches of a batch; ends: where each document ends in text.
+
+    Without content_too the hashes of the content are left out (empty).
+    """
     valid = np.ones(len(text), bool)
     for e, b in zip(ends, np.concatenate([[0], ends[:-1]]), strict=True):
         valid[max(b, e - LENGTH + 1) : e] = False
@@ -79,31 +90,34 @@ def stretches(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
         start[1:] &= (h[1:] != h[:-1]) | ~ok[:-1]
         (first,) = np.nonzero(start)
         stop = np.flatnonzero(ok & np.append(~ok[1:] | start[1:], True)) + 1
-        powers = np.cumprod(np.full(len(part), _MULTIPLIER))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTERS[part] * powers)])
-        back = np.cumprod(np.full(len(part), _INVERSE))
-        content = mix((sums[stop + LENGTH - 1] - sums[first]) * back[first]) ^ mix(h[first] + (stop - first).astype(np.uint64))
         firsts.append(first + at)
         sizes.append(stop - first)
         anchors.append(h[first])
+        if not content_too:
+            continue
+        powers, back = _powers(PIECE + LENGTH)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTERS[part] * powers[: len(part)])])
+        content = mix((sums[stop + LENGTH - 1] - sums[first]) * back[first]) ^ mix(h[first] + (stop - first).astype(np.uint64))
         hashes.append(content)
     if not firsts:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
-    return np.concatenate(firsts), np.concatenate(sizes), np.concatenate(anchors), np.concatenate(hashes)
+    return np.concatenate(firsts), np.concatenate(sizes), np.concatenate(anchors), np.concatenate(hashes) if content_too else np.empty(0, np.uint64)
 
 
 class Batch:
-    """The documents of a batch in a fixed order, and their distinct stretches."""
+    """The documents of a batch in a fixed order, and their stretches; with content_too which of them are distinct."""
 
-    def __init__(self, ids: list, texts: list):
+    def __init__(self, ids: list, texts: list, content_too: bool = True):
         keys = [(NO_DOC if d is None else d, t or b"") for d, t in zip(ids, texts, strict=True)]
         self.order = sorted(range(len(keys)), key=keys.__getitem__)
         self.docs = np.array([keys[i][0] for i in self.order], np.int64)
         self.text = np.frombuffer(b"".join([keys[i][1] for i in self.order]), np.uint8)
         self.ends = np.cumsum([len(keys[i][1]) for i in self.order])
-        self.first, self.size, self.anchor, content = stretches(self.text, self.ends)
-        _, self.sample, self.number = np.unique(content, return_index=True, return_inverse=True)
+        self.first, self.size, self.anchor, content = stretches(self.text, self.ends, content_too)
         self.owner = self.docs[np.searchsorted(self.ends, self.first, side="right")]
+        if not content_too:
+            return
+        _, self.sample, self.number = np.unique(content, return_index=True, return_inverse=True)
         self.least = self.owner[self.sample]  # documents go by doc_id, so the first place has the smallest
 
 
@@ -137,7 +151,7 @@ ANNOUNCED = "bucket int, batch long, marks binary, several binary"
 
 def _announce(table: pa.Table, buckets: int) -> pa.Table:
     """What anchors a batch has, four bytes each."""
-    keys, several = _announced(Batch(table["doc_id"].to_pylist(), table["text_bytes"].to_pylist()), buckets)
+    keys, several = _announced(Batch(table["doc_id"].to_pylist(), table["text_bytes"].to_pylist(), content_too=False), buckets)
     cuts = np.append(np.flatnonzero(np.diff(keys >> 32, prepend=-1)), len(keys))  # one entry only where no text has LENGTH bytes
     parts = list(zip(cuts[:-1], cuts[1:], strict=True))
     columns = [pa.array([int(keys[a] >> 32) for a, _ in parts], pa.int32()), pa.array([table["batch"][0].as_py()] * len(parts), pa.int64()), pa.array([(keys[a:b] & 0xFFFFFFFF).astype(np.uint32).tobytes() for a, b in parts], pa.binary()), pa.array([np.packbits(several[a:b]).tobytes() for a, b in parts], pa.binary())]
