@@ -26,12 +26,11 @@ def _oracle() -> str:
     half = licenses.BLOCK // 2
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {low("coalesce(text, '')")} AS low FROM documents),
-w AS (SELECT rid, doc_id, {words("low")} AS w, string_split(low, chr(10)) AS lines FROM d),
+w AS (SELECT rid, doc_id, {words("low")} AS w FROM d),
 p AS (SELECT *, list_concat({", ".join(places)}) AS places FROM w),
 t(k, label, toks) AS (VALUES {templates}),
-l AS (SELECT rid, {words("line")} AS w FROM (SELECT rid, unnest(lines) AS line FROM w)),
 b AS (SELECT rid, list_distinct(w[s + 1 : s + {licenses.BLOCK}]) AS w
-      FROM (SELECT rid, w, unnest(range(0, greatest(len(w) - 1 - {half}, 0) + 1, {half})) AS s FROM l WHERE len(w) > 0)),
+      FROM (SELECT rid, w, unnest(range(0, greatest(len(w) - 1 - {half}, 0) + 1, {half})) AS s FROM p WHERE len(w) > 0)),
 h AS (SELECT rid, label, len(list_intersect(w, toks)) / len(toks) AS c FROM b, t
       WHERE len(list_intersect(w, toks)) >= ceil({licenses.THRESHOLD} * len(toks) - 1e-9)),
 a AS (SELECT rid, list(DISTINCT label) AS more, max(c) AS best FROM h GROUP BY rid)
