@@ -11,6 +11,9 @@ LINKAGE, HIDDEN, LEXICAL, EXPORTED = 1, 2, 4, 8
 #: Role bits of files, edge kind bits and severity ranks.
 ROLES = {"open": 1, "workspace": 2, "dependency": 4, "builtin": 8}
 EDGE_KINDS = {"inherits": 1, "app_surface": 2, "inherits_inv": 4, "bridges": 8, "specializes": 16}
+#: The caveat of medians of too few runs, and the verdicts of a comparison with a baseline.
+PROVISIONAL = "PROVISIONAL (n<3)"
+REGRESSED, IMPROVED, UNCHANGED = "REGRESSED", "improved", "ok"
 SEVERITIES = ("error", "warning", "info", "hint")
 
 POINT = T.StructType([T.StructField("row", T.IntegerType()), T.StructField("col", T.IntegerType())])

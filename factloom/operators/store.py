@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from factloom.model import REGRESSED
+
 #: Search roots of a project, after a file's own.
 PROJECT_ROOTS = ("lib", "local/lib/perl5")
 #: Units of measurements, what they are reported in, and the factor between.
@@ -81,7 +83,7 @@ def readiness(ready: Column, policy: Column, waited: Column, limit: Column) -> C
 def verdict_first(rows: DataFrame, ids: list[str], k: int) -> DataFrame:
     """The first k rows: regressions before all else, then by relative size of the change (null last), then by id."""
     size = F.try_divide(F.abs("delta"), F.nullif("base", F.lit(0)))
-    return rows.orderBy((F.col("verdict") == "REGRESSED").desc(), size.desc_nulls_last(), *ids).limit(k)
+    return rows.orderBy((F.col("verdict") == REGRESSED).desc(), size.desc_nulls_last(), *ids).limit(k)
 
 
 def settled(rows: DataFrame) -> DataFrame:

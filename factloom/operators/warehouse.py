@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from factloom.model import IMPROVED, PROVISIONAL, REGRESSED, UNCHANGED
+
 
 def load(spark, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """(runs, measurements) of a warehouse of JSON lines, split by the field t; bad lines are skipped, columns united."""
@@ -24,7 +26,7 @@ def headline(m: DataFrame, keys: list[str]) -> DataFrame:
         F.min("value").alias("min"),
         F.max("value").alias("max"),
         (F.max("value") - F.min("value")).alias("spread"),
-        F.when(F.count("*") < 3, "PROVISIONAL (n<3)").alias("caveat"),
+        F.when(F.count("*") < 3, PROVISIONAL).alias("caveat"),
     )
 
 
@@ -56,7 +58,7 @@ def baseline_check(fresh: DataFrame, baseline: DataFrame, on: list[str], ratio:
     """fresh (value, spread) against baseline (base, base_spread), with a verdict."""
     worse = (F.col("value") > F.col("base") * ratio) & (F.col("value") - F.col("base") > F.greatest("spread", "base_spread"))
     better = (F.col("value") * ratio < F.col("base")) & (F.col("base") - F.col("value") > F.greatest("spread", "base_spread"))
-    return fresh.join(baseline, on).withColumn("verdict", F.when(worse, "REGRESSED").when(better, "improved").otherwise("ok"))
+    return fresh.join(baseline, on).withColumn("verdict", F.when(worse, REGRESSED).when(better, IMPROVED).otherwise(UNCHANGED))
 
 
 def classify(base: Column, head: Column) -> Column:
