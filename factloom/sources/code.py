@@ -78,6 +78,21 @@ UNITS = {
 }
 
 
+#: Accesses to members, of each supplier.
+ACCESSES = """void f{k}() {
+  Base{n} v;
+  Base{n} *p;
+  Base{n} **q = all;
+  const Base{n} &r = v;
+  v.rank = v->rank;
+  p.run(); p->run();
+  q->run(r.rank, r->rank);
+  Base{n} p;
+  p->run();
+}
+"""
+
+
 def filled(template: str, **values: Column) -> Column:
     out = F.lit(template)
     for name, value in values.items():
@@ -101,3 +116,8 @@ def units(spark: SparkSession, d: str) -> DataFrame:
     k, n = F.col("s_suppkey"), F.col("s_nationkey")
     each = F.explode(F.array(*[F.struct(F.lit(x).alias("lang"), filled(t, k=k, n=n).alias("text")) for x, t in UNITS.items()])).alias("x")
     return table(spark, d, "supplier").select(k.cast("long").alias("file_id"), each).select("file_id", "x.lang", "x.text")
+
+
+def accesses(spark: SparkSession, d: str) -> DataFrame:
+    """file_id, text: a function of every supplier that uses members."""
+    return table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("file_id"), filled(ACCESSES, k=F.col("s_suppkey"), n=F.col("s_nationkey")).alias("text"))
