@@ -3,9 +3,11 @@
 Documents with equal shingle sets collapse into one class before anything is paired. Classes meet in LSH bands; each is
 paired with the first of its bucket only, and the pair is judged by odd sketches: parity bitmaps of the MinHash samples,
 whose XOR population count estimates a high Jaccard similarity closely. Pairs that may be somewhat alike tie classes into
-families. A family is cut into blocks of bounded size, and every two blocks meet in a task of their own: there the odd
-sketches pick the candidates of a class among those it isn't united with yet, the full sets confirm them, and a task
-returns links that span what it has found. So all pairs of a family are decided, and none is ever a row.
+families. A family is cut into blocks of bounded size; a task holds two blocks, where the odd sketches pick the candidates
+of a class among those it isn't united with yet, the full sets confirm them, and the task returns links that span what it
+has found. A family of several blocks is first held against a few of its own classes, its pivots: each block meets them in
+one task. Classes that are united by then needn't meet, so that only those outside of the family's largest component (none,
+in a family of copies of one text) go on to meet all blocks. So all pairs of a family are decided, and none is ever a row.
 
 Defined results: null or empty text has an empty set and is linked with nothing; fewer words than a shingle make one
 shingle of the whole text; repeated rows each get a row; a null doc_id is its own document, and reaches the smallest
@@ -33,9 +35,13 @@ FAMILY_MARGIN = 0.45
 FIRST_BANDS = 4
 #: Bytes of shingles in a block of a family, about.
 BLOCK_BYTES = 4 << 20
+#: Classes that a family of several blocks is held against before its blocks meet.
+PIVOTS = 16
 EDGES_A_TASK = 200_000
 #: Classes of families (about 150 bytes each) up to which they are broadcast to the documents.
 BROADCAST_CLASSES = 50_000
+#: The block of pivots.
+PIVOT = -1
 _WORDS = WordHashes()
 
 
@@ -97,27 +103,31 @@ def estimates(sketch: np.ndarray, sketches: np.ndarray, samples: int) -> np.ndar
 
 
 def _links(table: pa.Table, k: int, num: int, den: int, samples: int) -> pa.Table:
-    """Links (u, v) that span the components of two blocks (or one): texts of the classes of blocks lo and hi."""
+    """Links (u, v) that span the components of two blocks (or one): texts of the classes of blocks lo and hi.
+
+    Classes of one part are united already. Block PIVOT, as lo, meets itself as well.
+    """
     seen: dict[int, tuple] = {}
-    rows = zip(*(table[c].to_pylist() for c in ("node", "block", "set_key", "text")), table["sketch"].to_pylist(), strict=True)
-    for node, block, key, text, sketch in rows:
+    rows = zip(*(table[c].to_pylist() for c in ("node", "block", "part", "set_key", "text")), table["sketch"].to_pylist(), strict=True)
+    for node, block, part, key, text, sketch in rows:
         s = shingle_set(text, k)
         if node not in seen and xxhash.xxh3_128_digest(s.tobytes()) == key:  # else a row repeated, or another text under the doc_id
-            seen[node] = (block, s, sketch)
+            seen[node] = (block, s, sketch, part)
     nodes = np.array(sorted(seen), np.int64)
     lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
     block = np.array([seen[n][0] for n in nodes.tolist()])
     sets = [seen[n][1] for n in nodes.tolist()]
     sketches = np.array([seen[n][2] for n in nodes.tolist()], np.int64).reshape(len(nodes), -1)
+    label = np.unique(np.array([seen[n][3] for n in nodes.tolist()], np.int64), return_inverse=True)[1]
     del seen
     sizes = np.array([len(s) for s in sets], np.int64)
     starts = np.cumsum(sizes) - sizes
     _, flat = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_inverse=True)
     mark = np.zeros(len(flat) + 1, bool)
-    label = np.arange(len(nodes))
+    within = np.array([lo == hi or lo == PIVOT and b == PIVOT for b in block], bool)
     out = []
     for x in np.flatnonzero(block == lo):
-        others = np.flatnonzero((block == hi) & (label != label[x]) if lo != hi else (np.arange(len(nodes)) > x) & (label != label[x]))
+        others = np.flatnonzero((label != label[x]) & np.where(within, np.arange(len(nodes)) > x, block == hi))
         others = others[(np.minimum(sizes[others], sizes[x]) * den >= np.maximum(sizes[others], sizes[x]) * num)]  # a smaller set cannot hold enough
         others = others[estimates(sketches[x], sketches[others], samples) >= num / den - MARGIN]
         if not len(others):
@@ -180,15 +190,43 @@ def _families(classes: DataFrame, bands: int, num: int, den: int, samples: int)
 
 def _confirmed(classes: DataFrame, families: DataFrame, docs: DataFrame, k: int, num: int, den: int, samples: int) -> DataFrame:
     """Links (u, v) between classes, enough to span the components of every family."""
-    own = classes.select("node", "set_key", "sketch", "n_shingles", F.col("doc_id").alias("rep")).join(families, "node")
-    blocks = own.groupBy("label").agg(F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES).cast("int").alias("blocks"))
-    own = own.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    own = cut(own.select("rep", "node", "set_key", "sketch", "label", "block", "blocks"))
-    few = own.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
-    texts = docs.join(F.broadcast(own) if few else own, F.col("doc_id").eqNullSafe(F.col("rep")))
-    meets = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meets = meets.select("label", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "block", "set_key", "sketch", "text")
-    return meets.groupBy("label", "lo", "hi").applyInArrow(lambda t: _links(t, k, num, den, samples), "u long, v long")
+    own = classes.select("node", "set_key", "sketch", "n_shingles", F.col("doc_id").alias("rep"), "rep_key").join(families, "node")
+    own = cut(_blocks(own, "block", "blocks"))
+    n, most = own.agg(F.count("*"), F.max("blocks")).first()
+    texts = lambda rows: docs.join(F.broadcast(rows) if n <= BROADCAST_CLASSES else rows, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.xxhash64("text") == F.col("rep_key")))
+    meet = lambda meets: meets.groupBy("label", "lo", "hi").applyInArrow(lambda t: _links(t, k, num, den, samples), "u long, v long")
+    shipped = lambda rows, lo, hi, block="block": texts(rows).select("label", lo.alias("lo"), hi.alias("hi"), "node", F.col(block).alias("block"), "part", "set_key", "sketch", "text")
+    upto = lambda first, last: F.explode(F.sequence(F.lit(first), last - 1))
+
+    own = own.withColumn("part", F.col("node"))
+    if (most or 1) == 1:
+        return meet(shipped(own, F.col("block"), F.col("block")))
+    large = own.where("blocks > 1")
+    pivots = cut(large.groupBy("label", F.pmod(F.xxhash64("node", F.lit(PIVOTS)), F.lit(PIVOTS))).agg(F.min("node").alias("node")).select("node"))
+    to_all = own.join(pivots, "node", "left_semi").withColumn("other", upto(0, F.col("blocks"))).withColumn("block", F.lit(PIVOT))
+    rest = own.join(pivots, "node", "left_anti")
+    first = shipped(rest, F.when(F.col("blocks") > 1, PIVOT).otherwise(F.col("block")), F.col("block"))
+    links = cut(meet(first.unionByName(shipped(to_all, F.lit(PIVOT), F.col("other")))))
+
+    parts = components(links).select("node", F.col("label").alias("joined"))
+    large = cut(large.join(parts, "node", "left").withColumn("part", F.coalesce("joined", "part")).drop("joined"))
+    weights = large.groupBy("label", "part").agg(F.sum("n_shingles").alias("weight"))
+    main = weights.groupBy("label").agg(F.max_by("part", F.struct("weight", "part")).alias("main"))
+    large = large.join(main, "label")
+    apart = cut(_blocks(large.where("part <> main"), "block", "apart"))  # classes outside of their family's largest component
+    if apart.isEmpty():
+        return links
+    counts = apart.groupBy("label").agg(F.max("apart").alias("apart"))
+    held = large.where("part = main").join(counts, "label").withColumn("block", F.col("apart") + F.col("block")).withColumn("other", upto(0, F.col("apart")))
+    loose = apart.withColumn("other", upto(0, F.col("apart") + F.col("blocks")))
+    both = loose.unionByName(held.select(*loose.columns))
+    return links.unionByName(meet(shipped(both, F.least("block", "other"), F.greatest("block", "other"))))
+
+
+def _blocks(own: DataFrame, block: str, blocks: str) -> DataFrame:
+    """own with the number of blocks that its family (label) is cut into, and the block of each class."""
+    sizes = own.groupBy("label").agg(F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES).cast("int").alias(blocks))
+    return own.join(sizes, "label").withColumn(block, F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int] = (80, 100), bands: int = 32, rows: int = 5, keys: tuple[str, ...] = ("doc_id",), labelled: bool = False) -> DataFrame:
@@ -199,10 +237,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int
     """
     num, den = threshold
     docs = docs.select(F.col("text").cast("binary").alias("text"), *(F.col(k).cast("long").alias(k) for k in keys))
-    named_keys = ", ".join(f"`{k}` long" for k in keys)
-    each = cut(docs.mapInArrow(releasing(_sketches, k=shingle, bands=bands, rows=rows), f"{named_keys}, n_shingles long, set_key binary, bands array<long>, sketch array<long>"))
+    named_keys = ", ".join(f"`{k}` long" for k in (*keys, "rep_key"))
+    each = cut(docs.withColumn("rep_key", F.xxhash64("text")).mapInArrow(releasing(_sketches, k=shingle, bands=bands, rows=rows), f"{named_keys}, n_shingles long, set_key binary, bands array<long>, sketch array<long>"))
     filled = each.where("set_key is not null")
-    best = F.min_by(F.struct("n_shingles", "bands", "sketch"), F.coalesce("doc_id", F.lit(2**63 - 1)))
+    best = F.min_by(F.struct("n_shingles", "bands", "sketch", "rep_key"), F.coalesce("doc_id", F.lit(2**63 - 1)))
     classes = filled.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), best.alias("x")).select("set_key", "doc_id", "x.*")
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
 

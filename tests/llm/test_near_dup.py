@@ -59,13 +59,17 @@ def test_against_brute_force(spark, k, threshold):
     assert run(spark, rows, shingle=k, threshold=threshold) == brute(rows, k, *threshold)
 
 
-def test_families_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("pivots,edits", [(16, 9), (1, 9), (2, 14), (16, 2)])
+def test_families_in_blocks(spark, monkeypatch, pivots, edits):
+    """Families of several blocks: all united by the pivots, some left apart, and most left apart; ids null or repeated."""
     from factloom.llm import near_dup
 
     monkeypatch.setattr(near_dup, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(near_dup, "PIVOTS", pivots)
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdéf") for _ in range(rng.randint(1, 5))) for _ in range(400)]
-    rows = list(enumerate(family(rng, words, 150, 9)))
+    texts = [*family(rng, words, 150, edits), *family(rng, words, 4, 1)]
+    rows = [(None if i % 40 == 7 else i, t) for i, t in enumerate(texts)] + [(2, texts[60]), (2, texts[2])]
     assert run(spark, rows, shingle=3, threshold=(85, 100)) == brute(rows, 3, 85, 100)
 
 
