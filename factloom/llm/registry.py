@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from factloom.llm import q_licenses, q_passages, q_quality, q_records, q_text
+from factloom.llm import q_licenses, q_passages, q_quality, q_records, q_text, q_vectors
 
-MODULES = [q_text, q_records, q_quality, q_licenses, q_passages]
+MODULES = [q_text, q_records, q_quality, q_licenses, q_passages, q_vectors]
 
 
 def queries() -> dict:
