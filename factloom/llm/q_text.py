@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factloom.llm import lang_id, near_dup, trie_bpe
+from factloom.llm import lang_id, near_dup, token_alignment, trie_bpe
 from factloom.llm.common import crc_bucket, table
 
 
@@ -34,5 +34,12 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, threshold=(85, 100))
 
 
-QUERIES = {"op1_lang_id": op1_lang_id, "op4_bpe": op4_bpe, "op5_near_dup": op5_near_dup}
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in every document, with the links' corpus-wide counts."""
+    out = token_alignment.aligned(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    size = lambda c: (F.octet_length(c) / 4).cast("long")
+    return out.select("doc_id", size("a_ids").alias("n_a"), size("b_ids").alias("n_b"), "n_groups", "n_links", "n_best", "count_sum", F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256"))
+
+
+QUERIES = {"op12_token_alignment": op12_token_alignment, "op1_lang_id": op1_lang_id, "op4_bpe": op4_bpe, "op5_near_dup": op5_near_dup}
 ORACLES: dict[str, str] = {}
