@@ -7,8 +7,8 @@ group, and a repeat of each A token by the number of B tokens it overlaps gives
 once. No token of either vocabulary spans the place between a letter and a blank that follows it, so texts are encoded in
 pieces that begin there; a worker encodes a piece once and keeps a bounded number of them.
 
-Encoded documents are written to the shared folder in batches of bounded size, each with its distinct pairs and how often
-each is linked. The batches' counts are summed in two shuffles, first by pair and a salt of the batch, then by pair, so that
+Encoded documents are written to the shared folder once, bucketed by batches of bounded size, each with its distinct pairs
+and how often each is linked. The batches' counts are summed in two shuffles, first by pair and a salt of the batch, then by pair, so that
 a pair that stands in all batches is summed by many tasks. A batch then gets back the totals of its own distinct pairs,
 never of all links, and sums them by document.
 
@@ -23,9 +23,11 @@ from __future__ import annotations
 import json
 import os
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +38,13 @@ from factloom.llm.common import fresh_path, give_back, releasing
 from factloom.llm.trie_bpe import byte_letters
 
 #: Bytes of text in a batch, about, and rows at most.
-BATCH_BYTES, BATCH_ROWS = 4 << 20, 20_000
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 20_000
 #: Pieces of at most PIECE letters that a worker keeps; twice as many at most, as the older half is dropped at once.
 CACHE_PIECES, PIECE = 120_000, 64
 #: Tasks among which the counts of one pair are summed first.
 SALTS = 16
+#: Buckets of the written table for each partition of the documents.
+BUCKETS = 4
 #: A pair of tokens is the number a * PAIR + b.
 PAIR = 1 << 31
 #: A blank after white space: there a piece must not begin.
@@ -84,12 +88,24 @@ class Vocabularies:
 
     def _encode(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
         """Ids of each text, as both vocabularies encode a blank and it; None where the tokens don't spell these bytes."""
-        out = []
-        for text, a, b in zip(texts, self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1), strict=True):
-            want = f" {text}".encode()
-            same = b"".join(map(self.bytes_a.__getitem__, a.ids)) == want and b"".join(map(self.bytes_b.__getitem__, b)) == want
-            out.append((np.array(a.ids, "<u4").tobytes(), np.array(b, "<u4").tobytes()) if same else None)
-        return out
+        want = [f" {t}".encode() for t in texts]
+        a = [e.ids for e in self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
+        both = [self._spelt(ids, table, want) for ids, table in ((a, self.bytes_a), (self.b.encode(texts, num_threads=1), self.bytes_b))]
+        return [x if None not in x else None for x in zip(*both, strict=True)]
+
+    @staticmethod
+    def _spelt(ids: list[list[int]], table: list[bytes], want: list[bytes]) -> list[bytes | None]:
+        """Each list of ids as bytes; None where its tokens don't spell what is wanted."""
+        flat = list(chain.from_iterable(ids))
+        spelling = list(map(table.__getitem__, flat))
+        raw, ends = np.array(flat, "<u4").tobytes(), list(accumulate(map(len, ids)))
+        whole, begins = b"".join(spelling) == b"".join(want), [0, *ends[:-1]]
+        if whole:  # then the lengths decide
+            until = np.concatenate([[0], np.cumsum(list(map(len, spelling)), dtype=np.int64)])[ends]
+            same = np.diff(until, prepend=0) == list(map(len, want))
+        else:
+            same = [b"".join(spelling[i:j]) == w for i, j, w in zip(begins, ends, want, strict=True)]
+        return [raw[4 * i : 4 * j] if ok else None for i, j, ok in zip(begins, ends, same, strict=True)]
 
     def encode_texts(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         """A's and B's ids of each text, as little-endian unsigned 32-bit integers; both empty where it has no tokens."""
@@ -197,12 +213,15 @@ def _encode(batches: Iterator[pa.RecordBatch], paths: tuple[str, str]) -> Iterat
 def encode(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """Documents (doc_id, text) as ids of both vocabularies, in numbered batches; written to the shared folder and read back.
 
-    The paths have to be readable on every executor.
+    The table (of a name of its own) is bucketed by batch, so that a batch meets its replies without another shuffle of the
+    ids. The paths have to be readable on every executor.
     """
-    path = fresh_path(docs.sparkSession, "encoded")
+    spark, name = docs.sparkSession, f"encoded_{uuid.uuid4().hex}"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows.mapInArrow(releasing(_encode, paths=(path_a, path_b)), ENCODED).write.option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.schema(ENCODED).parquet(path)
+    buckets = BUCKETS * max(1, rows.rdd.getNumPartitions())
+    out = rows.mapInArrow(releasing(_encode, paths=(path_a, path_b)), ENCODED).write.bucketBy(buckets, "batch")
+    out.option("compression", "zstd").option("path", fresh_path(spark, name)).saveAsTable(name, format="parquet")
+    return spark.table(name)
 
 
 def batch_pairs(encoded: DataFrame) -> DataFrame:
