@@ -27,9 +27,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from factloom.llm.common import WordHashes, give_back, mix, windows
+from factloom.llm.common import WordHashes, cut, give_back, mix, windows
 
 #: Words of a window, and of the runs among which anchors are chosen.
 LENGTH, GRAM = 50, 8
@@ -104,9 +105,9 @@ class Batch:
         """Numbers of the distinct stretches with one of the anchors."""
         return np.flatnonzero(np.isin(self.anchor[self.sample], anchors))
 
-    def windows_of(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All windows under one of the anchors: where each begins, its document, and its hash."""
-        mine = np.flatnonzero(np.isin(self.anchor, anchors))
+    def windows(self, anchors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All windows, or those under one of the anchors: where each begins, its document, and its hash."""
+        mine = np.arange(len(self.anchor)) if anchors is None else np.flatnonzero(np.isin(self.anchor, anchors))
         size = self.size[mine]
         at = np.repeat(self.first[mine] - np.cumsum(size) + size, size) + np.arange(size.sum())
         return at, np.repeat(self.owner[mine], size), run_hashes(self.hashes, at, LENGTH)
@@ -141,10 +142,9 @@ SHIPPED = "anchor long, batch long, number long, doc long, size long, content bi
 
 def _ship(table: pa.Table, shared: pa.Table) -> pa.Table:
     """A batch's distinct stretches under prefixes that other documents have too, unless there are too many for a tree."""
-    columns, names = [[], [], [], [], [], []], [c.split()[0] for c in SHIPPED.split(", ")]
-    anchors = _unsigned(shared.filter(pa.compute.invert(shared["hot"]))["anchor"]) if shared.num_rows else ()
-    if len(anchors):
-        batch = Batch(table)
+    columns, names = [[] for _ in range(6)], [c.split()[0] for c in SHIPPED.split(", ")]
+    if shared.num_rows and table.num_rows:
+        batch, anchors = Batch(table), _unsigned(shared["anchor"])
         part = batch.under(anchors)
         at = batch.sample[part]
         columns = [batch.anchor[at].view(np.int64), np.full(len(part), table["batch"][0].as_py()), part, batch.least[part], batch.size[at], [batch.text(i) for i in at.tolist()]]
@@ -153,15 +153,20 @@ def _ship(table: pa.Table, shared: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
+WINDOWS = "to_batch long, window long, low long, high long"
+
+
 def _whole_windows(table: pa.Table, shared: pa.Table) -> pa.Table:
-    """A batch's distinct windows under prefixes with too many stretches, each with its smallest document."""
-    anchors = _unsigned(shared.filter(shared["hot"])["anchor"]) if shared.num_rows else ()
-    if not len(anchors):
-        return pa.table([pa.array([], pa.int64())] * 3, ["batch", "window", "doc"])
-    _, docs, hashes = Batch(table).windows_of(anchors)
-    distinct, first = np.unique(hashes, return_index=True)
+    """A batch's distinct windows under prefixes with too many stretches, each with its smallest and largest document."""
+    names = [c.split()[0] for c in WINDOWS.split(", ")]
+    if not shared.num_rows or not table.num_rows:
+        return pa.table([pa.array([], pa.int64())] * 4, names)
+    _, docs, hashes = Batch(table).windows(_unsigned(shared["anchor"]))
+    order = np.lexsort((docs, hashes))
+    low = np.flatnonzero(np.diff(hashes[order], prepend=~hashes[order][:1]))
+    high = np.append(low[1:], len(order)) - 1
     give_back()
-    return pa.table([pa.array(np.full(len(distinct), table["batch"][0].as_py())), _signed(distinct), pa.array(docs[first])], ["batch", "window", "doc"])
+    return pa.table([pa.array(np.full(len(low), table["batch"][0].as_py())), _signed(hashes[order[low]]), pa.array(docs[order[low]]), pa.array(docs[order[high]])], names)
 
 
 def _ranks(*keys: np.ndarray) -> np.ndarray:
@@ -210,11 +215,12 @@ class Subtree:
         return low, np.append(low[1:], len(self.order))
 
 
-FOUND = "batch long, number long, start long, stop long, window long"
+#: What a batch hears: windows start to stop of a stretch (number) have a source, or the smallest document of a window.
+FOUND = "to_batch long, number long, start long, stop long, window long, least long"
 
 
 def _found(batch: np.ndarray, number: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Table:
-    return pa.table([pa.array(c, pa.int64()) for c in (batch, number, start, stop)] + [pa.nulls(len(batch), pa.int64())], [c.split()[0] for c in FOUND.split(", ")])
+    return pa.table([pa.array(c, pa.int64()) for c in (batch, number, start, stop)] + [pa.nulls(len(batch), pa.int64())] * 2, [c.split()[0] for c in FOUND.split(", ")])
 
 
 def _sources(table: pa.Table) -> pa.Table:
@@ -281,3 +287,74 @@ def _halved(names: np.ndarray, starts: np.ndarray, mine: np.ndarray, depth: int)
     order = np.argsort(word, kind="stable")
     cuts = np.flatnonzero(np.diff(word[order])) + 1
     return [x for part in np.split(mine[order], cuts) for x in _halved(names, starts, part, depth + 1)]
+
+
+def _remove(left: pa.Table, right: pa.Table, names: list[str]) -> pa.Table:
+    """Each document of a batch with what is left of it and the spans removed."""
+    batch = Batch(left)
+    step = np.zeros(len(batch.hashes) + 1, np.int32)
+    later = batch.owner > batch.least[batch.number]  # the same stretch stands in a smaller document of the batch
+    np.add.at(step, batch.first[later], 1)
+    np.add.at(step, (batch.first + batch.size + LENGTH - 1)[later], -1)
+    ranges = right.filter(pc.is_valid(right["number"]))
+    if ranges.num_rows:
+        number, start, stop = (ranges[c].to_numpy() for c in ("number", "start", "stop"))
+        by = np.argsort(batch.number, kind="stable")
+        low, high = np.searchsorted(batch.number[by], number), np.searchsorted(batch.number[by], number, side="right")
+        times = high - low
+        at = by[np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())]
+        np.add.at(step, batch.first[at] + np.repeat(start, times), 1)
+        np.add.at(step, batch.first[at] + np.repeat(stop, times) + LENGTH - 1, -1)
+    whole = right.filter(pc.is_valid(right["window"]))
+    if whole.num_rows:
+        window, least = _unsigned(whole["window"]), whole["least"].to_numpy()
+        order = np.argsort(window)
+        at, docs, hashes = batch.windows()
+        place = order[np.minimum(np.searchsorted(window[order], hashes), len(order) - 1)]
+        hit = at[(window[place] == hashes) & (least[place] < docs)]
+        np.add.at(step, hit, 1)
+        np.add.at(step, hit + LENGTH, -1)
+    gone = np.cumsum(step)[:-1] > 0
+    kept, spans = [None] * len(batch.order), [None] * len(batch.order)
+    for i, row in enumerate(batch.order):
+        a, b = int(batch.ends[i - 1]) if i else 0, int(batch.ends[i])
+        edge = np.flatnonzero(np.diff(gone[a:b], prepend=False, append=False))
+        spans[row] = edge.reshape(-1, 2)
+        stays = [0, *edge.tolist(), b - a]
+        kept[row] = b" ".join([w for x, y in zip(stays[::2], stays[1::2], strict=True) for w in batch.words[a + x : a + y]])
+    flat = np.concatenate(spans) if spans else np.empty((0, 2), np.int64)
+    offsets = np.cumsum([0, *map(len, spans)]).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0], pa.int64()), pa.array(flat[:, 1], pa.int64())], ["start", "end"])
+    sizes = np.empty(len(batch.order), np.int64)
+    sizes[batch.order] = np.diff(batch.ends, prepend=0)
+    give_back()
+    return pa.table([*(left[c] for c in names), pa.array(sizes), pa.array(kept, pa.binary()).cast(pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pairs)], [*names, "n_words", "kept_text", "removed_spans"])
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text and others) with n_words, kept_text (the words that are left, one blank apart) and removed_spans
+    (start and end of each maximal removed run, in words of the text)."""
+    more = ["n_words", "kept_text", "removed_spans"]
+    docs = docs.drop(*more, "text_bytes", "batch")
+    names = docs.columns
+    docs = docs.withColumn("text_bytes", F.col("text").cast("binary")).drop("text")
+    size = docs.agg(F.sum(F.octet_length("text_bytes"))).first()[0] or 0
+    batches, groups = 1 + size // BATCH_BYTES, 1 + size // GROUP_BYTES
+    dealt = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text_bytes"), F.lit(batches))).repartition(batches, "batch")
+    by_batch = lambda: dealt.groupBy("batch")
+    every = Window.partitionBy("anchor")  # a row for each batch at most
+    announced = by_batch().applyInArrow(lambda t: _announce(t), ANNOUNCED)
+    counted = announced.select(F.col("batch").alias("of_batch"), "anchor", "several", F.count("*").over(every).alias("batches"), (F.sum("stretches").over(every) > HOT).alias("hot"))
+    shared = cut(counted.where("batches > 1 or several").select("of_batch", "anchor", "hot"))
+    shipped = by_batch().cogroup(shared.where("not hot").groupBy("of_batch")).applyInArrow(lambda a, b: _ship(a, b), SHIPPED)
+    in_trees = shipped.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(groups))).applyInArrow(lambda t: _sources(t), FOUND)
+    found = in_trees
+    if not shared.where("hot").isEmpty():
+        whole = cut(by_batch().cogroup(shared.where("hot").groupBy("of_batch")).applyInArrow(lambda a, b: _whole_windows(a, b), WINDOWS))
+        least = whole.groupBy("window").agg(F.min("low").alias("least"))
+        none = [F.lit(None).cast("long").alias(c) for c in ("number", "start", "stop")]
+        found = found.unionByName(whole.join(least, "window").where("least < high").select("to_batch", *none, "window", "least"))
+    rest = [c for c in docs.columns if c != "text_bytes"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest, "text_bytes").schema), "n_words bigint, kept_text string, removed_spans array<struct<start:bigint,end:bigint>>"])
+    out = by_batch().cogroup(found.groupBy("to_batch")).applyInArrow(lambda a, b: _remove(a, b, [*rest, "text_bytes"]), schema)
+    return out.withColumn("text", F.col("text_bytes").cast("string")).select(*names, *more)
