@@ -6,13 +6,13 @@ the window's anchor, the run of GRAM words with the smallest hash among those in
 prefixes, and neighbouring suffixes whose prefixes end at one anchor share their words, so that a group is shipped as
 stretches of text instead of one window a suffix. Groups are dealt to tasks of bounded size.
 
-Batches of documents first announce their anchors, with the number of different stretches under each; a prefix that one
+Batches of documents first announce their anchors, with the bytes of the different stretches under each; a prefix that one
 document alone has needs no tree and is dropped. A task then builds the subtree of its suffixes: words are named by rank,
 ranks of runs of 3, 9 and 27 words follow from each other, they sort the suffixes, and descending them gives the depth of
 the node where neighbours part. The deep internal nodes, those of LENGTH words or more, are the repeats: their smallest
 doc_id is the source, and neighbouring windows under such nodes make up the maximal repeats.
 
-A prefix with more than HOT different stretches (a passage in very many documents) is lengthened to the whole window: its
+A prefix with more than HOT bytes of different stretches (a passage in very many documents) is lengthened to the whole window: its
 group then is one node, of which only the smallest doc_id is needed. That is found by an aggregate which combines
 before the shuffle, over each batch's distinct windows, so that no task holds such a group. Words and windows are compared
 by hashes of 64 bits.
@@ -25,38 +25,62 @@ text_bytes and batch, are replaced). An empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from factloom.llm.common import WordHashes, cut, give_back, mix, windows
+from factloom.llm.common import cut, give_back, mix, windows
 
 #: Words of a window, and of the runs among which anchors are chosen.
 LENGTH, GRAM = 50, 8
 #: Bytes of text in a batch, and of stretches in a group, about.
 BATCH_BYTES, GROUP_BYTES = 4 << 20, 8 << 20
-#: Different stretches up to which a prefix's suffixes form a tree in one task.
-HOT = 256
+#: Bytes of different stretches up to which a prefix's suffixes form a tree in one task.
+HOT = GROUP_BYTES // 2
 NO_DOC = np.int64(2**63 - 1)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_WORDS = WordHashes()
+#: Bytes of text whose words are found at a time.
+PIECE = 1 << 20
+
+
+#: What words are told apart by: a number for each byte, and which bytes are blanks.
+_LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse, n each."""
-    up = np.full(n, _MULTIPLIER)
-    down = np.full(n, _INVERSE)
+@lru_cache(maxsize=4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n, _MULTIPLIER), np.full(n, _INVERSE)
     up[:1] = down[:1] = 1
     return np.cumprod(up), np.cumprod(down)
 
 
-def run_hashes(hashes: np.ndarray, first: np.ndarray, size: np.ndarray | int) -> np.ndarray:
-    """A hash of each run of words that begins at first and has so many words."""
-    up, down = powers(len(hashes) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes) * up[:-1])])
-    return mix((sums[first + size] - sums[first]) * down[first] + np.uint64(1) * np.asarray(size).astype(np.uint64))
+def run_hashes(letters: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A hash of each run of letters (numbers without pattern) from first to stop, by differences of running sums."""
+    up, down = _powers(1 << max(len(letters), 1).bit_length())
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * up[: len(letters)])])
+    return mix((sums[stop] - sums[first]) * down[first] + (stop - first).astype(np.uint64))
+
+
+def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word begins and ends, and its hash; a piece of the text that ends with a blank at a time."""
+    raw, at, parts = np.frombuffer(text, np.uint8), 0, []
+    while at < len(raw):
+        end = min(at + PIECE, len(raw))
+        while end < len(raw) and not _BLANK[raw[end - 1]]:
+            blank = np.flatnonzero(_BLANK[raw[end : end + PIECE]])
+            end = end + int(blank[0]) + 1 if len(blank) else min(end + PIECE, len(raw))
+        piece = raw[at:end]
+        edge = np.flatnonzero(np.diff(_BLANK[piece], prepend=True, append=True)).reshape(-1, 2)
+        parts.append((edge[:, 0] + at, edge[:, 1] + at, run_hashes(_LETTERS[piece], edge[:, 0], edge[:, 1])))
+        at = end
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 class Batch:
@@ -67,17 +91,18 @@ class Batch:
         keys = [(NO_DOC if d is None else d, t or b"") for d, t in zip(ids, texts, strict=True)]
         self.order = sorted(range(len(keys)), key=keys.__getitem__)
         self.docs = np.array([keys[i][0] for i in self.order], np.int64)
-        split = [keys[i][1].split() for i in self.order]
-        self.words = [w for s in split for w in s]
-        self.ends = np.cumsum([len(s) for s in split]).astype(np.int64)
-        self.hashes = np.concatenate([_WORDS.of(s) for s in split]) if split else np.empty(0, np.uint64)
+        self.texts = [keys[i][1] for i in self.order]
+        self.text = b"\n".join(self.texts)
+        self.begin, self.end, self.hashes = words_of(self.text)
+        stops = np.cumsum([len(t) + 1 for t in self.texts])
+        self.ends = np.searchsorted(self.begin, stops).astype(np.int64)  # of each document, in words
         runs = len(self.hashes) - LENGTH + 1
         if runs <= 0:
             self.first = self.size = self.owner = np.empty(0, np.int64)
             self.anchor = np.empty(0, np.uint64)
         else:
             self._stretches(runs)
-        self.content = run_hashes(self.hashes, self.first, self.size + LENGTH - 1) ^ self.anchor
+        self.content = run_hashes(mix(self.hashes), self.first, self.first + self.size + LENGTH - 1) ^ self.anchor
         _, self.sample, self.number = np.unique(self.content, return_index=True, return_inverse=True)
         self.least = self.owner[self.sample]  # documents go by doc_id, so the first place has the smallest
 
@@ -97,9 +122,9 @@ class Batch:
         self.anchor = h[self.first]
         self.owner = self.docs[owner[self.first]]
 
-    def text(self, at: int) -> bytes:
-        """The words of a stretch."""
-        return b" ".join(self.words[self.first[at] : self.first[at] + self.size[at] + LENGTH - 1])
+    def stretch(self, at: int) -> bytes:
+        """The text of a stretch."""
+        return self.text[self.begin[self.first[at]] : self.end[self.first[at] + self.size[at] + LENGTH - 2]]
 
     def under(self, anchors: np.ndarray) -> np.ndarray:
         """Numbers of the distinct stretches with one of the anchors."""
@@ -110,7 +135,7 @@ class Batch:
         mine = np.arange(len(self.anchor)) if anchors is None else np.flatnonzero(np.isin(self.anchor, anchors))
         size = self.size[mine]
         at = np.repeat(self.first[mine] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        return at, np.repeat(self.owner[mine], size), run_hashes(self.hashes, at, LENGTH)
+        return at, np.repeat(self.owner[mine], size), run_hashes(mix(self.hashes), at, at + LENGTH)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -121,20 +146,22 @@ def _unsigned(column: pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy().view(np.uint64)
 
 
-ANNOUNCED = "batch long, anchor long, stretches long, several boolean"
+ANNOUNCED = "batch long, anchor long, bytes long, several boolean"
 
 
 def _announce(table: pa.Table) -> pa.Table:
-    """A batch's anchors, with the number of different stretches under each, and whether several of its documents have it."""
+    """A batch's anchors, with the bytes of the different stretches under each, and whether several of its documents have it."""
     batch = Batch(table)
     anchors, of = np.unique(batch.anchor, return_inverse=True)
-    stretches = np.bincount(of[batch.sample], minlength=len(anchors))
+    at = batch.sample
+    size = batch.end[batch.first[at] + batch.size[at] + LENGTH - 2] - batch.begin[batch.first[at]]
+    size = np.bincount(of[at], size, len(anchors)).astype(np.int64)
     low, high = np.full(len(anchors), NO_DOC), np.full(len(anchors), np.iinfo(np.int64).min)
     np.minimum.at(low, of, batch.owner)
     np.maximum.at(high, of, batch.owner)
     number = table["batch"][0].as_py() if table.num_rows else 0
     give_back()
-    return pa.table([pa.array(np.full(len(anchors), number)), _signed(anchors), pa.array(stretches, pa.int64()), pa.array(low < high)], [c.split()[0] for c in ANNOUNCED.split(", ")])
+    return pa.table([pa.array(np.full(len(anchors), number)), _signed(anchors), pa.array(size), pa.array(low < high)], [c.split()[0] for c in ANNOUNCED.split(", ")])
 
 
 SHIPPED = "anchor long, batch long, number long, doc long, size long, content binary"
@@ -147,7 +174,7 @@ def _ship(table: pa.Table, shared: pa.Table) -> pa.Table:
         batch, anchors = Batch(table), _unsigned(shared["anchor"])
         part = batch.under(anchors)
         at = batch.sample[part]
-        columns = [batch.anchor[at].view(np.int64), np.full(len(part), table["batch"][0].as_py()), part, batch.least[part], batch.size[at], [batch.text(i) for i in at.tolist()]]
+        columns = [batch.anchor[at].view(np.int64), np.full(len(part), table["batch"][0].as_py()), part, batch.least[part], batch.size[at], [batch.stretch(i) for i in at.tolist()]]
     kinds = [pa.int64()] * 5 + [pa.binary()]
     give_back()
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -320,8 +347,8 @@ def _remove(left: pa.Table, right: pa.Table, names: list[str]) -> pa.Table:
         a, b = int(batch.ends[i - 1]) if i else 0, int(batch.ends[i])
         edge = np.flatnonzero(np.diff(gone[a:b], prepend=False, append=False))
         spans[row] = edge.reshape(-1, 2)
-        stays = [0, *edge.tolist(), b - a]
-        kept[row] = b" ".join([w for x, y in zip(stays[::2], stays[1::2], strict=True) for w in batch.words[a + x : a + y]])
+        words, stays = batch.texts[i].split(), [0, *edge.tolist(), b - a]
+        kept[row] = b" ".join([w for x, y in zip(stays[::2], stays[1::2], strict=True) for w in words[x:y]] if len(edge) else words)
     flat = np.concatenate(spans) if spans else np.empty((0, 2), np.int64)
     offsets = np.cumsum([0, *map(len, spans)]).astype(np.int32)
     pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0], pa.int64()), pa.array(flat[:, 1], pa.int64())], ["start", "end"])
@@ -344,7 +371,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     by_batch = lambda: dealt.groupBy("batch")
     every = Window.partitionBy("anchor")  # a row for each batch at most
     announced = by_batch().applyInArrow(lambda t: _announce(t), ANNOUNCED)
-    counted = announced.select(F.col("batch").alias("of_batch"), "anchor", "several", F.count("*").over(every).alias("batches"), (F.sum("stretches").over(every) > HOT).alias("hot"))
+    counted = announced.select(F.col("batch").alias("of_batch"), "anchor", "several", F.count("*").over(every).alias("batches"), (F.sum("bytes").over(every) > HOT).alias("hot"))
     shared = cut(counted.where("batches > 1 or several").select("of_batch", "anchor", "hot"))
     shipped = by_batch().cogroup(shared.where("not hot").groupBy("of_batch")).applyInArrow(lambda a, b: _ship(a, b), SHIPPED)
     in_trees = shipped.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(groups))).applyInArrow(lambda t: _sources(t), FOUND)

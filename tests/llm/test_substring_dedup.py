@@ -45,7 +45,7 @@ def result(df):
     return sorted(((r.doc_id, r.n_words, r.kept_text, [tuple(s) for s in r.removed_spans]) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("hot", [0, 3, 256])
+@pytest.mark.parametrize("hot", [0, 2000, 4 << 20])
 def test_against_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(sd, "BATCH_BYTES", 9000)
     monkeypatch.setattr(sd, "GROUP_BYTES", 9000)
