@@ -45,6 +45,16 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def bucketed(df: DataFrame, what: str, key: str, buckets: int) -> DataFrame:
+    """df written once to the shared folder, bucketed by key, and read back: groups by key need no further shuffle.
+
+    Spark keeps buckets for tables of the catalog only, so that the table has a name (of its own) there.
+    """
+    name = f"{what}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", fresh_path(df.sparkSession, name)).saveAsTable(name, format="parquet")
+    return df.sparkSession.table(name)
+
+
 #: What tells rows apart: the id, and a hash of the text, as a doc_id may be null or repeated.
 ROW = ("doc_id", "text_key")
 

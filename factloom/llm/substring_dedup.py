@@ -6,7 +6,7 @@ the window's anchor, the run of GRAM words with the smallest hash among those in
 prefixes, and neighbouring suffixes whose prefixes end at one anchor share their words, so that a group is shipped as
 stretches of text instead of one window a suffix. Groups are dealt to tasks of bounded size.
 
-Batches of documents first announce their anchors, with the bytes of the different stretches under each; a prefix that one
+Documents are written once, bucketed by batches of bounded size, which also announce their anchors, with the bytes of the different stretches under each; a prefix that one
 document alone has needs no tree and is dropped. A task then builds the subtree of its suffixes: words are named by rank,
 ranks of runs of 3, 9 and 27 words follow from each other, they sort the suffixes, and descending them gives the depth of
 the node where neighbours part. The deep internal nodes, those of LENGTH words or more, are the repeats: their smallest
@@ -25,14 +25,16 @@ text_bytes and batch, are replaced). An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from factloom.llm.common import cut, give_back, mix, windows
+from factloom.llm.common import bucketed, cut, give_back, mix, releasing, windows
 
 #: Words of a window, and of the runs among which anchors are chosen.
 LENGTH, GRAM = 50, 8
@@ -40,6 +42,8 @@ LENGTH, GRAM = 50, 8
 BATCH_BYTES, GROUP_BYTES = 4 << 20, 8 << 20
 #: Bytes of different stretches up to which a prefix's suffixes form a tree in one task.
 HOT = GROUP_BYTES // 2
+#: Buckets of the written table for each partition of the documents.
+BUCKETS = 4
 NO_DOC = np.int64(2**63 - 1)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -146,10 +150,10 @@ def _unsigned(column: pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy().view(np.uint64)
 
 
-ANNOUNCED = "batch long, anchor long, bytes long, several boolean"
+ANNOUNCED = "announced array<struct<anchor:bigint,bytes:bigint,several:boolean>>"
 
 
-def _announce(table: pa.Table) -> pa.Table:
+def _announced(table: pa.Table) -> pa.Array:
     """A batch's anchors, with the bytes of the different stretches under each, and whether several of its documents have it."""
     batch = Batch(table)
     anchors, of = np.unique(batch.anchor, return_inverse=True)
@@ -159,9 +163,32 @@ def _announce(table: pa.Table) -> pa.Table:
     low, high = np.full(len(anchors), NO_DOC), np.full(len(anchors), np.iinfo(np.int64).min)
     np.minimum.at(low, of, batch.owner)
     np.maximum.at(high, of, batch.owner)
-    number = table["batch"][0].as_py() if table.num_rows else 0
-    give_back()
-    return pa.table([pa.array(np.full(len(anchors), number)), _signed(anchors), pa.array(size), pa.array(low < high)], [c.split()[0] for c in ANNOUNCED.split(", ")])
+    return pa.StructArray.from_arrays([_signed(anchors), pa.array(size), pa.array(low < high)], ["anchor", "bytes", "several"])
+
+
+def _deal(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows in numbered batches of about BATCH_BYTES of text; the first row of a batch announces its anchors."""
+    number, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+    def batch() -> Iterator[pa.RecordBatch]:
+        told = _announced(pa.Table.from_batches(held))
+        for part in pa.Table.from_batches(held).to_batches():
+            offsets = pa.array(np.minimum(np.arange(part.num_rows + 1), 1) * len(told), pa.int32())
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(part.num_rows, number)), pa.ListArray.from_arrays(offsets, told)], [*names, "batch", "announced"])
+            told = told[:0]
+
+    for whole in batches:
+        at, ends = 0, np.cumsum(pc.fill_null(pc.binary_length(whole.column("text_bytes")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        while at < whole.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = min(int(np.searchsorted(ends, before + BATCH_BYTES - size)) + 1, whole.num_rows)
+            held.append(whole.slice(at, stop - at))
+            size, at = size + int(ends[stop - 1]) - before, stop
+            if size >= BATCH_BYTES:
+                yield from batch()
+                number, held, size = number + 1, [], 0
+    if held:
+        yield from batch()
 
 
 SHIPPED = "anchor long, batch long, number long, doc long, size long, content binary"
@@ -362,16 +389,19 @@ def dedup(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text and others) with n_words, kept_text (the words that are left, one blank apart) and removed_spans
     (start and end of each maximal removed run, in words of the text)."""
     more = ["n_words", "kept_text", "removed_spans"]
-    docs = docs.drop(*more, "text_bytes", "batch")
+    docs = docs.drop(*more, "text_bytes", "batch", "announced")
     names = docs.columns
     docs = docs.withColumn("text_bytes", F.col("text").cast("binary")).drop("text")
-    size = docs.agg(F.sum(F.octet_length("text_bytes"))).first()[0] or 0
-    batches, groups = 1 + size // BATCH_BYTES, 1 + size // GROUP_BYTES
-    dealt = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text_bytes"), F.lit(batches))).repartition(batches, "batch")
-    by_batch = lambda: dealt.groupBy("batch")
+    rest = [c for c in docs.columns if c != "text_bytes"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest, "text_bytes").schema)
+    cells = docs.select(*rest, "text_bytes").mapInArrow(releasing(_deal, names=[*rest, "text_bytes"]), f"{schema}, batch bigint, {ANNOUNCED}")
+    table = bucketed(cells, "dealt", "batch", BUCKETS * max(1, docs.rdd.getNumPartitions()))
+    size = table.agg(F.sum(F.octet_length("text_bytes"))).first()[0] or 0
+    groups = 1 + size // GROUP_BYTES
+    by_batch = lambda: table.drop("announced").groupBy("batch")
     every = Window.partitionBy("anchor")  # a row for each batch at most
-    announced = by_batch().applyInArrow(lambda t: _announce(t), ANNOUNCED)
-    counted = announced.select(F.col("batch").alias("of_batch"), "anchor", "several", F.count("*").over(every).alias("batches"), (F.sum("bytes").over(every) > HOT).alias("hot"))
+    announced = table.select(F.col("batch").alias("of_batch"), F.explode("announced").alias("x")).select("of_batch", "x.*")
+    counted = announced.select("of_batch", "anchor", "several", F.count("*").over(every).alias("batches"), (F.sum("bytes").over(every) > HOT).alias("hot"))
     shared = cut(counted.where("batches > 1 or several").select("of_batch", "anchor", "hot"))
     shipped = by_batch().cogroup(shared.where("not hot").groupBy("of_batch")).applyInArrow(lambda a, b: _ship(a, b), SHIPPED)
     in_trees = shipped.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(groups))).applyInArrow(lambda t: _sources(t), FOUND)
@@ -381,7 +411,6 @@ def dedup(docs: DataFrame) -> DataFrame:
         least = whole.groupBy("window").agg(F.min("low").alias("least"))
         none = [F.lit(None).cast("long").alias(c) for c in ("number", "start", "stop")]
         found = found.unionByName(whole.join(least, "window").where("least < high").select("to_batch", *none, "window", "least"))
-    rest = [c for c in docs.columns if c != "text_bytes"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest, "text_bytes").schema), "n_words bigint, kept_text string, removed_spans array<struct<start:bigint,end:bigint>>"])
+    schema += ", n_words bigint, kept_text string, removed_spans array<struct<start:bigint,end:bigint>>"
     out = by_batch().cogroup(found.groupBy("to_batch")).applyInArrow(lambda a, b: _remove(a, b, [*rest, "text_bytes"]), schema)
     return out.withColumn("text", F.col("text_bytes").cast("string")).select(*names, *more)

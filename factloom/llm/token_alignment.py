@@ -23,7 +23,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -34,7 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from factloom.llm.common import fresh_path, give_back, releasing
+from factloom.llm.common import bucketed, give_back, releasing
 from factloom.llm.trie_bpe import byte_letters
 
 #: Bytes of text in a batch, about, and rows at most.
@@ -216,12 +215,9 @@ def encode(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     The table (of a name of its own) is bucketed by batch, so that a batch meets its replies without another shuffle of the
     ids. The paths have to be readable on every executor.
     """
-    spark, name = docs.sparkSession, f"encoded_{uuid.uuid4().hex}"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = BUCKETS * max(1, rows.rdd.getNumPartitions())
-    out = rows.mapInArrow(releasing(_encode, paths=(path_a, path_b)), ENCODED).write.bucketBy(buckets, "batch")
-    out.option("compression", "zstd").option("path", fresh_path(spark, name)).saveAsTable(name, format="parquet")
-    return spark.table(name)
+    return bucketed(rows.mapInArrow(releasing(_encode, paths=(path_a, path_b)), ENCODED), "encoded", "batch", buckets)
 
 
 def batch_pairs(encoded: DataFrame) -> DataFrame:
