@@ -1,8 +1,8 @@
-"""Facts from source text: lines with their scopes, declared capture patterns, and the rows that follow from them.
+"""Facts from source text: declared capture patterns over statements, and the rows that follow from them.
 
-A file is split into lines, and two window passes over a file's lines (one shuffle by file_id, or none where lines are
-already together) give each line its depth, package, sub and whether it lies behind the end mark. All else is a projection
-of lines, or a join of such projections. Lines are judged one by one: a construct spread over lines is not put together.
+``statements`` reads a file into statements with their scopes; nothing is shuffled for that. All else is a projection of
+statements, or a join of such projections, over their normal form, in which word lists and strings of any quoting look
+alike and a construct spread over lines is one row. Languages with packs of their own are split into lines.
 """
 
 from __future__ import annotations
@@ -12,11 +12,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factloom.operators.graph import closure, cut
+from factloom.operators.statements import statements  # noqa: F401
 
 #: Nesting up to which a file is analysed.
 MAX_DEPTH = 64
 #: Words before a parenthesis that are no calls, and functions of the language itself.
-NOT_CALLS = ("qw", "if", "unless", "while", "until", "for", "foreach", "return", "my", "our", "sub", "and", "or", "not", "elsif")
+NOT_CALLS = ("qw", "if", "unless", "while", "until", "for", "foreach", "return", "my", "our", "local", "state", "sub", "and", "or", "not", "elsif", "x", "eq", "ne", "lt", "gt", "le", "ge", "cmp", "xor", "when", "given", "catch")
 BUILTINS = ("print", "push", "shift", "bless", "defined", "ref", "die", "keys", "values", "scalar", "join", "map", "grep", "sort")
 #: Capture patterns by language: (capture, pattern); what is captured is the pattern's first group.
 PACKS: dict[str, tuple[tuple[str, str], ...]] = {
@@ -28,7 +29,7 @@ PACKS: dict[str, tuple[tuple[str, str], ...]] = {
 }
 
 
-def got(text: str, pattern: str, group: int = 1) -> Column:
+def got(text: Column | str, pattern: str, group: int = 1) -> Column:
     """The group where the pattern matches, else null."""
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
@@ -43,43 +44,23 @@ def lines(sources: DataFrame) -> DataFrame:
     return sources.select(*rest, F.posexplode(F.split("text", "\n")).alias("line", "text"))
 
 
-def nested(rows: DataFrame) -> DataFrame:
-    """lines with code (without strings and comments), opens and closes, depth (at the line's start), deepest (of the file), and ends: braces of earlier lines that the line closes."""
-    code = F.regexp_replace(F.regexp_replace("text", r"'[^']*'|\"[^\"]*\"", "''"), r"(^|\s)#.*$", "")
-    count = lambda c: F.length("code") - F.length(F.replace("code", F.lit(c)))
-    before = Window.partitionBy("file_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("code", code).withColumn("opens", count("{")).withColumn("closes", count("}"))
-    rows = rows.withColumn("depth", F.coalesce(F.sum(F.col("opens") - F.col("closes")).over(before), F.lit(0)))
-    open_ended = F.col("code")
-    for _ in range(3):
-        open_ended = F.regexp_replace(open_ended, r"\{[^{}]*\}", "")
-    rows = rows.withColumn("ends", F.length(open_ended) - F.length(F.replace(open_ended, F.lit("}"))))
-    return rows.withColumn("deepest", F.max(F.col("depth") + F.col("opens")).over(Window.partitionBy("file_id")))
-
-
 def too_deep(rows: DataFrame, limit: int = MAX_DEPTH) -> DataFrame:
-    """One finding for each file (of nested lines) that is not analysed."""
+    """One finding for each file (of statements) that is not analysed."""
     files = rows.groupBy("file_id").agg(F.max("deepest").alias("depth")).where(F.col("depth") > limit)
     return files.select("file_id", F.lit("not-analysed").alias("rule"), F.lit("info").alias("severity"), "depth")
 
 
 def scoped(rows: DataFrame, limit: int = MAX_DEPTH) -> DataFrame:
-    """Nested lines of files that are analysed, with package, sub (null outside), sub_line and data (behind the end mark)."""
-    w = Window.partitionBy("file_id").orderBy("line")
-    last = lambda c: F.last(c, ignorenulls=True).over(w)
-    name = got("text", r"^\s*sub\s+(\w+)")
-    rows = rows.where(F.col("deepest") <= limit)
-    rows = rows.withColumn("data", F.coalesce(F.max(F.col("text").rlike("^__(END|DATA)__$")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
-    rows = rows.withColumn("package", F.coalesce(last(got("text", r"^\s*package\s+([\w:]+)")), F.lit("main")))
-    rows = rows.withColumn("_sub", last(F.when(name.isNotNull(), F.struct(name.alias("name"), F.col("line"), F.col("depth")))))
-    inside = (F.col("line") == F.col("_sub.line")) | (F.col("depth") > F.col("_sub.depth"))
-    return rows.withColumn("sub", F.when(inside, F.col("_sub.name"))).withColumn("sub_line", F.when(inside, F.col("_sub.line"))).drop("_sub")
+    """Statements of files that are analysed."""
+    return rows.where(F.col("deepest") <= limit)
 
 
 def events(rows: DataFrame, lang: str | Column) -> DataFrame:
     """file_id, line, capture, name: what the pack of the language finds, one row for each match."""
+    over = "code" if "code" in rows.columns else "text"  # of statements, what stands in strings is no event
+
     def of(capture: str, pattern: str) -> Column:
-        return F.transform(every("text", pattern), lambda x: F.struct(F.lit(capture).alias("capture"), x.alias("name")))
+        return F.transform(every(over, pattern), lambda x: F.struct(F.lit(capture).alias("capture"), x.alias("name")))
 
     def found(pack: tuple[tuple[str, str], ...]) -> Column:
         return F.flatten(F.array(*[of(*p) for p in pack]))
@@ -94,82 +75,119 @@ def events(rows: DataFrame, lang: str | Column) -> DataFrame:
 
 
 def live(rows: DataFrame) -> DataFrame:
-    return rows.where(~F.col("data"))
+    """Code before the end mark, without comments and documentation."""
+    return rows.where("kind = 'code'")
+
+
+def quoted(text: Column | str) -> Column:
+    """The strings of a normal form that hold words and signs of names only, leaving out what stands in braces."""
+    plain = F.regexp_replace(text, r"\{[^{}]*\}", "")
+    return every(plain, r"'([\w:&$@%*-]+)'")
+
+
+#: Head of a named sub, with its name; the signature is the second group.
+SUB = r"^(?:sub|method)\s+((?:\w+::)*\w+)\s*(?:\(([^)]*)\))?"
+#: A list of variables, each with a default perhaps.
+_SIGNED = r"([$@%]\w+)\s*(?:(?://|\|\|)?=\s*[^,]*)?(?:,|$)"
 
 
 def parameters(rows: DataFrame) -> DataFrame:
-    """file_id, package, sub, params: of every sub that unpacks its arguments into a list."""
-    inner = got("text", r"^\s*(?:sub\s+\w+\s*\{)?\s*my\s*\(([^)]*)\)\s*=\s*@_")
-    return live(rows).where(inner.isNotNull()).select("file_id", "package", "sub", F.split(inner, r"\s*,\s*").alias("params"))
+    """file_id, package, sub, params: of every sub that unpacks its arguments into a list, or has a signature."""
+    inner = got("norm", r"^my\s*\(([^)]*)\)\s*=\s*@_")
+    unpacked = F.when(inner.isNotNull(), F.split(inner, r"\s*,\s*"))
+    signed = every(F.regexp_extract("norm", SUB, 2), _SIGNED)
+    found = F.coalesce(unpacked, F.when(F.size(signed) > 0, signed))
+    return live(rows).select("file_id", "package", "sub", found.alias("params")).where("params is not null and sub is not null")
 
 
 def declarations(rows: DataFrame) -> DataFrame:
-    """file_id, line, kind, name, package, sub: packages, subs, variables, loop variables and parameters."""
-    def of(kind: str, pattern: str) -> Column:
-        return F.transform(every("text", pattern), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
+    """file_id, line, kind, name, package, sub: packages, subs, globs that are assigned, variables, loop variables and parameters."""
+    def of(kind: str, text: str, pattern: str) -> Column:
+        return F.transform(every(text, pattern), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
 
-    listed = F.flatten(F.transform(every("text", r"\bmy\s*\(([^)]*)\)"), lambda x: F.split(x, r"\s*,\s*")))
-    kinds = [of("package", r"^\s*package\s+([\w:]+)"), of("sub", r"^\s*sub\s+(\w+)"), of("variable", r"\b(?:my|our)\s+([$@%]\w+)"), of("loop", r"\bfor(?:each)?\s+my\s+(\$\w+)")]
-    kinds.append(F.transform(listed, lambda x: F.struct(F.lit("parameter").alias("kind"), x.alias("name"))))
+    listed = F.concat(F.flatten(F.transform(every("code", r"\bmy\s*\(([^)]*)\)"), lambda x: F.split(x, r"\s*,\s*"))), every(F.regexp_extract("norm", SUB, 2), _SIGNED))
+    kinds = [of("package", "norm", r"^(?:package|class|role)\s+([\w:]+)"), of("sub", "norm", r"^(?:sub|method)\s+(?:\w+::)*(\w+)"), of("glob", "norm", r"^\*((?:\w+::)*\w+)\s*="), of("variable", "code", r"\b(?:my|our|state)\s+([$@%]\w+)"), of("loop", "code", r"\bfor(?:each)?\s+my\s+(\$\w+)")]
+    kinds.append(F.transform(F.filter(listed, lambda x: x != "undef"), lambda x: F.struct(F.lit("parameter").alias("kind"), x.alias("name"))))
     return live(rows).select("file_id", "line", F.explode(F.flatten(F.array(*kinds))).alias("x"), "package", "sub").select("file_id", "line", "x.kind", "x.name", "package", "sub")
 
 
 def calls(rows: DataFrame) -> DataFrame:
-    """file_id, line, kind (function, qualified, method), receiver, name, package, sub."""
+    """file_id, line, kind (function, qualified, method), receiver, name, package, sub; __PACKAGE__ is the package itself."""
     struct = lambda kind, receiver, name: F.struct(F.lit(kind).alias("kind"), receiver.alias("receiver"), name.alias("name"))
     none = F.lit(None).cast("string")
-    plain = F.transform(F.filter(every("code", r"(?<![\w$>:&{])([a-z_]\w*)\("), lambda x: ~x.isin(*NOT_CALLS)), lambda x: struct("function", none, x))
-    full = F.transform(every("code", r"(?<![\w$>&])((?:\w+::)+\w+)\("), lambda x: struct("qualified", F.regexp_extract(x, r"^(.*)::\w+$", 1), F.regexp_extract(x, r"::(\w+)$", 1)))
-    sends = F.transform(every("code", r"((?:\$\w+|\w+(?:::\w+)+)->\w+)"), lambda x: struct("method", F.split_part(x, F.lit("->"), F.lit(1)), F.split_part(x, F.lit("->"), F.lit(2))))
+    code = F.regexp_replace("code", r"^(?:use|no)\s+[\w:]+|^(?:sub|method)\s+[\w:]+\s*(?:\([^)]*\))?", "")
+    plain = F.transform(F.filter(every(code, r"(?<![\w$@%>:&])([A-Za-z_]\w*)\s?\("), lambda x: ~x.isin(*NOT_CALLS)), lambda x: struct("function", none, x))
+    full = F.transform(every(code, r"(?<![\w$@%>&:])((?:\w+::)+\w+)\("), lambda x: struct("qualified", F.regexp_extract(x, r"^(.*)::\w+$", 1), F.regexp_extract(x, r"::(\w+)$", 1)))
+    receiver = lambda x: F.when(F.split_part(x, F.lit("->"), F.lit(1)) == "__PACKAGE__", F.col("package")).otherwise(F.split_part(x, F.lit("->"), F.lit(1)))
+    sends = F.transform(every(code, r"((?:\$\w+|(?<![\w$@%>:&}\])-])[A-Za-z_]\w*(?:::\w+)*)->\w+)"), lambda x: struct("method", receiver(x), F.split_part(x, F.lit("->"), F.lit(2))))
     return live(rows).select("file_id", "line", F.explode(F.concat(plain, full, sends)).alias("x"), "package", "sub").select("file_id", "line", "x.*", "package", "sub")
 
 
+#: Statements that name parents: pragmas, words of object systems, assignments to the list itself.
+PARENTS = r"^(?:use\s+(?:parent|base|Mojo::Base)\b|(?:extends|with)\b|(?:(?:our|local)\s+)?@(?:\w+::)*ISA\s*=|push\s*\(?\s*@(?:\w+::)*ISA\b)"
+
+
 def uses(rows: DataFrame) -> DataFrame:
     """file_id, line, kind (import, constant, parent, root, assignment), name, value, package."""
     struct = lambda kind, name, value: F.struct(F.lit(kind).alias("kind"), name.alias("name"), value.alias("value"))
-    none = F.lit(None).cast("string")
-    module = got("text", r"^\s*use\s+([A-Z][\w:]*)")
-    names = F.split(F.regexp_extract("text", r"^\s*use\s+[\w:]+\s+qw\(([^)]*)\)", 1), r"\s+")
-    imports = F.transform(names, lambda x: struct("import", module, F.nullif(x, F.lit(""))))
-    parents = F.transform(every(F.regexp_extract("text", r"^\s*(?:use\s+(?:parent|base)\b(.*))$|^\s*(?:extends|with)\b", 1), r"'([\w:]+)'"), lambda x: struct("parent", x, none))
-    constant = F.array(struct("constant", got("text", r"^\s*use\s+constant\s+(\w+)\s*=>"), got("text", r"=>\s*(.*?);\s*$")))
-    root = F.array(struct("root", got("text", r"^\s*use\s+lib\s+'([^']+)'"), none))
-    assigned = F.array(struct("assignment", got("text", r"^\s*(?:(?:my|our)\s+)?([$@%]\w+)\s*=[^=~]"), got("text", r"^\s*(?:(?:my|our)\s+)?[$@%]\w+\s*=\s*(.*?);\s*$")))
-    found = F.concat(F.when(module.isNotNull(), imports).otherwise(F.array().cast("array<struct<kind:string,name:string,value:string>>")), parents, constant, root, assigned)
+    none, nothing = F.lit(None).cast("string"), F.array().cast("array<struct<kind:string,name:string,value:string>>")
+    module = got("norm", r"^use\s+([A-Z][\w:]*)")
+    names = every(F.regexp_extract("norm", r"^use\s+[\w:]+\s+(?:[\d.]+\s+)?(.*)$", 1), r"'([^']*)'")
+    imports = F.transform(F.when(F.size(names) > 0, names).otherwise(F.array(none)), lambda x: struct("import", module, F.nullif(x, F.lit(""))))
+    parents = F.transform(F.filter(quoted("norm"), lambda x: ~x.startswith("-")), lambda x: struct("parent", x, none))
+    isa = F.array(struct("parent", got("norm", r"^class\s+[\w:]+.*?:\s*isa\(\s*([\w:]+)"), none))
+    constant = F.array(struct("constant", got("norm", r"^use\s+constant\s+(\w+)\s*=>"), got("text", r"=>\s*(.*?);\s*$")))
+    pairs = every(F.regexp_extract("norm", r"^use\s+constant\s+\{(.*)\}", 1), r"(\w+\s*=>\s*(?:\[[^\]]*\]|'[^']*'|[^,\[\]]*))")
+    constants = F.transform(pairs, lambda x: struct("constant", F.regexp_extract(x, r"^(\w+)", 1), F.trim(F.regexp_extract(x, r"=>\s*(.*)$", 1))))
+    roots = F.transform(F.when(F.col("norm").rlike(r"^use\s+lib\b"), every("norm", r"'([^']+)'")), lambda x: struct("root", x, none))
+    assigned = F.array(struct("assignment", got("text", r"^\s*(?:(?:my|our|local|state)\s+)?([$@%]\w+)\s*=[^=~]"), got("text", r"^\s*(?:(?:my|our|local|state)\s+)?[$@%]\w+\s*=\s*(.*?);?\s*$")))
+    found = F.concat(F.when(module.isNotNull(), imports).otherwise(nothing), F.when(F.col("norm").rlike(PARENTS), parents).otherwise(nothing), isa, constant, constants, F.coalesce(roots, nothing), assigned)
     return live(rows).select("file_id", "line", F.explode(found).alias("x"), "package").select("file_id", "line", "x.*", "package").where("name is not null")
 
 
 def accessors(rows: DataFrame) -> DataFrame:
-    """file_id, line, package, name, role (getter, accessor, predicate, clearer), type: methods that a has declaration makes."""
-    name = got("text", r"^\s*has\s+'?(\w+)'?\s*=>")
-    own = F.struct(F.col("attribute").alias("name"), F.when(F.col("text").rlike(r"\bis\s*=>\s*'rw'"), "accessor").otherwise("getter").alias("role"), got("text", r"\bisa\s*=>\s*'([^']+)'").alias("type"))
+    """file_id, line, package, name, role (getter, accessor, writer, predicate, clearer), type: methods that a has declaration makes.
+
+    One declaration may name several attributes, in any quoting. Without options it is an accessor; ``bare`` makes none, and
+    ``rwp`` a getter with a private writer.
+    """
+    head = got("norm", r"^has\s*\(?\s*(\[[^\]]*\]|'[^']*'|\w+)")
+    names = F.when(head.rlike(r"^\w+$"), F.array(head)).otherwise(every(head, r"'\+?(\w+)'"))
+    generated = F.when(F.col("norm").rlike(r"->mk_(?:ro_)?accessors\("), quoted("norm"))
+    kind = got("norm", r"\bis\s*=>\s*'(\w+)'")
+    said = got("norm", r"\bisa\s*=>\s*('(?:[^'\\]|\\.)+'|\"[^\"]+\"|\w+(?:\[[^\]]*\])?)")
+    type_ = F.coalesce(got(said, r"InstanceOf\[\\?'([\w:]+)"), F.regexp_replace(said, r"^['\"]|['\"]$", ""))
+    role = F.when(kind == "rw", "accessor").when(kind.isNotNull() | F.col("norm").rlike("->mk_ro_"), "getter").when(F.col("norm").rlike(r"=>\s*\("), "getter").otherwise("accessor")
+    none = F.lit(None).cast("string")
+    made = lambda name, role, kind: F.struct(name.alias("name"), role.alias("role"), kind.alias("type"))
+
     def more(word: str, prefix: str) -> Column:
-        given = got("text", word + r"\s*=>\s*'(\w+)'")
-        made = F.when(F.col("text").rlike(word + r"\s*=>\s*1\b"), F.concat(F.lit(prefix), "attribute")).otherwise(given)
-        return F.struct(made.alias("name"), F.lit(word).alias("role"), F.lit(None).cast("string").alias("type"))
+        given = got("norm", r"\b" + word + r"\s*=>\s*'(\w+)'")
+        return made(F.when(F.col("norm").rlike(r"\b" + word + r"\s*=>\s*1\b"), F.concat(F.lit(prefix), "attribute")).otherwise(given), F.lit(word), none)
 
-    found = live(rows).withColumn("attribute", name).where("attribute is not null")
-    each = F.explode(F.array(own, more("predicate", "has_"), more("clearer", "clear_"))).alias("x")
+    found = live(rows).withColumn("attribute", F.explode(F.coalesce(generated, names))).withColumn("made_as", kind)
+    own = F.when(F.coalesce(kind, F.lit("")) != "bare", made(F.col("attribute"), role, type_))
+    writer = F.when(kind == "rwp", made(F.concat(F.lit("_set_"), "attribute"), F.lit("writer"), none))
+    each = F.explode(F.array(own, writer, more("predicate", "has_"), more("clearer", "clear_"))).alias("x")
     return found.select("file_id", "line", "package", each).select("file_id", "line", "package", "x.*").where("name is not null")
 
 
 def exports(rows: DataFrame) -> DataFrame:
     """file_id, package, tag (null for the lists themselves), name, always: the export table of a package."""
-    words = lambda x: F.filter(F.split(F.trim(x), r"\s+"), lambda w: w != "")
-    plain = got("text", r"@EXPORT(?:_OK)?\s*(?:=|,)\s*qw\(([^)]*)\)")
-    listed = F.transform(words(F.coalesce(plain, F.lit(""))), lambda x: F.struct(F.lit(None).cast("string").alias("tag"), x.alias("name")))
-    tags = every(F.regexp_extract("text", r"%EXPORT_TAGS\s*=\s*\((.*)\)\s*;", 1), r"(\w+\s*=>\s*\[\s*qw\([^)]*\))")
-    tagged = F.flatten(F.transform(tags, lambda t: F.transform(words(F.regexp_extract(t, r"qw\(([^)]*)\)", 1)), lambda x: F.struct(F.regexp_extract(t, r"^(\w+)", 1).alias("tag"), x.alias("name")))))
-    always = F.col("text").rlike(r"@EXPORT\s*(=|,)")
-    return live(rows).select("file_id", "package", F.explode(F.concat(listed, tagged)).alias("x"), always.alias("always")).select("file_id", "package", "x.tag", "x.name", "always").distinct()
+    listed = F.transform(F.when(F.col("norm").rlike(r"@(?:\w+::)*EXPORT(?:_OK)?\s*(?:=|,)"), quoted("norm")), lambda x: F.struct(F.lit(None).cast("string").alias("tag"), x.alias("name")))
+    tags = every(F.regexp_extract("norm", r"%(?:\w+::)*EXPORT_TAGS\s*=\s*\((.*)\)", 1), r"(\w+'?\s*=>\s*\[[^\]]*\])")
+    tagged = F.flatten(F.transform(tags, lambda t: F.transform(every(F.regexp_extract(t, r"=>\s*(.*)$", 1), r"'([^']+)'"), lambda x: F.struct(F.regexp_extract(t, r"^(\w+)", 1).alias("tag"), x.alias("name")))))
+    always = F.col("norm").rlike(r"@(?:\w+::)*EXPORT\s*(=|,)")
+    nothing = F.array().cast("array<struct<tag:string,name:string>>")
+    return live(rows).select("file_id", "package", F.explode(F.concat(F.coalesce(listed, nothing), tagged)).alias("x"), always.alias("always")).select("file_id", "package", "x.tag", "x.name", "always").distinct()
 
 
 def flows(rows: DataFrame) -> DataFrame:
     """file_id, sub, line, kind (assign, argument, return), src, dst: values that flow from variable to variable, call or result."""
     struct = lambda kind, src, dst: F.struct(F.lit(kind).alias("kind"), src.alias("src"), dst.alias("dst"))
-    assign = F.array(struct("assign", got("text", r"^\s*(?:my\s+)?\$\w+\s*=\s*(\$\w+)\s*;"), got("text", r"^\s*(?:my\s+)?(\$\w+)\s*=\s*\$\w+\s*;")))
-    args = F.transform(every(F.regexp_extract("text", r"(?<![\w$&:])(?!(?:if|unless|while|my|return|qw|for|foreach)\b)\w+\(([^()]*)\)", 1), r"(\$\w+)(?=\s*(?:,|$))"), lambda x: struct("argument", x, got("text", r"((?:\$\w+->)?\w+)\([^()]*\)\s*;")))
-    back = F.array(struct("return", got("text", r"^\s*return\s+(\$\w+)\s*;"), F.col("sub")))
+    assign = F.array(struct("assign", got("norm", r"^(?:my\s+)?\$\w+\s*=\s*(\$\w+)\s*;"), got("norm", r"^(?:my\s+)?(\$\w+)\s*=\s*\$\w+\s*;")))
+    args = F.transform(every(F.regexp_extract("norm", r"(?<![\w$&:])(?!(?:if|unless|while|my|return|qw|for|foreach)\b)\w+\(([^()]*)\)", 1), r"(\$\w+)(?=\s*(?:,|$))"), lambda x: struct("argument", x, got("norm", r"((?:\$\w+->)?\w+)\([^()]*\)\s*;")))
+    back = F.array(struct("return", got("norm", r"^return\s+(\$\w+)\s*;?$"), F.col("sub")))
     return live(rows).where("sub is not null").select("file_id", "sub", "line", F.explode(F.concat(assign, args, back)).alias("x")).select("file_id", "sub", "line", "x.*").where("src is not null and dst is not null")
 
 
@@ -185,17 +203,18 @@ def narrowings(rows: DataFrame) -> DataFrame:
     """
     own = live(rows).where("sub is not null")
     named = F.create_map(*[F.lit(x) for p in REPRESENTATIONS.items() for x in p])
-    block = lambda p, g: got("text", r"^\s*(?:if|elsif|while)\s*\(.*?" + p, g)
-    exits = r"^\s*(?:return|die|next|last)\b.*\b"
+    block = lambda p, g: got("norm", r"^(?:if|elsif|while)\s*\(.*?" + p, g)
+    exits = r"^(?:return|die|croak|confess|next|last)\b.*\b"
     found = F.array(
         F.struct(block(r"\bref\s*\(?(\$\w+)\)?\s+eq\s+'(\w+)'", 1).alias("var"), F.try_element_at(named, block(r"\bref\s*\(?(\$\w+)\)?\s+eq\s+'(\w+)'", 2)).alias("type"), F.lit(True).alias("block")),
         F.struct(block(r"(\$\w+)->isa\('([\w:]+)'\)", 1).alias("var"), block(r"(\$\w+)->isa\('([\w:]+)'\)", 2).alias("type"), F.lit(True).alias("block")),
         F.struct(block(r"(?<!!)\bdefined\s*\(?(\$\w+)", 1).alias("var"), F.lit("Defined").alias("type"), F.lit(True).alias("block")),
-        F.struct(got("text", exits + r"unless\s+defined\s*\(?(\$\w+)").alias("var"), F.lit("Defined").alias("type"), F.lit(False).alias("block")),
-        F.struct(got("text", exits + r"unless\s+(\$\w+)->isa\('([\w:]+)'\)").alias("var"), got("text", exits + r"unless\s+(\$\w+)->isa\('([\w:]+)'\)", 2).alias("type"), F.lit(False).alias("block")),
+        F.struct(got("norm", exits + r"unless\s+defined\s*\(?(\$\w+)").alias("var"), F.lit("Defined").alias("type"), F.lit(False).alias("block")),
+        F.struct(got("norm", exits + r"unless\s+ref\s*\(?(\$\w+)\)?\s+eq\s+'(\w+)'").alias("var"), F.try_element_at(named, got("norm", exits + r"unless\s+ref\s*\(?(\$\w+)\)?\s+eq\s+'(\w+)'", 2)).alias("type"), F.lit(False).alias("block")),
+        F.struct(got("norm", exits + r"unless\s+(\$\w+)->isa\('([\w:]+)'\)").alias("var"), got("norm", exits + r"unless\s+(\$\w+)->isa\('([\w:]+)'\)", 2).alias("type"), F.lit(False).alias("block")),
     )
     guards = own.select("file_id", "sub", "sub_line", F.col("line").alias("at"), F.col("depth").alias("at_depth"), F.explode(found).alias("g")).select("*", "g.*").drop("g").where("var is not null and type is not null")
-    bound = F.transform(every("text", r"(?:^|[({;])\s*(?:my\s+)?(\$\w+)\s*=[^=~]"), lambda x: x)
+    bound = F.transform(every("norm", r"(?:^|[({;])\s*(?:my\s+)?(\$\w+)\s*=[^=~]"), lambda x: x)
     # a guard meets the lines of its own sub only
     later = own.select("file_id", "sub_line", "line", "depth", "ends", bound.alias("bound"))
     met = guards.join(later, ["file_id", "sub_line"]).where("line > at")
@@ -216,10 +235,10 @@ def expression_type(e: Column) -> Column:
 def witnesses(rows: DataFrame) -> DataFrame:
     """file_id, sub, line, attachment (variable or sub), type: from assignments, returns and bless."""
     own = live(rows).where("sub is not null")
-    value = got("text", r"^\s*(?:my\s+)?\$\w+\s*=\s*(.*?);\s*$")
+    value = got("norm", r"^(?:my\s+)?\$\w+\s*=\s*(.*?)\s*;?$")
     kinds = [
-        F.struct(got("text", r"^\s*(?:my\s+)?(\$\w+)\s*=[^=~]").alias("attachment"), expression_type(value).alias("type")),
-        F.struct(F.concat(F.lit("&"), "sub").alias("attachment"), expression_type(got("text", r"\breturn\s+(.*?)(?:\s+(?:if|unless)\b.*)?;")).alias("type")),
+        F.struct(got("norm", r"^(?:my\s+)?(\$\w+)\s*=[^=~]").alias("attachment"), expression_type(value).alias("type")),
+        F.struct(F.concat(F.lit("&"), "sub").alias("attachment"), expression_type(got("norm", r"^return\s+(.*?)(?:\s+(?:if|unless)\b.*)?\s*;?$")).alias("type")),
     ]
     found = own.select("file_id", "sub", "line", F.explode(F.array(*kinds)).alias("x")).select("file_id", "sub", "line", "x.*").where("attachment is not null and type is not null")
     return found.unionByName(blessed(rows).select("file_id", "sub", "line", F.col("var").alias("attachment"), F.col("class").alias("type")))
@@ -227,25 +246,26 @@ def witnesses(rows: DataFrame) -> DataFrame:
 
 def blessed(rows: DataFrame) -> DataFrame:
     """file_id, sub, line, var, class: what bless makes; a class held in a variable is the package's own."""
-    own = live(rows).where(F.col("text").rlike(r"\bbless\b"))
-    named = got("text", r"\bbless\b.*,\s*'([\w:]+)'\s*\)?\s*;")
-    var = F.coalesce(got("text", r"(\$\w+)\s*=\s*bless\b"), got("text", r"\bbless\s*\(?\s*(\$\w+)"))
+    own = live(rows).where(F.col("norm").rlike(r"\bbless\b"))
+    named = got("norm", r"\bbless\b.*,\s*'([\w:]+)'\s*\)?\s*;")
+    var = F.coalesce(got("norm", r"(\$\w+)\s*=\s*bless\b"), got("norm", r"\bbless\s*\(?\s*(\$\w+)"))
     return own.select("file_id", "sub", "line", var.alias("var"), F.coalesce(named, F.col("package")).alias("class")).where("var is not null")
 
 
 def arity_returns(rows: DataFrame) -> DataFrame:
     """file_id, package, sub, arity (null: any other), type: returns told apart by the number of arguments."""
-    test = got("text", r"\(\s*(?:scalar\s*\(?\s*)?@_\)?\s*==\s*(\d+)\s*\)").cast("int")
-    value = got("text", r"\breturn\s+(.*?)(?:\s+(?:if|unless)\b.*)?;")
+    count = r"(?:scalar\s*\(?\s*)?@_\s*\)?\s*==\s*(\d+)"
+    test = F.coalesce(got("norm", r"\bif\s*\(?\s*" + count), got("head", r"^(?:if|elsif)\s*\(\s*" + count + r"\s*\)")).cast("int")
+    value = got("norm", r"^return\s+(.*?)(?:\s+(?:if|unless)\b.*)?\s*;?$")
     return live(rows).where("sub is not null").select("file_id", "package", "sub", test.alias("arity"), expression_type(value).alias("type")).where("type is not null").distinct()
 
 
 def self_keys(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(defined, used): keys that a package's own objects are given, and those that are read, each file_id, line, package, key."""
     own = live(rows)
-    built = F.flatten(F.transform(every("text", r"\bbless\s*\(?\s*\{(.*)\}\s*,"), lambda x: every(x, r"(\w+)\s*=>")))
-    put = every("text", r"\$self->\{(\w+)\}\s*=[^=~]")
-    read = every("text", r"\$self->\{(\w+)\}(?!\s*=[^=~])")
+    built = F.flatten(F.transform(every("norm", r"\bbless\s*\(?\s*\{(.*)\}\s*,"), lambda x: every(x, r"(\w+)\s*=>")))
+    put = every("norm", r"\$self->\{(\w+)\}\s*=[^=~]")
+    read = every("norm", r"\$self->\{(\w+)\}(?!\s*=[^=~])")
     out = lambda keys: own.select("file_id", "line", "package", F.explode(keys).alias("key"))
     return out(F.concat(built, put)), out(read)
 
@@ -275,7 +295,7 @@ def pinned_calls(found: DataFrame, declared: DataFrame, used: DataFrame) -> Data
 
 def chains(rows: DataFrame) -> DataFrame:
     """file_id, sub, line, root (variable or class), steps (methods): chains of method calls."""
-    found = F.explode(every("code", r"((?:\$\w+|[A-Z]\w*(?:::\w+)*)(?:->\w+)+)")).alias("chain")
+    found = F.explode(every("code", r"((?:\$\w+|(?<![\w$@%>:&}\])-])[A-Z]\w*(?:::\w+)*)(?:->\w+)+)")).alias("chain")
     parts = live(rows).where("sub is not null").select("file_id", "sub", "package", "line", found).withColumn("parts", F.split("chain", "->"))
     return parts.select("file_id", "sub", "package", "line", "chain", F.element_at("parts", 1).alias("root"), F.slice("parts", F.lit(2), F.size("parts") - 1).alias("steps"))
 

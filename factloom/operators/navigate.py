@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factloom.functions.extension import argument_slot
@@ -23,7 +21,7 @@ def mentions(rows: DataFrame) -> DataFrame:
 
 def bindings(rows: DataFrame) -> DataFrame:
     """file_id, sub, line, var, chain: variables bound to what a chain of calls returns."""
-    bound, chain = X.got("text", r"^\s*(?:my\s+)?(\$\w+)\s*=[^=~]"), X.got("text", r"=\s*((?:\$\w+|[A-Z]\w*(?:::\w+)*)(?:->\w+)+)\s*;\s*$")
+    bound, chain = X.got("norm", r"^(?:my\s+)?(\$\w+)\s*=[^=~]"), X.got("norm", r"=\s*((?:\$\w+|[A-Z]\w*(?:::\w+)*)(?:->\w+)+)(?:\(\s*\))?\s*;?$")
     return X.live(rows).where("sub is not null").select("file_id", "sub", "line", bound.alias("var"), chain.alias("chain")).where("var is not null and chain is not null")
 
 
@@ -89,7 +87,7 @@ def binding_edges(rows: DataFrame) -> DataFrame:
 def signatures(rows: DataFrame) -> DataFrame:
     """file_id, line, name, label, slot: calls of a package's own methods with the callee's parameters and the last argument's number."""
     method = r"((?:\$self|[A-Z]\w*(?:::\w+)*)->\w+)(?:\(([^;]*)\))?"
-    sent = X.live(rows).where("sub is not null").select("file_id", "line", "package", X.got("text", method).alias("call"), F.regexp_extract("text", method, 2).alias("args")).where("call is not null")
+    sent = X.live(rows).where("sub is not null").select("file_id", "line", "package", X.got("norm", method).alias("call"), F.regexp_extract("norm", method, 2).alias("args")).where("call is not null")
     owner, name = F.split_part("call", F.lit("->"), F.lit(1)), F.split_part("call", F.lit("->"), F.lit(2))
     sent = sent.select("file_id", "line", F.when(owner == "$self", F.col("package")).otherwise(owner).alias("class"), name.alias("name"), argument_slot(F.col("args")).alias("slot"))
     rest = F.filter("params", lambda p: ~p.isin(*INVOCANTS))
@@ -100,7 +98,7 @@ def signatures(rows: DataFrame) -> DataFrame:
 def leading_docs(rows: DataFrame) -> DataFrame:
     """file_id, sub, doc: the comment lines that stand directly above a sub."""
     note = X.got("text", r"^\s*#\s?(.*)$")
-    notes = X.live(rows).where(note.isNotNull()).select("file_id", "line", note.alias("note"))
+    notes = rows.where("kind = 'comment'").where(note.isNotNull()).select("file_id", "line", note.alias("note"))
     w = Window.partitionBy("file_id").orderBy("line")
     island = notes.withColumn("island", F.col("line") - F.row_number().over(w)).groupBy("file_id", "island").agg(F.max("line").alias("last"), F.array_sort(F.collect_list(F.struct("line", "note"))).alias("x"))
     docs = island.select("file_id", (F.col("last") + 1).alias("line"), F.array_join(F.transform("x", lambda r: r["note"]), "\n").alias("doc"))
@@ -109,20 +107,14 @@ def leading_docs(rows: DataFrame) -> DataFrame:
 
 
 def folding_ranges(rows: DataFrame) -> DataFrame:
-    """file_id, start_line, end_line: blocks of several lines. The braces of a level open and close in turn, so that the n-th of both belong together."""
-    own = X.live(rows).withColumn("base", F.col("depth") - F.col("ends")).withColumn("begins", F.col("opens") - F.col("closes") + F.col("ends"))
-    levels = lambda n: F.when(F.col(n) > 0, F.sequence(F.col("base") + 1, F.col("base") + F.col(n)))
-    w = Window.partitionBy("file_id", "level").orderBy("line")
-    side = lambda n, name: own.select("file_id", F.col("line").alias(name), "line", F.explode(levels(n)).alias("level")).withColumn("n", F.row_number().over(w)).drop("line")
-    return side("begins", "start_line").join(side("ends", "end_line"), ["file_id", "level", "n"]).select("file_id", "start_line", "end_line").where("end_line > start_line")
+    """file_id, start_line, end_line: blocks of several lines, from what closes them."""
+    return X.live(rows).where("ends > 0 and line > opened").select("file_id", F.col("opened").alias("start_line"), F.col("line").alias("end_line"))
 
 
 def linked_ranges(rows: DataFrame, name: str) -> DataFrame:
     """file_id, sub, line, col: every place of a variable, spelt as it is, in the subs that name it."""
-    parts = F.split("text", r"(?<!\w)" + re.escape(name) + r"\b", -1)
-    starts = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.aggregate(F.slice(F.col("parts"), F.lit(1), i), F.lit(0), lambda n, p: n + F.length(p)) + (i - 1) * len(name))
-    own = X.live(rows).where(F.col("sub").isNotNull()).withColumn("parts", parts).where(F.size("parts") > 1)
-    return own.select("file_id", "sub", "line", F.explode(starts).alias("col"))
+    own = X.live(rows).where(F.col("sub").isNotNull())
+    return own.select("file_id", "sub", F.explode(F.filter("vars", lambda v: v["name"] == name)).alias("v")).select("file_id", "sub", "v.line", "v.col")
 
 
 def own_keys(rows: DataFrame) -> DataFrame:
@@ -135,7 +127,7 @@ def own_keys(rows: DataFrame) -> DataFrame:
 def handlers(rows: DataFrame) -> DataFrame:
     """package, dispatcher, event: names that are bound by a dispatching method of the package's own object."""
     pattern = r"\$self->(" + "|".join(DISPATCHERS) + r")\(\s*'(\w+)'"
-    return X.live(rows).select("package", X.got("text", pattern).alias("dispatcher"), X.got("text", pattern, 2).alias("event")).where("event is not null").distinct()
+    return X.live(rows).select("package", X.got("norm", pattern).alias("dispatcher"), X.got("norm", pattern, 2).alias("event")).where("event is not null").distinct()
 
 
 def cursor_context(prefix: Column) -> Column:

@@ -13,12 +13,12 @@ from factloom.sources import code
 C = f"c AS (SELECT c_custkey AS k, c_nationkey AS n FROM customer WHERE c_custkey % {code.DEEP_EVERY} <> {code.DEEP_REST}), b AS (SELECT n_nationkey AS n, -1 - n_nationkey::BIGINT AS f FROM nation)"
 
 
-def nested(spark: SparkSession, d: str) -> DataFrame:
-    return X.nested(X.lines(code.programs(spark, d)))
+def statements(spark: SparkSession, d: str) -> DataFrame:
+    return X.statements(code.programs(spark, d))
 
 
 def rows(spark: SparkSession, d: str) -> DataFrame:
-    return X.scoped(nested(spark, d))
+    return X.scoped(statements(spark, d))
 
 
 def sql(*parts: str) -> str:
@@ -28,7 +28,7 @@ def sql(*parts: str) -> str:
 @register("too_deep", f"SELECT c_custkey AS file_id, 'not-analysed' AS rule, 'info' AS severity, {code.NESTING + 1}::BIGINT AS depth FROM customer WHERE c_custkey % {code.DEEP_EVERY} = {code.DEEP_REST}")
 def too_deep(spark: SparkSession, d: str) -> DataFrame:
     """Files nested too deeply give a finding instead of facts."""
-    return X.too_deep(nested(spark, d)).withColumn("depth", F.col("depth").cast("long"))
+    return X.too_deep(statements(spark, d)).withColumn("depth", F.col("depth").cast("long"))
 
 
 #: (line, kind, name, sub) of a customer's program; k and n are columns.

@@ -216,7 +216,7 @@ CHECKED = "(39, 'unresolved-function', 'hint', 'mystery_' || k), (38, 'unresolve
 @register("check_source", sql(f"SELECT k AS file_id, x.* FROM c, LATERAL (VALUES {CHECKED}) AS x(pos, rule, severity, subject)", f"SELECT c_custkey, 0, 'not-analysed', 'info', '{code.NESTING + 1}' FROM customer WHERE c_custkey % {code.DEEP_EVERY} = {code.DEEP_REST}"))
 def check_source(spark: SparkSession, d: str) -> DataFrame:
     """Findings over extracted programs: calls that nothing answers, methods that a known class lacks, files not analysed."""
-    every = cut(X.nested(X.lines(code.programs(spark, d))))
+    every = cut(X.statements(code.programs(spark, d)))
     r = cut(X.scoped(every))
     calls = X.pinned_calls(X.calls(r), X.declarations(r), X.uses(r)).where("pinned is null")
     sends = N.stamped_calls(r).join(N.packages(r).select("class"), "class", "left_semi").where("def_file is null and name not in ('isa', 'can', 'new', 'DOES')")

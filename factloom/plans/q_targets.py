@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from factloom.functions import plugins as P
 from factloom.operators import extract as X, navigate as N, targets as T
 from factloom.operators.graph import closure, cut
+from factloom.operators.statements import normal_forms
 from factloom.plans.q_extract import rows, sql
 from factloom.plans.registry import register
 from factloom.session import shared_folder
@@ -169,7 +170,7 @@ def verb_manifest(spark: SparkSession, d: str) -> DataFrame:
   ('accessors', 'has', 'Method', 'owner'), ('parents', 'parent', 'PackageParent', 'Shop::N' || c_nationkey)) AS x(plugin, pattern, kind, name)
 UNION ALL SELECT 'accessors', -1 - n_nationkey::BIGINT, 'has', 'Method', 'boss' FROM nation""")
 def bundled_plugins(spark: SparkSession, d: str) -> DataFrame:
-    return P.run_all(code.programs(spark, d).select("file_id", "text"))
+    return P.run_all(normal_forms(code.programs(spark, d).select("file_id", "text")))
 
 
 @register("name_keyed_warm_scan", f"WITH {SYMS_SQL} SELECT key AS name, s.file_id, row_number() OVER (PARTITION BY key ORDER BY CASE f.source WHEN 'workspace' THEN 0 ELSE 1 END, s.file_id) = 1 AS wins FROM syms s JOIN files f ON s.file_id = f.file_id")

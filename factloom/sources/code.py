@@ -12,17 +12,22 @@ from factloom.sources.facts import table
 #: Customers whose program is nested too deeply to be analysed: c_custkey % DEEP_EVERY = DEEP_REST.
 DEEP_EVERY, DEEP_REST, NESTING = 50, 7, 100
 
-#: {k}: key of the customer; {n}: its nation; {pragma} and {deep} vary by row.
+#: Spellings of one construct, by row; each takes as many lines as the others.
+SPELLINGS = {
+    "root": ("'lib/n{n}'", '"lib/n{n}"', "qw(lib/n{n})", "q{lib/n{n}}"),
+    "parent": ("use parent -norequire, 'Shop::N{n}';", 'use parent -norequire => "Shop::N{n}";', "use parent qw(-norequire Shop::N{n});", "use parent (q{-norequire}, 'Shop::N{n}');"),
+    "imports": ("use Shop::Util qw(load_{n} save_{n});\nuse constant LIMIT => {k};", "use Shop::Util ('load_{n}',\n  \"save_{n}\"); use constant LIMIT => {k};", "use Shop::Util qw/load_{n}\nsave_{n}/; use constant LIMIT => {k};"),
+    "attributes": ("has 'color_{n}' => (is => 'rw', isa => 'Str');\nhas owner => (is => 'ro', isa => 'Shop::N{n}', predicate => 1);", "has \"color_{n}\" => (is => \"rw\", # shown\n  isa => q(Str)); has 'owner' => (is => 'ro', isa => \"InstanceOf['Shop::N{n}']\", predicate => 1);"),
+}
+#: {k}: key of the customer; {n}: its nation; {pragma}, {deep}, {break} and the spellings vary by row.
 CUSTOMER = """package Shop::C{k};
 use {pragma};
-use lib 'lib/n{n}';
-use parent -norequire, 'Shop::N{n}';
-use Shop::Util qw(load_{n} save_{n});
-use constant LIMIT => {k};
-our @EXPORT_OK = qw(run_{k} stop_{n});
+use lib {root};
+{parent}
+{imports}
+our @EXPORT_OK = qw(run_{k}{break}stop_{n});
 our %EXPORT_TAGS = (all => [qw(run_{k} stop_{n})], ctl => [qw(stop_{n})]);
-has 'color_{n}' => (is => 'rw', isa => 'Str');
-has owner => (is => 'ro', isa => 'Shop::N{n}', predicate => 1);
+{attributes}
 # Makes one.
 # It has a rank of {n}.
 sub new {
@@ -93,8 +98,8 @@ ACCESSES = """void f{k}() {
 """
 
 
-def filled(template: str, **values: Column) -> Column:
-    out = F.lit(template)
+def filled(template: str | Column, **values: Column) -> Column:
+    out = F.lit(template) if isinstance(template, str) else template
     for name, value in values.items():
         out = F.replace(out, F.lit("{" + name + "}"), value.cast("string"))
     return out
@@ -104,7 +109,11 @@ def programs(spark: SparkSession, d: str) -> DataFrame:
     """file_id, path, text of every customer's program, and of every nation's under a negative file_id."""
     k, n = F.col("c_custkey"), F.col("c_nationkey")
     deep = F.when(k % DEEP_EVERY == DEEP_REST, F.lit("{" * NESTING + "}" * NESTING)).otherwise("")
-    text = filled(CUSTOMER, k=k, n=n, pragma=F.when(k % 3 == 0, "AutoLoader").otherwise("strict"), deep=deep)
+    spelt = {name: F.element_at(F.array(*map(F.lit, ways)), (k % len(ways) + 1).cast("int")) for name, ways in SPELLINGS.items()}
+    text = filled(CUSTOMER, **spelt)
+    text = F.replace(text, F.lit("{break}"), F.when(k % 2 == 0, " ").otherwise("\n"))
+    text = F.when(k % 2 == 0, text).otherwise(F.replace(text, F.lit(");\nour %EXPORT_TAGS"), F.lit("); our %EXPORT_TAGS")))
+    text = filled(text, k=k, n=n, pragma=F.when(k % 3 == 0, "AutoLoader").otherwise("strict"), deep=deep)
     own = table(spark, d, "customer").select(k.alias("file_id"), F.concat(F.lit("lib/Shop/C"), k.cast("string"), F.lit(".pm")).alias("path"), text.alias("text"))
     n = F.col("n_nationkey")
     base = table(spark, d, "nation").select((-1 - n).cast("long").alias("file_id"), F.concat(F.lit("lib/Shop/N"), n.cast("string"), F.lit(".pm")).alias("path"), filled(NATION, n=n).alias("text"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import extension, types as T
 from factloom.operators import extract as X, navigate as N, spans as S, store as ST
+from factloom.operators.statements import Reader
 
 PROGRAM = """use Carp;
 package A;
@@ -39,7 +40,7 @@ sub hidden { }
 @pytest.fixture(scope="module")
 def rows(spark):
     sources = spark.createDataFrame([(1, PROGRAM), (2, ""), (3, None), (4, "no code at all")], "file_id long, text string")
-    return X.scoped(X.nested(X.lines(sources))).cache()
+    return X.scoped(X.statements(sources)).cache()
 
 
 def values(df, *columns):
@@ -75,7 +76,7 @@ def test_bless_and_returns(rows):
 def test_chains_of_several_steps(spark):
     text = "package P{i};\nhas next => (is => 'ro', isa => 'P{j}');\nsub run {\n    my ($self) = @_;\n    my $far = $self->next->next->next;\n    $far->next;\n    $self->none->next;\n}\n"
     sources = spark.createDataFrame([(i, text.replace("{i}", str(i)).replace("{j}", str(i + 1))) for i in range(6)], "file_id long, text string")
-    r = X.scoped(X.nested(X.lines(sources)))
+    r = X.scoped(X.statements(sources))
     got = {(x.file_id, x.line): x.type for x in N.typed_chains(r).collect()}
     assert all(got[i, 4] == (f"P{i + 3}" if i < 4 else None) and got[i, 6] is None for i in range(6))
     assert {(x.file_id, x.type) for x in N.type_at(r).where("line = 5").collect()} == {(i, f"P{i + 3}") for i in range(4)}
@@ -83,7 +84,7 @@ def test_chains_of_several_steps(spark):
 
 def test_too_deep(spark):
     sources = spark.createDataFrame([(1, "sub a {\n" + "{" * 40 + "}" * 40 + "\n}\n"), (2, "sub b {\n}\n")], "file_id long, text string")
-    nested = X.nested(X.lines(sources))
+    nested = X.statements(sources)
     assert [tuple(r) for r in X.too_deep(nested, 20).select("file_id", "depth").collect()] == [(1, 41)]
     assert values(X.declarations(X.scoped(nested, 20)), "name") == [("b",)]
 
@@ -113,3 +114,100 @@ def test_generations(spark, tmp_path):
     ST.publish(spark.range(3).toDF("id"), path, 1)
     ST.write_generation(spark.range(9).toDF("id"), path, 2)
     assert ST.current(spark, path) == 1 and ST.published(spark, path).count() == 3
+
+
+SPELLINGS = '''package My::Thing;
+use parent qw(Foo
+    Bar);
+use base "Old";
+extends 'Base';
+with 'RoleX', "RoleY" => { -alias => { a => 'b' } };
+push @ISA, 'Late';
+our @EXPORT_OK = qw(
+    one two
+);
+our %EXPORT_TAGS = (
+    all => [qw(one two)],
+    'some' => ["one"],
+);
+has "size" => (
+    is => "rw",
+    isa => 'Int',    # a comment, with (signs
+    predicate => 'has_size',
+);
+has [qw(a b)] => (is => 'ro');
+has secret => (is => 'bare');
+has state => (is => 'rwp', clearer => 1);
+__PACKAGE__->mk_accessors(qw(left right));
+
+=head1 DOC
+
+sub in_pod { }
+
+=cut
+
+use constant { ONE => 1, LIST => [1, 2] };
+sub g($x, $y = {}, @rest) {
+    Bar->baz(1);
+    My::Other->make(s => 1)->run;
+    $x
+        ->first
+        ->second;
+    helper ($x); __PACKAGE__->own;
+    if ($x) { if ($y) { if (@rest) { if (1) { deep(1) } } } }
+    return $x{s}{y} =~ m{a{2}} ? "}" : q(});
+}
+*alias = \\&g;
+my $text = <<"EOT" . <<~'END';
+sub in_heredoc { $x }
+EOT
+    sub in_other { }
+    END
+package Block { sub inner { my $self = shift; return $self } }
+sub after { AUTOLOAD_not(1) }
+'''
+
+
+@pytest.fixture(scope="module")
+def spelt(spark):
+    return X.scoped(X.statements(spark.createDataFrame([(1, SPELLINGS)], "file_id long, text string"))).cache()
+
+
+def test_parents_in_any_spelling(spelt):
+    assert values(X.inherits(spelt), "src", "dst") == [("My::Thing", x) for x in ("Bar", "Base", "Foo", "Late", "Old", "RoleX", "RoleY")]
+
+
+def test_exports_over_lines(spelt):
+    assert values(X.exports(spelt), "tag", "name") == sorted([(None, "one"), (None, "two"), ("all", "one"), ("all", "two"), ("some", "one")], key=str)
+
+
+def test_accessors_in_any_spelling(spelt):
+    got = values(X.accessors(spelt), "line", "name", "role", "type")
+    assert got == sorted([(14, "size", "accessor", "Int"), (14, "has_size", "predicate", None), (19, "a", "getter", None), (19, "b", "getter", None), (21, "state", "getter", None), (21, "_set_state", "writer", None), (21, "clear_state", "clearer", None), (22, "left", "accessor", None), (22, "right", "accessor", None)], key=str)
+
+
+def test_calls_and_receivers(spelt):
+    got = values(X.calls(spelt), "line", "kind", "receiver", "name")
+    assert got == sorted([(22, "method", "My::Thing", "mk_accessors"), (32, "method", "Bar", "baz"), (33, "method", "My::Other", "make"), (34, "method", "$x", "first"), (37, "function", None, "helper"), (37, "method", "My::Thing", "own"), (38, "function", None, "deep"), (48, "function", None, "AUTOLOAD_not")], key=str)
+    assert values(X.chains(spelt), "line", "chain") == [(32, "Bar->baz"), (33, "My::Other->make"), (34, "$x->first->second")]
+
+
+def test_declarations_leave_out_documentation_and_text(spelt):
+    got = values(X.declarations(spelt).where("kind in ('sub', 'glob', 'package', 'parameter')"), "kind", "name", "package", "sub")
+    assert got == sorted(
+        [("package", "My::Thing", "My::Thing", None), ("sub", "g", "My::Thing", "g"), ("parameter", "$x", "My::Thing", "g"), ("parameter", "$y", "My::Thing", "g"), ("parameter", "@rest", "My::Thing", "g"),
+         ("glob", "alias", "My::Thing", None), ("package", "Block", "Block", None), ("sub", "inner", "Block", "inner"), ("sub", "after", "My::Thing", "after")], key=str
+    )
+    assert values(X.parameters(spelt), "sub", "params") == [("g", ["$x", "$y", "@rest"])]
+    assert values(X.uses(spelt).where("kind = 'constant'"), "name", "value") == [("LIST", "[1, 2]"), ("ONE", "1")]
+
+
+def test_nested_blocks_of_one_line(spelt):
+    deep = spelt.where("line = 38").orderBy("at").collect()
+    assert [(r.norm, r.depth, r.ends) for r in deep] == [("if ($x) {", 1, 0), ("if ($y) {", 2, 0), ("if (@rest) {", 3, 0), ("if (1) {", 4, 0), ("deep(1)", 5, 0), ("}", 5, 1), ("}", 4, 1), ("}", 3, 1), ("}", 2, 1)]
+
+
+@pytest.mark.parametrize("text", ["", "}", ")]}", "sub {", "'never", "s/a", "qw(", "=pod\n", "<<EOT\nx", "{" * 30, "$", "@", "__END__", "a ? b : c", "x" * 5000, "\x00\xff", "L: for (;;) { next L }"])
+def test_any_text_is_read(text):
+    rows = Reader(text).read()
+    assert [r["at"] for r in rows] == list(range(len(rows))) and all(r["line"] <= r["end_line"] for r in rows)
