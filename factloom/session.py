@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -12,7 +13,7 @@ def shared_folder(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):  # local-cluster has several machines' folders
         raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     return tempfile.mkdtemp(prefix="factloom-")
 
