@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(path)
         return path
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local"):
+        if not re.match(r"local(\[|$)", sc.master):  # local-cluster has several machines' folders
             raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
     return sc._jsc.sc().getCheckpointDir().get()

@@ -1,7 +1,8 @@
 """License scans: phrases by place, and an exact set-similarity join of text blocks with license templates.
 
-DataFrame functions only. Blocks are runs of BLOCK words of the whole text, every half block; lines don't bound them. A
-template is met by a block that holds at least the threshold's share of the template's distinct tokens. Tokens are ordered
+DataFrame functions only. Blocks are runs of BLOCK words of the whole text, every half block; lines don't bound them.
+Templates of more than half a block have blocks of their own, twice, four times ... as long, so that a run of words as long
+as a template always lies whole in one of its blocks, wherever it begins. A template is met by a block that holds at least the threshold's share of the template's distinct tokens. Tokens are ordered
 globally, rarest first, by the number of documents that hold them; then each template is indexed by its prefix (the
 shortest run of rarest tokens of which a match must hold one), texts that hold no prefix token and blocks that share none or
 hold too few template tokens never reach the join, and the position of the first common token bounds the overlap before it
@@ -9,6 +10,8 @@ is counted. None of these filters loses a match.
 
 Defined results: null text is empty and has no words; ASCII letters are lower-cased; overlapping places all count; a block
 that meets several templates has all their labels. Repeated rows each get a row; a null doc_id is a row like any other.
+Very long texts have as many blocks as they need. Other columns are ignored, whatever their names; an empty table gives no
+rows, and an empty list of templates, or a template without words, no matches.
 """
 
 from __future__ import annotations
@@ -87,12 +90,33 @@ def _ranked_templates(docs: DataFrame, templates: tuple[tuple[str, str], ...]) -
     return order, {w: i for i, w in enumerate(order)}
 
 
+def block_length(template: str) -> int:
+    """Words of the blocks that a template is held against: BLOCK, doubled until half a block holds the template."""
+    n = len(template.split())
+    return BLOCK << max(0, math.ceil(math.log2(max(2 * n, 1) / BLOCK)))
+
+
 def template_matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_key, start (the block's first word), label and containment of every block that meets a template; docs has doc_key and text."""
+    """doc_key, start (the block's first word), template, label and containment of every block that meets a template; docs has doc_key and text."""
+    by_length: dict[int, list[tuple[int, str, str]]] = {}
+    for k, (text, label) in enumerate(templates):
+        if text.split():
+            by_length.setdefault(block_length(text), []).append((k, text, label))
+    if not by_length:
+        return docs.where(F.lit(False)).select("doc_key", F.lit(0).alias("start"), F.lit(0).alias("template"), F.lit("").alias("label"), F.lit(0.0).alias("containment"))
+    out = None
+    for block, some in sorted(by_length.items()):
+        found = _matches(docs, some, threshold, block)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _matches(docs: DataFrame, templates: list[tuple[int, str, str]], threshold: float, block: int) -> DataFrame:
+    """The matches of templates (number, text, label) in blocks of one length."""
     spark = docs.sparkSession
-    order, rank = _ranked_templates(docs.select(words_of(F.col("text")).alias("joined")), templates)
+    order, rank = _ranked_templates(docs.select(words_of(F.col("text")).alias("joined")), tuple((t, label) for _, t, label in templates))
     rows = []
-    for k, (text, label) in enumerate(templates):
+    for k, text, label in templates:
         ranks = sorted({rank[w] for w in text.split()})
         need = math.ceil(threshold * len(ranks) - 1e-9)
         rows += [(k, label, ranks, len(ranks), need, r, i) for i, r in enumerate(ranks[: len(ranks) - need + 1])]
@@ -105,8 +129,8 @@ def template_matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = T
     some = "(?:^| )(?:" + "|".join(order[r] for r in prefix) + ")(?: |$)"
     texts = docs.select("doc_key", words_of(F.col("text")).alias("joined")).where(F.col("joined").rlike(some))
     texts = texts.select("doc_key", F.split("joined", " ").alias("words"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1 - BLOCK // 2, F.lit(0)), F.lit(BLOCK // 2))
-    blocks = texts.select("doc_key", "words", F.explode(starts).alias("start")).select("doc_key", "start", F.slice("words", F.col("start") + 1, F.lit(BLOCK)).alias("words"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1 - block // 2, F.lit(0)), F.lit(block // 2))
+    blocks = texts.select("doc_key", "words", F.explode(starts).alias("start")).select("doc_key", "start", F.slice("words", F.col("start") + 1, F.lit(block)).alias("words"))
     ranks_of = F.create_map(*[F.lit(x) for w, i in rank.items() for x in (w, i)])
     ranks = F.array_sort(F.transform(F.array_intersect("words", F.array(*map(F.lit, order))), lambda w: F.try_element_at(ranks_of, w)))
     blocks = blocks.select("doc_key", "start", ranks.alias("held")).where(F.size("held") >= least)

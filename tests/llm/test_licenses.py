@@ -63,3 +63,20 @@ def test_blocks_against_brute_force(spark):
         if not got[i].n_base:
             assert got[i].score == pytest.approx(best), text
     assert 60 < met < len(texts)
+
+
+@pytest.mark.parametrize("n", [30, 33, 61, 80, 100, 400])
+def test_templates_of_any_length(spark, n):
+    template = " ".join(f"t{i}" for i in range(n))
+    short = "alpha beta gamma delta epsilon"
+    rows = [(at, " ".join(["pad"] * at + [template] + ["tail"] * 7)) for at in (0, 1, 17, 31, 32, 47, 63, 64, 100)] + [(-1, " ".join(template.split()[: n // 2])), (-2, "x " * 300 + short), (None, None)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), ((template, "long"), (short, "short"))).collect()
+    assert {r.doc_id: r.labels for r in got} == {d: ["long"] if d is not None and d >= 0 else ["short"] if d == -2 else [] for d, _ in rows}
+
+
+def test_odd_tables(spark):
+    df = spark.createDataFrame([(1, "released under the mit license", "x", "y", 3)] * 2 + [(None, None, "x", "y", 3), (2, "word " * 50_000, "x", "y", 3)], "doc_id long, text string, label string, words string, start int")
+    assert sorted((str(r.doc_id), r.labels) for r in licenses.scan(df).collect()) == [("1", ["mit"]), ("1", ["mit"]), ("2", []), ("None", [])]
+    assert sorted(r.labels for r in licenses.scan(df, ()).collect()) == [[], [], ["mit"], ["mit"]]  # the phrases stay
+    assert [r.score for r in licenses.scan(df, (("  ", "none"),)).where("doc_id = 2").collect()] == [0.0]
+    assert licenses.scan(df.limit(0)).count() == 0
