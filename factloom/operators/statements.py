@@ -414,14 +414,28 @@ class Reader:
             self.at = m.end()
 
 
+#: Rows that are handed on at a time.
+ROWS = 10_000
+
+
 def _read(batches: Iterator[pa.RecordBatch], rest: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i in range(batch.num_rows):
-            rows = Reader(batch.column("text")[i].as_py() or "").read()
-            for at in range(0, len(rows), 10_000):
-                part = pa.RecordBatch.from_pylist(rows[at : at + 10_000], _ARROW)
-                keep = [pa.concat_arrays([batch.column(c).slice(i, 1)] * part.num_rows) for c in rest]
-                yield pa.RecordBatch.from_arrays([*keep, *part.columns], [*rest, *part.schema.names])
+        held, of = [], []
+
+        def rows() -> pa.RecordBatch:
+            part = pa.RecordBatch.from_pylist(held, _ARROW)
+            keep = [batch.column(c).take(pa.array(of)) for c in rest]
+            return pa.RecordBatch.from_arrays([*keep, *part.columns], [*rest, *part.schema.names])
+
+        for i, text in enumerate(batch.column("text")):
+            for row in Reader(text.as_py() or "").read():
+                held.append(row)
+                of.append(i)
+                if len(held) == ROWS:
+                    yield rows()
+                    held, of = [], []
+        if held:
+            yield rows()
 
 
 def statements(sources: DataFrame) -> DataFrame:

@@ -114,7 +114,8 @@ def programs(spark: SparkSession, d: str) -> DataFrame:
     text = F.replace(text, F.lit("{break}"), F.when(k % 2 == 0, " ").otherwise("\n"))
     text = F.when(k % 2 == 0, text).otherwise(F.replace(text, F.lit(");\nour %EXPORT_TAGS"), F.lit("); our %EXPORT_TAGS")))
     text = filled(text, k=k, n=n, pragma=F.when(k % 3 == 0, "AutoLoader").otherwise("strict"), deep=deep)
-    own = table(spark, d, "customer").select(k.alias("file_id"), F.concat(F.lit("lib/Shop/C"), k.cast("string"), F.lit(".pm")).alias("path"), text.alias("text"))
+    spread = table(spark, d, "customer").select("c_custkey", "c_nationkey").repartition(spark.sparkContext.defaultParallelism, "c_custkey")  # two numbers a row, before they become a text
+    own = spread.select(k.alias("file_id"), F.concat(F.lit("lib/Shop/C"), k.cast("string"), F.lit(".pm")).alias("path"), text.alias("text"))
     n = F.col("n_nationkey")
     base = table(spark, d, "nation").select((-1 - n).cast("long").alias("file_id"), F.concat(F.lit("lib/Shop/N"), n.cast("string"), F.lit(".pm")).alias("path"), filled(NATION, n=n).alias("text"))
     return own.unionByName(base)
