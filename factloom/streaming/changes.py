@@ -116,18 +116,18 @@ def latest(spark: SparkSession, path: str, key: str, generation: str) -> DataFra
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), generation).alias("x")).select(key, "x.*")
 
 
-def flush(edges: DataFrame, answers: DataFrame, changed: DataFrame, evaluate: Callable[[DataFrame], DataFrame], max_rounds: int = 8) -> tuple[DataFrame, bool]:
+def flush(edges: DataFrame, answers: DataFrame, changed: DataFrame, evaluate: Callable[[DataFrame, DataFrame], DataFrame], max_rounds: int = 8) -> tuple[DataFrame, bool]:
     """Re-evaluate what changed keys reach, round by round, and stop where evaluated answers do not move.
 
-    edges (src, dst): dst reads src. answers (key, answer). evaluate takes answers and returns (key, answer) for every key
-    it can derive. Returns the new answers and whether the rounds converged; a caller publishes only convergent ones.
+    edges (src, dst): dst reads src. answers (key, answer). evaluate takes the keys to derive (key) and all answers, and
+    returns (key, answer) for those keys: a round costs what its frontier reaches. Returns the new answers and whether the rounds converged; a caller publishes only convergent ones.
     """
     from factloom.operators.graph import cut
 
     frontier = changed.select("key").distinct()
     for _ in range(max_rounds):
         readers = edges.join(frontier.select(F.col("key").alias("src")), "src", "left_semi").select(F.col("dst").alias("key")).distinct()
-        new = evaluate(answers).join(readers, "key", "left_semi").withColumnRenamed("answer", "now")
+        new = evaluate(readers, answers).withColumnRenamed("answer", "now")
         moved = cut(new.join(answers, "key", "left").where(~F.col("now").eqNullSafe(F.col("answer"))).select("key", "now"))
         if moved.isEmpty():
             return answers, True
