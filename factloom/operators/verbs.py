@@ -42,8 +42,9 @@ def definition(lanes: list[DataFrame], key: list[str]) -> DataFrame:
     return out.join(best, [*key, "lane"], "left_semi")
 
 
-def highlights(references: DataFrame, file_id: int) -> DataFrame:
-    return references.where(F.col("file_id") == file_id)
+def highlights(references: DataFrame, asked: DataFrame) -> DataFrame:
+    """The references within the files that are asked for (file_id)."""
+    return references.join(asked.select("file_id").distinct(), "file_id", "left_semi")
 
 
 def completion(sources: list[DataFrame], prefix: str, k: int = 200) -> DataFrame:

@@ -132,11 +132,11 @@ def alias_chain(spark: SparkSession, d: str) -> DataFrame:
 DIRTY_SQL = "p AS (SELECT o_orderkey AS file, o_custkey AS name FROM orders WHERE o_orderkey % 4 = 0), c AS (SELECT o_orderkey AS file, o_custkey AS name FROM orders WHERE o_orderkey % 4 IN (0, 1) AND o_orderkey % 3 = 0)"
 
 
-@register("dirty_closure", f"WITH RECURSIVE {DIRTY_SQL}, s AS (SELECT DISTINCT p.file AS src, c.file AS dst FROM p JOIN c USING (name) WHERE p.file <> c.file), r AS (SELECT o_orderkey AS file FROM orders WHERE o_orderkey < 400 UNION SELECT dst FROM r JOIN s ON r.file = s.src) SELECT file FROM r WHERE file >= 400")
+@register("dirty_closure", f"WITH RECURSIVE {DIRTY_SQL}, s AS (SELECT DISTINCT p.file AS src, c.file AS dst FROM p JOIN c USING (name) WHERE p.file <> c.file), x AS (SELECT o_orderkey AS file FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'), r AS (SELECT file FROM x UNION SELECT dst FROM r JOIN s ON r.file = s.src) SELECT file FROM r ANTI JOIN x USING (file)")
 def dirty_closure(spark: SparkSession, d: str) -> DataFrame:
     """Consumers of what changed files provide, however far."""
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("file"), F.col("o_custkey").alias("name"))
-    return G.dirty_closure(o.where("file % 4 = 0"), o.where("file % 4 in (0, 1) and file % 3 = 0"), o.where("file < 400").select("file"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("file"), F.col("o_custkey").alias("name"), (F.col("o_orderstatus") == "P").alias("open"), (F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
+    return G.dirty_closure(o.where("file % 4 = 0").select("file", "name"), o.where("file % 4 in (0, 1) and file % 3 = 0").select("file", "name"), o.where("open and urgent").select("file"))
 
 
 @register("reexport_walk", f"WITH RECURSIVE {P_SQL}, c AS (SELECT p_partkey AS origin, p_partkey AS node, 0 AS depth FROM part UNION SELECT origin, dst, depth + 1 FROM c JOIN e ON node = src WHERE depth < 20), f AS (SELECT origin, node, min(depth) AS depth FROM c WHERE node <> origin AND node % 7 = 3 GROUP BY ALL) SELECT origin, arg_min(node, (depth, node)) AS definer, min(depth) AS depth FROM f GROUP BY origin")

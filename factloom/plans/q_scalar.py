@@ -26,18 +26,25 @@ def name_functions(spark: SparkSession, d: str) -> DataFrame:
     return _names(spark, d).select("s_suppkey", N.sigil(n).alias("sigil"), N.strip_sigils(n).alias("stripped"), N.match_key(n).alias("match_key"), N.qualifier(n).alias("qualifier"), N.unqualified(n).alias("unqualified"), N.is_class_name(N.strip_sigils(n)).alias("class_name"), N.method_token(n).alias("token"))
 
 
-@register("package_agreement", "SELECT a.s_suppkey AS a, b.s_suppkey AS b, b.q = a.q OR ends_with(a.q, '::' || b.q) OR ends_with(b.q, '::' || a.q) AS agrees FROM (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'Foo::Bar' WHEN 1 THEN 'Bar' ELSE 'Foo' END AS q FROM supplier) a, (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'Foo::Bar' WHEN 1 THEN 'Bar' ELSE 'Foo' END AS q FROM supplier) b WHERE b.s_suppkey = (a.s_suppkey * 5 + 1) % 12")
+@register("package_agreement", """WITH q AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'Foo::Bar' WHEN 1 THEN 'Bar' ELSE 'Foo' END AS q FROM supplier)
+SELECT a.s_suppkey AS a, b.s_suppkey AS b, b.q = a.q OR ends_with(a.q, '::' || b.q) OR ends_with(b.q, '::' || a.q) AS agrees FROM q a JOIN q b ON b.s_suppkey = a.s_suppkey + 1
+UNION ALL SELECT a.s_suppkey, b.s_suppkey, b.q = a.q OR ends_with(a.q, '::' || b.q) OR ends_with(b.q, '::' || a.q) FROM q a JOIN q b ON b.s_suppkey = a.s_suppkey + 3""")
 def package_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Each supplier's package against those of the next and the third after it."""
     k = F.col("s_suppkey") % 3
     a = table(spark, d, "supplier").select(F.col("s_suppkey").alias("a"), F.when(k == 0, "Foo::Bar").when(k == 1, "Bar").otherwise("Foo").alias("qa"))
     b = a.select(F.col("a").alias("b"), F.col("qa").alias("qb"))
-    return a.join(b, F.col("b") == (F.col("a") * 5 + 1) % 12).select("a", "b", N.package_agrees(True, F.col("qa"), F.col("qb")).alias("agrees"))
+    pairs = a.withColumn("b", F.explode(F.array(F.col("a") + 1, F.col("a") + 3))).join(b, "b")
+    return pairs.select("a", "b", N.package_agrees(True, F.col("qa"), F.col("qb")).alias("agrees"))
 
 
-@register("word_at_point", "SELECT doc_id, regexp_extract(substr(l, 1, 12), '[0-9A-Za-z_]*$') || regexp_extract(substr(l, 13), '^[0-9A-Za-z_]*') AS word FROM (SELECT doc_id, regexp_replace(lower(text), '[^a-z\\n ]', '', 'g') AS l FROM documents)")
+@register("word_at_point", """SELECT doc_id, part, regexp_extract(substr(l, 1, (length(l) * part // 8)::INT), '[0-9A-Za-z_]*$') || regexp_extract(substr(l, (length(l) * part // 8 + 1)::INT), '^[0-9A-Za-z_]*') AS word
+FROM (SELECT doc_id, regexp_replace(lower(text), '[^a-z\\n ]', '', 'g') AS l FROM documents WHERE text IS NOT NULL), range(9) AS r(part)""")
 def word_at_point(spark: SparkSession, d: str) -> DataFrame:
+    """The word around every eighth of each text."""
     line = F.regexp_replace(F.lower("text"), "[^a-z\n ]", "")
-    return table(spark, d, "documents").select("doc_id", N.word_at(line, F.lit(12)).alias("word"))
+    parts = table(spark, d, "documents").where("text is not null").select("doc_id", line.alias("l"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(8).cast("long"))).alias("part"))
+    return parts.select("doc_id", "part", N.word_at(F.col("l"), F.floor(F.length("l") * F.col("part") / 8).cast("int")).alias("word"))
 
 
 @register("url_links", "SELECT page_id, list_transform(regexp_extract_all(url || '. see ' || url || ')', 'https?://[^\\s<>\"'']+'), lambda u: regexp_replace(u, '[.,;:)\\]]+$', '')) AS links, regexp_extract(url, '^(https?)://([^/?#]+)', 2) AS host FROM pages")
@@ -100,14 +107,14 @@ def fold_interpolation(spark: SparkSession, d: str) -> DataFrame:
 
 @register(
     "coordinates",
-    """SELECT doc_id, part, octet_length(encode(substr(text, 1, length(text) * part // 8)))::BIGINT AS byte_column, left(text, 25) AS cut
+    """SELECT doc_id, part, octet_length(encode(substr(text, 1, length(text) * part // 8)))::BIGINT AS byte_column, md5(left(text, length(text) * part // 8)) AS cut
 FROM documents, range(9) AS r(part) WHERE text IS NOT NULL""",
 )
 def coordinates(spark: SparkSession, d: str) -> DataFrame:
     """Byte offsets of characters at every eighth of each text, and cuts at character boundaries."""
     at = F.floor(F.length("text") * F.col("part") / 8).cast("int")
     parts = table(spark, d, "documents").where("text is not null").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(8).cast("long"))))
-    return parts.select("doc_id", "part", N.byte_column(F.col("text"), at).cast("long").alias("byte_column"), F.left("text", F.lit(25)).alias("cut"))
+    return parts.select("doc_id", "part", N.byte_column(F.col("text"), at).cast("long").alias("byte_column"), F.md5(F.left("text", at)).alias("cut"))
 
 
 @register("relative_paths", "SELECT doc_id, CASE WHEN starts_with(p, 'doc/en/') THEN substr(p, 8) ELSE p END AS rel FROM (SELECT doc_id, 'doc/' || lang || '/' || doc_id AS p FROM documents)")

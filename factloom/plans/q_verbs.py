@@ -32,9 +32,11 @@ def references(spark: SparkSession, d: str) -> DataFrame:
     return _references(spark, d)
 
 
-@register("document_highlight", f"{REF_SQL} SELECT target, pos, access FROM r WHERE file_id = 1")
+@register("document_highlight", f"{REF_SQL} SELECT target, file_id, pos, access FROM r WHERE file_id IN (SELECT doc_id FROM labels)")
 def document_highlight(spark: SparkSession, d: str) -> DataFrame:
-    return V.highlights(_references(spark, d), 1).select("target", "pos", "access")
+    """The places of each target in the files that are asked for: all labelled ones."""
+    asked = table(spark, d, "labels").select(F.col("doc_id").alias("file_id"))
+    return V.highlights(_references(spark, d), asked).select("target", "file_id", "pos", "access")
 
 
 @register("rename_edits", f"{REF_SQL} SELECT target, file_id, pos, 'renamed' AS new_text FROM r WHERE target NOT IN (SELECT target FROM r WHERE file_id % 97 = 5 AND pos % 11 = 3)")
@@ -56,10 +58,10 @@ def references_parity(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("target").agg(F.count("*").alias("n")).select(F.lit("left").alias("path"), "target", "n").unionByName(diff)
 
 
-@register("definition_lanes", f"WITH {SYMS_SQL}, l AS (SELECT key, file_id, CASE WHEN (flags & 8) <> 0 THEN 0 WHEN kind = 1 THEN 1 ELSE 2 END AS lane FROM syms WHERE len(key) >= 10) SELECT key, file_id, lane FROM l a WHERE lane = (SELECT min(lane) FROM l b WHERE b.key = a.key)")
+@register("definition_lanes", f"WITH {SYMS_SQL}, l AS (SELECT key, file_id, CASE WHEN (flags & 8) <> 0 THEN 0 WHEN kind = 1 THEN 1 ELSE 2 END AS lane FROM syms) SELECT key, file_id, lane FROM l a WHERE lane = (SELECT min(lane) FROM l b WHERE b.key = a.key)")
 def definition_lanes(spark: SparkSession, d: str) -> DataFrame:
     """Every definition in the best lane that has one."""
-    s = facts.syms(spark, d).where(F.length("key") >= 10)
+    s = facts.syms(spark, d)
     exported = F.col("flags").bitwiseAND(8) != 0
     lanes = [s.where(exported), s.where(~exported & (F.col("kind") == 1)), s.where(~exported & (F.col("kind") != 1))]
     return V.definition([x.select("key", "file_id") for x in lanes], ["key"]).select("key", "file_id", "lane")
@@ -92,19 +94,21 @@ def semantic_tokens(spark: SparkSession, d: str) -> DataFrame:
     return facts.syms(spark, d).groupBy("key").agg(F.bit_or(F.expr("shiftleft(1, kind)")).alias("modifiers"))
 
 
-@register("hover", f"WITH {SYMS_SQL} SELECT key, arg_min(s.file_id, (start_at, s.file_id)) AS file_id, count(*) AS n_candidates FROM syms s WHERE starts_with(key, 'th') GROUP BY key")
+@register("hover", f"WITH {SYMS_SQL} SELECT key, arg_min(s.file_id, (start_at, s.file_id)) AS file_id, count(*) AS n_candidates FROM syms s GROUP BY key")
 def hover(spark: SparkSession, d: str) -> DataFrame:
-    s = facts.syms(spark, d).where(F.col("key").startswith("th"))
+    s = facts.syms(spark, d)
     return s.groupBy("key").agg(F.min_by("file_id", F.struct("start_at", "file_id")).alias("file_id"), F.count("*").alias("n_candidates"))
 
 
-@register("code_actions", f"WITH {SYMS_SQL}, m AS (SELECT DISTINCT key FROM refs WHERE file_id = 3) SELECT m.key, list_sort(list(DISTINCT s.file_id))[1:3] AS offers FROM m JOIN syms s USING (key) WHERE (s.flags & 8) <> 0 GROUP BY m.key")
+@register("code_actions", f"WITH {SYMS_SQL}, o AS (SELECT key, list_sort(list(DISTINCT file_id))[1:3] AS offers FROM syms WHERE (flags & 8) <> 0 GROUP BY key) SELECT r.file_id, r.key, offers FROM refs r JOIN o USING (key) ANTI JOIN syms s ON s.file_id = r.file_id AND s.key = r.key")
 def code_actions(spark: SparkSession, d: str) -> DataFrame:
-    """Exporters to import a name from, the first three of each."""
-    missing = facts.refs(spark, d).where("file_id = 3").select("key")
-    s = facts.syms(spark, d).where(F.col("flags").bitwiseAND(8) != 0).join(missing, "key", "left_semi").select("key", "file_id").distinct()
-    ranked = s.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("file_id"))).where("r <= 3")
-    return ranked.groupBy("key").agg(F.sort_array(F.collect_list("file_id")).alias("offers"))
+    """Exporters to import a name from, the first three of each, for every file that uses a name without declaring it."""
+    s = facts.syms(spark, d)
+    exporters = s.where(F.col("flags").bitwiseAND(8) != 0).select("key", "file_id").distinct()
+    ranked = exporters.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("file_id"))).where("r <= 3")
+    offers = ranked.groupBy("key").agg(F.sort_array(F.collect_list("file_id")).alias("offers"))
+    missing = facts.refs(spark, d).join(s.select("file_id", "key"), ["file_id", "key"], "left_anti")
+    return missing.join(offers, "key").select("file_id", "key", "offers")
 
 
 @register("batch_queries", f"WITH {SYMS_SQL}, q(id, q, file_id, query) AS (VALUES ('a', 'references', NULL, 'that'), ('b', 'symbols', 1, NULL), ('c', 'search', NULL, 'tiont')) SELECT q.id, count(*) AS n FROM q JOIN refs r ON q.q = 'references' AND r.key = q.query GROUP BY q.id UNION ALL SELECT q.id, count(*) FROM q JOIN syms s ON q.q = 'symbols' AND s.file_id = q.file_id GROUP BY q.id UNION ALL SELECT q.id, count(*) FROM q JOIN syms s ON q.q = 'search' AND contains(s.key, q.query) GROUP BY q.id")
@@ -120,26 +124,29 @@ def batch_queries(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b).unionByName(c)
 
 
-@register("group_references", "SELECT p_brand AS group_id, count(DISTINCT l_orderkey) AS n FROM part JOIN lineitem ON l_partkey = p_partkey WHERE p_size < 10 GROUP BY p_brand")
+@register("group_references", "SELECT p_brand AS group_id, count(DISTINCT l_orderkey) AS n FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY p_brand")
 def group_references(spark: SparkSession, d: str) -> DataFrame:
     """Uses of all members of a group."""
-    members = table(spark, d, "part").where("p_size < 10").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("group_id"))
+    members = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("group_id"))
     return table(spark, d, "lineitem").select("l_partkey", "l_orderkey").join(members, "l_partkey").groupBy("group_id").agg(F.count_distinct("l_orderkey").alias("n"))
 
 
-@register("projection_group_rename", "SELECT p_partkey, 'has_' || lower(p_type) AS old, 'has_renamed' AS new FROM part WHERE p_size = 7 UNION ALL SELECT p_partkey, lower(p_type), 'renamed' FROM part WHERE p_size = 7")
+@register("projection_group_rename", "SELECT p_partkey, 'has_' || lower(p_type) AS old, 'has_renamed' AS new FROM part UNION ALL SELECT p_partkey, lower(p_type), 'renamed' FROM part")
 def projection_group_rename(spark: SparkSession, d: str) -> DataFrame:
     """Each spelling of a group renamed with its own prefix."""
     prefix = F.explode(F.array(F.lit(""), F.lit("has_"))).alias("prefix")
-    p = table(spark, d, "part").where("p_size = 7").select("p_partkey", F.lower("p_type").alias("t"), prefix)
+    p = table(spark, d, "part").select("p_partkey", F.lower("p_type").alias("t"), prefix)
     return p.select("p_partkey", F.concat("prefix", "t").alias("old"), F.concat("prefix", F.lit("renamed")).alias("new"))
 
 
-@register("package_variable_uses", f"WITH {SYMS_SQL} SELECT 'decl' AS how, file_id, start_at AS pos FROM syms WHERE key = 'that' UNION ALL SELECT 'same_lang', o.file_id, o.pos FROM occ o JOIN files f ON o.file_id = f.file_id WHERE key = 'that' AND lang = 'en' AND f.source = 'workspace'")
+@register("package_variable_uses", f"""WITH {FILES_SQL}, l AS (SELECT doc_id AS file_id, regexp_extract_all(lower(text), '{facts.TOKEN}') AS l FROM documents WHERE contains(lower(text), 'that')),
+p AS (SELECT file_id, list_filter(range(len(l)), lambda i: l[i + 1] = 'that') AS places FROM l)
+SELECT 'decl' AS how, file_id, places[1] AS pos FROM p JOIN labels ON doc_id = file_id WHERE len(places) > 0
+UNION ALL SELECT 'same_lang', file_id, unnest(places) FROM p JOIN files USING (file_id) WHERE lang = 'en' AND source = 'workspace'""")
 def package_variable_uses(spark: SparkSession, d: str) -> DataFrame:
-    decl = facts.syms(spark, d).where("key = 'that'").select(F.lit("decl").alias("how"), "file_id", F.col("start_at").alias("pos"))
+    decl = facts.syms(spark, d, ("that",)).select(F.lit("decl").alias("how"), "file_id", F.col("start_at").alias("pos"))
     own = facts.files(spark, d).where("lang = 'en' and source = 'workspace'").select("file_id")
-    return decl.unionByName(facts.occurrences(spark, d).where("key = 'that'").join(own, "file_id", "left_semi").select(F.lit("same_lang").alias("how"), "file_id", "pos"))
+    return decl.unionByName(facts.occurrences(spark, d, own, ("that",)).select(F.lit("same_lang").alias("how"), "file_id", "pos"))
 
 
 UNRESOLVED_SQL = """SELECT o.file_id, o.pos, o.key FROM occ o
