@@ -35,4 +35,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Import every module that registers queries."""
-    from factloom.plans import q_drivers, q_evidence, q_extension, q_extract, q_graph, q_macros, q_navigate, q_outlines, q_reducers, q_relational, q_reports, q_scalar, q_spans, q_specialize, q_streaming, q_targets, q_upkeep, q_verbs, q_warehouse  # noqa: F401
+    from factloom.plans import q_drivers, q_evidence, q_extension, q_extract, q_frameworks, q_graph, q_macros, q_navigate, q_outlines, q_reducers, q_relational, q_reports, q_scalar, q_spans, q_specialize, q_streaming, q_targets, q_upkeep, q_verbs, q_warehouse  # noqa: F401
