@@ -33,6 +33,12 @@ def inverted(edges: DataFrame) -> DataFrame:
     return edges.unionByName(back)
 
 
+def neighbours(inherits: DataFrame) -> DataFrame:
+    """name, direction (supertype, subtype), type: what is one step above and below each class."""
+    up = inherits.select(F.col("src").alias("name"), F.lit("supertype").alias("direction"), F.col("dst").alias("type"))
+    return up.unionByName(inherits.select(F.col("dst").alias("name"), F.lit("subtype").alias("direction"), F.col("src").alias("type"))).distinct()
+
+
 def closure(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH, include_self: bool = False) -> DataFrame:
     """origin, node, depth (fewest steps), truncated: everything within max_depth steps of each seed (origin).
 

@@ -49,14 +49,15 @@ def as_of(points: DataFrame, facts: DataFrame, key: list[str], order: list[str],
     return both.where("_side = 1").select(*key, *order, *rest, F.col("_last.v").alias(value))
 
 
-def overlap_free(rows: DataFrame, others: DataFrame, key: list[str]) -> DataFrame:
-    """rows (key, start, end) that overlap none of the others of their key (half-open)."""
-    o = others.select(*key, F.col("start").alias("_s"), F.col("end").alias("_e"))
-    cond = [rows[k] == o[k] for k in key]
-    on: Column = cond[0]
-    for c in cond[1:]:
-        on = on & c
-    return rows.join(o, on & (rows["start"] < o["_e"]) & (o["_s"] < rows["end"]), "left_anti")
+def overlap_free(rows: DataFrame, others: DataFrame, key: list[str], bin_width: int) -> DataFrame:
+    """rows (key, start, end, …) that overlap none of the others of their key (half-open).
+
+    Both sides are listed in the bins that they touch, so that a row meets only what is near it; a row of a null key stays.
+    """
+    binned = lambda df: df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / bin_width), F.floor(F.greatest("start", "end") / bin_width))))
+    o = binned(others.select(*key, "start", "end")).select(*key, "_bin", F.col("start").alias("_s"), F.col("end").alias("_e"))
+    hit = binned(rows.select(*key, "start", "end").distinct()).join(o, [*key, "_bin"]).where("start < _e and _s < end")
+    return rows.join(hit.select(*key, "start", "end").distinct(), [*key, "start", "end"], "left_anti").select(*rows.columns)
 
 
 def after_move(events: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -64,10 +64,10 @@ def descendants(spark: SparkSession, d: str) -> DataFrame:
     return G.closure(back, seeds).select("origin", "node", "depth")
 
 
-@register("type_hierarchy", f"WITH {H_SQL} SELECT src AS name, list_sort(list(dst)) AS supertypes FROM e GROUP BY src")
+@register("type_hierarchy", f"WITH {H_SQL} SELECT src AS name, 'supertype' AS direction, dst AS type FROM e UNION ALL SELECT dst, 'subtype', src FROM e")
 def type_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    """One level up."""
-    return hierarchy(spark, d).groupBy(F.col("src").alias("name")).agg(F.sort_array(F.collect_list("dst")).alias("supertypes"))
+    """One level up and one level down, as rows: a class may have any number of subtypes."""
+    return G.neighbours(hierarchy(spark, d))
 
 
 M_SQL = "m AS (SELECT 'C' || c_custkey AS node, 'pay' AS method FROM customer WHERE c_acctbal > 9000 UNION ALL SELECT 'S' || s_suppkey, 'pay' FROM supplier WHERE s_acctbal > 5000 UNION ALL SELECT 'N' || n_nationkey, 'pay' FROM nation WHERE n_nationkey % 2 = 0)"

@@ -50,7 +50,7 @@ def asof_type_at_point(spark: SparkSession, d: str) -> DataFrame:
 @register("overlap_anti", f"WITH {BODY_SQL} SELECT body FROM body a WHERE body % 2 = 0 AND NOT EXISTS (SELECT 1 FROM body b WHERE b.body % 2 = 1 AND b.file = a.file AND a.start < b.\"end\" AND b.start < a.\"end\")")
 def overlap_anti(spark: SparkSession, d: str) -> DataFrame:
     b = _bodies(spark, d)
-    return S.overlap_free(b.where("body % 2 = 0"), b.where("body % 2 = 1"), ["file"]).select("body")
+    return S.overlap_free(b.where("body % 2 = 0"), b.where("body % 2 = 1"), ["file"], 16).select("body")
 
 
 EV_SQL = "v AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'read' WHEN 'purchase' THEN 'move' ELSE 'write' END AS event FROM events)"

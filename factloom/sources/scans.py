@@ -44,9 +44,13 @@ def entry_scripts(files: DataFrame) -> DataFrame:
 
 def module_names(files: DataFrame, roots: DataFrame) -> DataFrame:
     """name, path, ord: modules by their path below each search root (root, ord); no file is read."""
-    under = files.join(F.broadcast(roots), files["path"].startswith(F.concat("root", F.lit("/"))))  # the configured roots
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    # a path meets the roots among the folders above it by equality
+    modules = files.where(F.endswith("path", F.lit(".pm")) & F.contains("path", F.lit("/"))).select("path")
+    under = modules.select("path", F.explode(above).alias("root")).join(roots, "root")
     rel = F.expr("substr(path, length(root) + 2)")
-    return under.select(F.regexp_replace(F.regexp_replace(rel, r"\.pm$", ""), "/", "::").alias("name"), "path", "ord").where(rel.endswith(".pm"))
+    return under.select(F.regexp_replace(F.regexp_replace(rel, r"\.pm$", ""), "/", "::").alias("name"), "path", "ord")
 
 
 def providers(names: DataFrame, first_only: bool = False) -> DataFrame:
