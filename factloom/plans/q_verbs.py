@@ -107,7 +107,9 @@ def code_actions(spark: SparkSession, d: str) -> DataFrame:
     exporters = s.where(F.col("flags").bitwiseAND(8) != 0).select("key", "file_id").distinct()
     ranked = exporters.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("file_id"))).where("r <= 3")
     offers = ranked.groupBy("key").agg(F.sort_array(F.collect_list("file_id")).alias("offers"))
-    missing = facts.refs(spark, d).join(s.select("file_id", "key"), ["file_id", "key"], "left_anti")
+    # a file that declares at all declares every name it uses, so whole files fall out, before their texts are split
+    docs = table(spark, d, "documents").join(facts.declaring(spark, d).select(F.col("file_id").alias("doc_id")), "doc_id", "left_anti")
+    missing = docs.select(F.col("doc_id").alias("file_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(facts.TOKEN), F.lit(0)))).alias("key"))
     return missing.join(offers, "key").select("file_id", "key", "offers")
 
 
