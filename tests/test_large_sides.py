@@ -12,9 +12,13 @@ def plan_of(df):
 
 
 #: Queries, each with the broadcasts that it asks for: a list of fixed length.
-BROADCASTS = {"flow_narrowing": 0, "chain_typing": 0}
+BROADCASTS = {"flow_narrowing": 0, "chain_typing": 0, "hash_key_owners": 0}
 
 
 @pytest.mark.parametrize("name", sorted(BROADCASTS))
 def test_no_side_goes_through_the_driver(spark, name):
     assert plan_of(registry.queries()[name](spark, SF)).count("BroadcastHashJoin") == BROADCASTS[name]
+
+
+def test_programs_are_read_once(spark):
+    assert "MapInArrow" not in plan_of(registry.queries()["hash_key_owners"](spark, SF))
