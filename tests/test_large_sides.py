@@ -12,7 +12,7 @@ def plan_of(df):
 
 
 #: Queries, each with the broadcasts that it asks for: a list of fixed length.
-BROADCASTS = {"flow_narrowing": 0, "chain_typing": 0, "hash_key_owners": 0}
+BROADCASTS = {"flow_narrowing": 0, "chain_typing": 0, "hash_key_owners": 0, "type_at": 0}
 
 
 @pytest.mark.parametrize("name", sorted(BROADCASTS))
