@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom.functions import types as T
 from factloom.operators.evidence import DEFAULT_PRIORITY, arity_guard, branch_arms, is_class, latest, majority, return_arms, slot
-from factloom.operators.graph import cut
+from factloom.operators.graph import dealt, kept
 
 #: Nodes of return expressions: op is concrete (type), receiver, receiver_or (type), arg (i), row_of, param_of (i), instance_of (type), union.
 NODES = "node long, op string, type string, i int, kids array<struct<guard:string,n:int,node:long>>"
@@ -47,14 +47,14 @@ def evaluate(calls: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Repeated ids are calls of their own. Rounds are as many as the deepest expression has levels (MAX_LEVELS at most); the kids of a node meet in one group.
     """
-    calls = cut(calls.withColumn("call", F.monotonically_increasing_id()))
+    calls = kept(calls.withColumn("call", F.monotonically_increasing_id()))
     front = calls.select("call", F.array().cast("array<int>").alias("path"), F.col("root").alias("node"), "receiver", "args", "arity")
     levels = []
     for _ in range(MAX_LEVELS):
-        met = front.join(nodes, "node", "left")
+        met = front.join(dealt(nodes), "node", "left")
         own = F.when(F.col("op") == "concrete", F.col("type")).when(F.col("op") == "receiver", F.col("receiver")).when(F.col("op") == "receiver_or", F.coalesce("receiver", "type")).when(F.col("op") == "arg", F.get("args", F.col("i")))
         kids = F.when(F.col("op") == "union", chosen(F.col("kids"), F.col("arity"))).when(F.col("op").isin("row_of", "param_of", "instance_of"), F.col("kids"))
-        met = cut(met.withColumn("own", own).withColumn("taken", F.coalesce(kids, F.array().cast("array<struct<guard:string,n:int,node:long>>"))))
+        met = kept(met.withColumn("own", own).withColumn("taken", F.coalesce(kids, F.array().cast("array<struct<guard:string,n:int,node:long>>"))))
         levels.append(met.select("call", "path", "op", "type", "i", "own", F.size("taken").alias("n")))
         front = met.select("call", F.posexplode("taken").alias("at", "kid"), "path", "receiver", "args", "arity").select("call", F.concat("path", F.array(F.col("at").cast("int"))).alias("path"), F.col("kid.node").alias("node"), "receiver", "args", "arity")
         if front.isEmpty():
@@ -65,14 +65,14 @@ def evaluate(calls: DataFrame, nodes: DataFrame) -> DataFrame:
             below = level.select("call", "path", F.when(F.col("n") == 0, F.col("own")).alias("value"))
             continue
         inner = below.groupBy("call", F.slice("path", F.lit(1), F.size("path") - 1).alias("path")).agg(F.array_sort(F.collect_list(F.struct(F.element_at("path", -1).alias("at"), "value"))).alias("x"))
-        joined = level.join(inner.withColumn("values", F.transform("x", lambda v: v["value"])).drop("x"), ["call", "path"], "left")
+        joined = level.join(dealt(inner.withColumn("values", F.transform("x", lambda v: v["value"])).drop("x")), ["call", "path"], "left")
         one = F.get("values", F.lit(0))
         whole = (F.size("values") == F.col("n")) & F.forall("values", lambda v: v.isNotNull())
         made = F.when(whole, F.concat(F.col("type"), F.lit("<"), F.array_join(F.transform("values", lambda v: F.regexp_replace(v, "^Class:", "")), ","), F.lit(">")))
         parameter = F.get(T.template_arguments(one), F.col("i"))
         value = F.when(F.col("op") == "union", one).when(F.col("op") == "row_of", row_class(one)).when((F.col("op") == "param_of") & (T.template_base(one) != "ResultSet"), parameter).when(F.col("op") == "instance_of", made).otherwise(F.col("own"))
         below = joined.select("call", "path", value.alias("value"))
-    return calls.select("id", "call").join(below, "call").select("id", F.col("value").alias("type"))
+    return calls.select("id", "call").join(dealt(below), "call").select("id", F.col("value").alias("type"))
 
 
 def assignment(t: Column, priority: Column, seq: Column) -> Column:

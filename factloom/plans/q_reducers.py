@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom.operators import reducers as R
-from factloom.operators.graph import cut
+from factloom.operators.graph import kept
 from factloom.plans.registry import register
 from factloom.sources.facts import table
 
@@ -55,7 +55,7 @@ def return_expressions(spark: SparkSession, d: str) -> DataFrame:
     arity = F.when(F.col("l_quantity") < 40, F.col("l_quantity").cast("int") % 4)
     args = F.slice(F.array(F.concat(F.lit("Class:"), "l_linestatus"), F.concat(F.lit("Class:"), "l_returnflag")), F.lit(1), F.least(F.coalesce(arity, F.lit(0)), F.lit(2)))
     calls = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey").cast("long") * STEP).alias("root"), receiver.alias("receiver"), args.alias("args"), arity.alias("arity"))
-    return R.evaluate(calls, cut(declared(spark, d)))
+    return R.evaluate(calls, kept(declared(spark, d)))
 
 
 #: Kinds of attachments in turn, and the evidence of an event; a type and an observation alternate on variables.

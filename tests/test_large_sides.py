@@ -12,7 +12,7 @@ def plan_of(df):
 
 
 #: Queries, each with the broadcasts that it asks for: a list of fixed length.
-BROADCASTS = {"flow_narrowing": 0, "chain_typing": 0, "hash_key_owners": 0, "type_at": 0, "type_definition": 0, "stamped_calls": 0, "binding_edges": 0, "check_source": 0, "symbol_defines_target": 0, "ref_matches_target": 0, "verb_manifest": 2}
+BROADCASTS = {"flow_narrowing": 0, "chain_typing": 0, "hash_key_owners": 0, "type_at": 0, "type_definition": 0, "stamped_calls": 0, "binding_edges": 0, "check_source": 0, "symbol_defines_target": 0, "ref_matches_target": 0, "verb_manifest": 2, "return_expressions": 0}
 
 
 @pytest.mark.parametrize("name", sorted(BROADCASTS))
