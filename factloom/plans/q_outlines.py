@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom.operators import outlines as O
-from factloom.operators.graph import cut
+from factloom.operators.graph import kept
 from factloom.plans.q_extract import rows, sql
 from factloom.plans.registry import register
 
@@ -21,7 +21,7 @@ _COLUMNS = "x.line, x.kind, x.name, x.end_line, x.level"
 @register("nested_outline", sql(f"SELECT k AS file_id, {_COLUMNS}, 'Shop::C' || k || x.path AS path FROM c, LATERAL (VALUES {NESTED}) AS x(line, kind, name, end_line, level, path)", f"SELECT f, {_COLUMNS}, 'Shop::N' || n || x.path FROM b, LATERAL (VALUES {BASES}) AS x(line, kind, name, end_line, level, path)"))
 def nested_outline(spark: SparkSession, d: str) -> DataFrame:
     """Packages, subs and variables of every program, each with its level and the path of names above it."""
-    return O.outline(cut(rows(spark, d))).select("file_id", "line", "kind", "name", "end_line", "level", F.array_join("path", "/").alias("path"))
+    return O.outline(kept(rows(spark, d))).select("file_id", "line", "kind", "name", "end_line", "level", F.array_join("path", "/").alias("path"))
 
 
 RANGES = "(13, 0, 13, 13), (13, 1, 12, 16), (28, 0, 28, 28), (28, 1, 26, 30), (28, 2, 17, 41), (35, 0, 35, 35), (35, 1, 34, 36), (35, 2, 17, 41), (43, 0, 43, 43)"
@@ -30,7 +30,7 @@ RANGES = "(13, 0, 13, 13), (13, 1, 12, 16), (28, 0, 28, 28), (28, 1, 26, 30), (2
 @register("selection_ranges", sql(f"SELECT k AS file_id, x.* FROM c, LATERAL (VALUES {RANGES}) AS x(line, level, start_line, end_line)"))
 def selection_ranges(spark: SparkSession, d: str) -> DataFrame:
     """The statement at each of four lines of every program, and the blocks around it."""
-    r = cut(rows(spark, d))
+    r = kept(rows(spark, d))
     points = r.where("file_id >= 0").select("file_id").distinct().select("file_id", F.explode(F.array(*map(F.lit, (13, 28, 35, 43)))).alias("line"))
     return O.selection_ranges(r, points)
 

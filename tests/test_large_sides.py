@@ -2,6 +2,7 @@
 
 import pytest
 
+from factloom.operators import extract as X, outlines as O
 from factloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -12,7 +13,7 @@ def plan_of(df):
 
 
 #: Queries, each with the broadcasts that it asks for: a list of fixed length.
-BROADCASTS = {"flow_narrowing": 0, "chain_typing": 0, "hash_key_owners": 0, "type_at": 0, "type_definition": 0, "stamped_calls": 0, "binding_edges": 0, "check_source": 0, "symbol_defines_target": 0, "ref_matches_target": 0, "verb_manifest": 2, "return_expressions": 0}
+BROADCASTS = {"flow_narrowing": 0, "chain_typing": 0, "hash_key_owners": 0, "type_at": 0, "type_definition": 0, "stamped_calls": 0, "binding_edges": 0, "check_source": 0, "symbol_defines_target": 0, "ref_matches_target": 0, "verb_manifest": 2, "return_expressions": 0, "selection_ranges": 0}
 
 
 @pytest.mark.parametrize("name", sorted(BROADCASTS))
@@ -22,3 +23,8 @@ def test_no_side_goes_through_the_driver(spark, name):
 
 def test_programs_are_read_once(spark):
     assert "MapInArrow" not in plan_of(registry.queries()["hash_key_owners"](spark, SF))
+
+
+def test_blocks_need_no_frame_for_each_file(spark):
+    rows = X.statements(spark.createDataFrame([(1, "sub a {\n}\n")], "file_id long, text string"))
+    assert "FlatMapGroupsInPandas" not in plan_of(O.blocks(rows))
