@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factloom.operators import spans as S
-from factloom.operators.graph import closure, cut
+from factloom.operators.graph import closure, cut, dealt, kept
 
 LONGEST = 20_000
 #: Directives with what continues them, comments, literals, numbers, names, blanks, single characters; read alike by Java and Python.
@@ -119,15 +119,17 @@ def in_force(alive: DataFrame, defined: DataFrame, files: DataFrame) -> DataFram
         return defined
     reach = closure(steps, steps.select(F.col("src").alias("origin")).distinct()).where("node <> origin").select(F.col("origin").alias("file_id"), F.col("node").alias("header"), "depth")
     last = defined.groupBy(F.col("file_id").alias("header"), "name").agg(F.max_by(F.struct("macro"), "at").alias("x"))  # in a struct, as an undefined one is null
-    last = cut(last.where("x.macro is not null").select("header", "name", "x.macro").join(files.select(F.col("file_id").alias("header"), "path"), "header"))
+    last = last.where("x.macro is not null").select("header", "name", "x.macro").join(dealt(files.select(F.col("file_id").alias("header"), "path")), "header")
+    # what a file can see, by the headers that it reaches: a name alone would meet the definitions of all other files
+    visible = kept(reach.join(dealt(last), "header").select("file_id", "name", "depth", "path", "macro"))
     own = alive.where("kind = 'name'").select("file_id", F.col("text").alias("name")).unionByName(defined.select("file_id", F.explode(_names(F.col("macro.body"))).alias("name")))
-    need = seen = cut(own.distinct().join(last.select("name").distinct(), "name", "left_semi").join(reach.select("file_id").distinct(), "file_id", "left_semi"))
+    need = seen = kept(own.distinct().join(dealt(visible.select("file_id", "name").distinct()), ["file_id", "name"], "left_semi"))
     found = None
     while True:
-        hit = need.join(last, "name").join(reach, ["file_id", "header"]).groupBy("file_id", "name").agg(F.min_by("macro", F.struct("depth", "path")).alias("macro"))
+        hit = need.join(dealt(visible), ["file_id", "name"]).groupBy("file_id", "name").agg(F.min_by("macro", F.struct("depth", "path")).alias("macro"))
         hit = cut(hit)
         found = hit if found is None else found.unionByName(hit)
-        need = cut(hit.select("file_id", F.explode(_names(F.col("macro.body"))).alias("name")).distinct().join(seen, ["file_id", "name"], "left_anti"))
+        need = cut(hit.select("file_id", F.explode(_names(F.col("macro.body"))).alias("name")).distinct().join(dealt(seen), ["file_id", "name"], "left_anti"))
         if need.isEmpty():
             return defined.unionByName(found.select("file_id", "name", F.lit(-1).cast("long").alias("at"), "macro"))
         seen = seen.unionByName(need)
@@ -141,9 +143,9 @@ def uses(alive: DataFrame, defined: DataFrame) -> DataFrame:
     t = t.withColumn("next", F.lead(F.struct("i", "text")).over(w)).withColumn("level", F.sum(step).over(w) + (F.col("text") == ")").cast("int"))
     after = F.lead(F.struct("text", "at")).over(Window.partitionBy("file_id", "level").orderBy("i"))
     closes = t.where("text in ('(', ')')").withColumn("after", after).where("text = '(' and after.text = ')'").select("file_id", F.col("i").alias("open"), (F.col("after.at") + 1).alias("call_end"))
-    named = t.where("kind = 'name'").withColumn("name", F.col("text")).join(defined.select("file_id", "name").distinct(), ["file_id", "name"], "left_semi")
+    named = t.where("kind = 'name'").withColumn("name", F.col("text")).join(dealt(defined.select("file_id", "name").distinct()), ["file_id", "name"], "left_semi")
     named = named.select("file_id", "at", (F.col("at") + F.length("text")).alias("end"), F.when(F.col("next.text") == "(", F.col("next.i")).alias("open"))
-    return named.join(closes, ["file_id", "open"], "left").select("file_id", "at", "end", "call_end")
+    return named.join(dealt(closes), ["file_id", "open"], "left").select("file_id", "at", "end", "call_end")
 
 
 class _TooLong(Exception):
@@ -295,11 +297,11 @@ def splices(files: DataFrame, known: Mapping[str, bool] | None = None) -> DataFr
     known tells which names the configuration defines and which it doesn't; other conditions are open and keep all branches.
     """
     files = files.select("file_id", "path", "text")
-    alive = cut(live(tokens(files), known or {}))
-    defined = cut(in_force(alive, cut(definitions(alive)), files))
+    alive = kept(live(kept(tokens(files)), known or {}))
+    defined = kept(in_force(alive, kept(definitions(alive)), files))
     sites = uses(alive, defined).groupBy("file_id").agg(F.collect_list(F.struct("at", "end", "call_end")).alias("uses"))
     events = defined.groupBy("file_id").agg(F.collect_list(F.struct("name", "at", "macro")).alias("events"))
-    whole = files.select("file_id", "text").join(sites, "file_id").join(events, "file_id")
+    whole = files.select("file_id", "text").join(dealt(sites), "file_id").join(dealt(events), "file_id")
     kind = dict(files.dtypes)["file_id"]
     return whole.mapInPandas(_splices, f"file_id {kind}, start long, end long, name string, text string, too_long boolean, pieces array<struct<text:string,origin:long,exact:boolean>>")
 
@@ -312,7 +314,7 @@ def applied(files: DataFrame, made: DataFrame) -> DataFrame:
     part = F.transform("s", lambda s, i: F.concat(F.col("text").substr((before(i) + 1).cast("int"), (s["start"] - before(i)).cast("int")), s["new"]))
     end = F.element_at("s", -1)["end"]
     tail = F.col("text").substr((end + 1).cast("int"), F.length("text"))
-    both = files.select("file_id", "text").join(per, "file_id", "left")
+    both = files.select("file_id", "text").join(dealt(per), "file_id", "left")
     return both.select("file_id", F.when(n > 0, F.concat(F.array_join(part, ""), tail)).otherwise(F.col("text")).alias("text"))
 
 

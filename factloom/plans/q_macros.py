@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom.operators import macros as M
-from factloom.operators.graph import cut
+from factloom.operators.graph import kept
 from factloom.plans.registry import register
 from factloom.sources.code import filled
 from factloom.sources.facts import table
@@ -55,7 +55,8 @@ def units(spark: SparkSession, d: str) -> DataFrame:
     k, n = F.col("s_suppkey"), F.col("s_nationkey")
     gap, join = (F.when(k % 2 == 0, " ").otherwise(x) for x in ("\n", "\\\n"))
     text = filled(UNIT, k=k, n=n, gap=gap, join=join, b=F.floor("s_acctbal").cast("long"))
-    own = table(spark, d, "supplier").select(k.cast("long").alias("file_id"), F.concat(F.lit("src/s"), k.cast("string"), F.lit(".c")).alias("path"), text.alias("text"))
+    spread = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal").repartition(spark.sparkContext.defaultParallelism, "s_suppkey")  # three numbers a row, before they become a text
+    own = spread.select(k.cast("long").alias("file_id"), F.concat(F.lit("src/s"), k.cast("string"), F.lit(".c")).alias("path"), text.alias("text"))
     n = F.col("n_nationkey")
     head = table(spark, d, "nation").select((-1 - n).cast("long").alias("file_id"), F.concat(F.lit("src/n"), n.cast("string"), F.lit(".h")).alias("path"), filled(HEADER, n=n).alias("text"))
     common = table(spark, d, "region").agg(F.lit(-1000).cast("long").alias("file_id"), F.lit("src/all.h").alias("path"), F.lit(COMMON).alias("text"))
@@ -89,7 +90,7 @@ UNION ALL SELECT k, CAST(out_at + length(made) AS BIGINT), start_at + n_used FRO
 UNION ALL SELECT k, CAST(out_at + instr(made, ', (1, ') + 1 AS BIGINT), start_at + instr(substr(text, start_at + 1), ', (1, ') + 1 FROM o WHERE ord = 5""")
 def macro_origins(spark: SparkSession, d: str) -> DataFrame:
     """Where replacements begin and end in the new text, and an argument within, led back to the text before."""
-    made = cut(M.splices(units(spark, d), KNOWN))
+    made = kept(M.splices(units(spark, d), KNOWN))
     done = M.applied(units(spark, d).where("file_id >= 0"), made)
     places = F.array(*[F.instr("text", b) for b in ("limit = (", "both = (", "loop = PING", "+ 5;", 'char *s = "')])
     first = F.transform(F.arrays_zip(places.alias("p"), F.array(*map(F.lit, (8, 7, 7, 2, 10))).alias("n")), lambda x: x["p"] + x["n"] - 1)

@@ -1,9 +1,10 @@
 """Sides of joins that are made from tables stay out of the driver, texts are read once, and groups don't meet all others."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from factloom.operators import extract as X, outlines as O
-from factloom.plans import registry
+from factloom.operators import extract as X, macros as M, outlines as O
+from factloom.plans import q_macros, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,3 +29,14 @@ def test_programs_are_read_once(spark):
 def test_blocks_need_no_frame_for_each_file(spark):
     rows = X.statements(spark.createDataFrame([(1, "sub a {\n}\n")], "file_id long, text string"))
     assert "FlatMapGroupsInPandas" not in plan_of(O.blocks(rows))
+
+
+def test_a_name_meets_the_headers_of_its_file_only(spark):
+    texts = [(k, f"u{k}.c", '#include "h.h"\n#define OWN 1\nv = OWN + H;') for k in range(300)]
+    files = spark.createDataFrame([*texts, (900, "h.h", "#define H 2\n")], "file_id long, path string, text string")
+    made = M.applied(files, M.splices(files)).where("file_id < 900").select("text").distinct().collect()
+    assert [r.text.rsplit("\n", 1)[-1] for r in made] == ["v = 1 + 2;"]
+
+
+def test_units_are_spread_before_they_are_texts(spark):
+    assert q_macros.units(spark, SF).where(F.col("file_id") >= 0).rdd.getNumPartitions() > 1
