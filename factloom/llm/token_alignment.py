@@ -1,11 +1,11 @@
 """Alignment of two tokenizers' tokens over the same bytes, and counts of the token pairs that overlap.
 
 A's tokens come from a byte-level vocabulary (tokenizers), B's from one with byte fallback (sentencepiece). Both divide the
-same bytes, so the ends of their tokens, found by cumulative sums of the tokens' lengths, are places on one line: ends that
-both have (an intersection of two sorted lists) cut the tokens into groups, a binary search labels each token with its
-group, and a repeat of each A token by the number of B tokens it overlaps gives the links, all for a batch of documents at
-once. No token of either vocabulary spans the place between a letter and a blank that follows it, so texts are encoded in
-pieces that begin there; a worker encodes a piece once and keeps a bounded number of them.
+same bytes, so the ends of their tokens, found by cumulative sums of the tokens' lengths, are places on one line and are marked
+there: ends that both have cut the tokens into groups, which running counts number, and a repeat of each A token by the
+number of B tokens it overlaps gives the links, all for a batch of documents at once. No token of either vocabulary spans the place between a letter and a blank that follows it, so texts are encoded in
+pieces that begin there. A worker encodes a piece once and keeps a bounded number of them, those that are used most; new ones
+are encoded many at a time, as one text, which is divided again where the bytes of its pieces end.
 
 Encoded documents are written to the shared folder once, bucketed by batches of bounded size, each with its distinct pairs
 and how often each is linked. The batches' counts are summed in two shuffles, first by pair and a salt of the batch, then by pair, so that
@@ -23,10 +23,11 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,11 @@ from factloom.llm.trie_bpe import byte_letters
 
 #: Bytes of text in a batch, about, and rows at most.
 BATCH_BYTES, BATCH_ROWS = 2 << 20, 20_000
-#: Pieces of at most PIECE letters that a worker keeps; twice as many at most, as the older half is dropped at once.
-CACHE_PIECES, PIECE = 120_000, 64
+#: Pieces that a worker keeps, twice as many and CACHE_LETTERS letters at most, beside those of the texts at hand; then only the
+#: most used ones of at most PIECE letters stay.
+CACHE_PIECES, CACHE_LETTERS, PIECE = 120_000, 4 << 20, 64
+#: New pieces that are encoded as one text.
+TOGETHER = 256
 #: Tasks among which the counts of one pair are summed first.
 SALTS = 16
 #: Buckets of the written table for each partition of the documents.
@@ -58,8 +62,53 @@ def pieces(text: str) -> list[str]:
     return [p[1:] for p in _CUT.split(f" {text}")]
 
 
+@dataclass(frozen=True)
+class Lists:
+    """Lists of ids, one after another, and where each ends."""
+
+    flat: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, parts: Iterable[Lists]) -> Lists:
+        """The lists of all parts."""
+        parts = list(parts)
+        begins = np.cumsum([0, *(len(p.flat) for p in parts)])
+        return cls(np.concatenate([p.flat for p in parts]), np.concatenate([p.ends + i for p, i in zip(parts, begins, strict=False)]))
+
+    def take(self, which: np.ndarray) -> Lists:
+        sizes = np.diff(self.ends, prepend=0)[which]
+        ends = np.cumsum(sizes)
+        return Lists(self.flat[np.repeat(self.ends[which] - ends, sizes) + np.arange(ends[-1] if len(ends) else 0)], ends)
+
+    def grouped(self, until: np.ndarray) -> Lists:
+        """Joined lists: the first until[0], then those up to until[1] and so on."""
+        return Lists(self.flat, np.concatenate([[0], self.ends])[until])
+
+    def as_bytes(self) -> list[bytes]:
+        raw, ends = self.flat.astype("<u4").tobytes(), (4 * self.ends).tolist()
+        return [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+
+def _divided(ids: list[int], table: list[bytes], size: np.ndarray, want: list[bytes]) -> Lists | None:
+    """The ids of each wanted text, of those of all; None where the tokens don't spell them or span two of them."""
+    if b"".join(map(table.__getitem__, ids)) != b"".join(want):
+        return None
+    flat, ends = np.array(ids, np.uint32), np.cumsum(list(map(len, want)))
+    until = np.cumsum(size[flat])
+    last = np.searchsorted(until, ends)
+    return Lists(flat, last + 1) if np.array_equal(until[last], ends) else None
+
+
+def _numbering(names: list[str]) -> defaultdict[str, int]:
+    """Each name's number; a name that is not there yet gets the next one."""
+    numbers = defaultdict(None, zip(names, range(len(names)), strict=True))
+    numbers.default_factory = numbers.__len__
+    return numbers
+
+
 class Vocabularies:
-    """Two tokenizers with the bytes of their tokens, and the pieces that were encoded lately."""
+    """Two tokenizers with the bytes of their tokens, and the pieces that are kept, with their ids."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -82,56 +131,86 @@ class Vocabularies:
             raise ValueError("a vocabulary whose pieces hold blanks only in front is needed")
         self.len_a = np.array(list(map(len, self.bytes_a)), np.int64)
         self.len_b = np.array(list(map(len, self.bytes_b)), np.int64)
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
-        self.older: dict[str, tuple[bytes, bytes] | None] = {}
+        self.known, self.uses, self.spelt, self.letters = _numbering([]), np.empty(0, np.int64), np.empty(0, bool), 0
+        self.ids = [Lists(np.empty(0, np.uint32), np.empty(0, np.int64)) for _ in "AB"]
+
+    def _both(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """A's and B's ids of a blank and each text."""
+        a = self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)
+        return [e.ids for e in a], self.b.encode(texts, num_threads=1)
 
     def _encode(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
         """Ids of each text, as both vocabularies encode a blank and it; None where the tokens don't spell these bytes."""
         want = [f" {t}".encode() for t in texts]
-        a = [e.ids for e in self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
-        both = [self._spelt(ids, table, want) for ids, table in ((a, self.bytes_a), (self.b.encode(texts, num_threads=1), self.bytes_b))]
+        both = [self._spelt(ids, table, want) for ids, table in zip(self._both(texts), (self.bytes_a, self.bytes_b), strict=True)]
         return [x if None not in x else None for x in zip(*both, strict=True)]
 
     @staticmethod
     def _spelt(ids: list[list[int]], table: list[bytes], want: list[bytes]) -> list[bytes | None]:
         """Each list of ids as bytes; None where its tokens don't spell what is wanted."""
-        flat = list(chain.from_iterable(ids))
-        spelling = list(map(table.__getitem__, flat))
-        raw, ends = np.array(flat, "<u4").tobytes(), list(accumulate(map(len, ids)))
-        whole, begins = b"".join(spelling) == b"".join(want), [0, *ends[:-1]]
-        if whole:  # then the lengths decide
-            until = np.concatenate([[0], np.cumsum(list(map(len, spelling)), dtype=np.int64)])[ends]
-            same = np.diff(until, prepend=0) == list(map(len, want))
-        else:
-            same = [b"".join(spelling[i:j]) == w for i, j, w in zip(begins, ends, want, strict=True)]
-        return [raw[4 * i : 4 * j] if ok else None for i, j, ok in zip(begins, ends, same, strict=True)]
+        return [np.array(x, "<u4").tobytes() if b"".join(map(table.__getitem__, x)) == w else None for x, w in zip(ids, want, strict=True)]
+
+    def _encode_new(self, new: list[str]) -> tuple[list[Lists], np.ndarray]:
+        """A's and B's ids of each piece, and whether both spell it (if not, it has none).
+
+        A piece that ends with a letter may be followed by another one's blank, so such pieces are encoded together; they are
+        encoded alone where the whole does not spell them.
+        """
+        together, alone = [], []
+        for i, p in enumerate(new):
+            (together if p and len(p) <= PIECE and not p[-1].isspace() and "▁" not in p else alone).append(i)
+        blocks = [together[i : i + TOGETHER] for i in range(0, len(together), TOGETHER)]
+        order, parts = [], ([], [])
+        for block, *both in zip(blocks, *self._both([" ".join([new[i] for i in block]) for block in blocks]), strict=True):
+            want = [f" {new[i]}".encode() for i in block]
+            found = [_divided(ids, table, size, want) for ids, table, size in zip(both, (self.bytes_a, self.bytes_b), (self.len_a, self.len_b), strict=True)]
+            if None in found:
+                alone += block
+            else:
+                order += block
+                for part, x in zip(parts, found, strict=True):
+                    part.append(x)
+        spelt = np.ones(len(new), bool)
+        for at in range(0, len(alone), 4096):
+            block = alone[at : at + 4096]
+            found = self._encode([new[i] for i in block])
+            spelt[block] = [x is not None for x in found]
+            order += block
+            for k, part in enumerate(parts):
+                raw = [x[k] if x else b"" for x in found]
+                part.append(Lists(np.frombuffer(b"".join(raw), "<u4"), np.cumsum([len(x) // 4 for x in raw])))
+        place = np.empty(len(new), np.int64)
+        place[order] = np.arange(len(new))
+        return [Lists.of(part).take(place) for part in parts], spelt
+
+    def _forget(self) -> None:
+        """Keep the pieces that were used most."""
+        names = list(self.known)
+        short = np.flatnonzero(np.array(list(map(len, names))) <= PIECE)
+        stay = np.sort(short[np.argsort(-self.uses[short], kind="stable")[:CACHE_PIECES]])
+        names = list(map(names.__getitem__, stay.tolist()))
+        self.known, self.uses, self.spelt, self.letters = _numbering(names), self.uses[stay] // 2, self.spelt[stay], sum(map(len, names))
+        self.ids = [x.take(stay) for x in self.ids]
 
     def encode_texts(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         """A's and B's ids of each text, as little-endian unsigned 32-bit integers; both empty where it has no tokens."""
-        if len(self.known) > CACHE_PIECES:
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        split = [pieces(t) if t else [] for t in texts]
-        new = []
-        for p in set().union(*split):
-            if p not in known:
-                if p in older:
-                    known[p] = older[p]
-                else:
-                    new.append(p)
-        long = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for p, ids in zip(part, self._encode(part), strict=True):
-                (known if len(p) <= PIECE else long)[p] = ids
-        out = []
-        for text, parts in zip(texts, split, strict=True):
-            ids = [known[p] if p in known else long[p] for p in parts]
-            if None in ids:  # what the pieces spell differs; the whole decides
-                (whole,) = self._encode([text])
-                out.append(whole or (b"", b""))
-            else:
-                out.append((b"".join([a for a, _ in ids]), b"".join([b for _, b in ids])))
+        if len(self.known) > 2 * CACHE_PIECES or self.letters > CACHE_LETTERS:
+            self._forget()
+        split, before = [pieces(t) if t else [] for t in texts], len(self.known)
+        until = np.cumsum(list(map(len, split)), dtype=np.int64)
+        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        new = list(islice(self.known, before, None))
+        if new:
+            ids, spelt = self._encode_new(new)
+            self.ids = [Lists.of(x) for x in zip(self.ids, ids, strict=True)]
+            self.spelt, self.letters = np.append(self.spelt, spelt), self.letters + sum(map(len, new))
+        uses = np.bincount(which, minlength=len(self.known))
+        uses[:before] += self.uses
+        self.uses = uses
+        out = list(zip(*(x.take(which).grouped(until).as_bytes() for x in self.ids), strict=True))
+        for i in np.unique(np.searchsorted(until, np.flatnonzero(~self.spelt[which]), side="right")).tolist():
+            (whole,) = self._encode([texts[i]])  # what the pieces spell differs; the whole decides
+            out[i] = whole or (b"", b"")
         return out
 
 
@@ -154,13 +233,16 @@ class Alignment:
 def align(size_a: np.ndarray, size_b: np.ndarray) -> Alignment:
     """The alignment of two divisions of the same bytes, given as the lengths of their tokens."""
     ends_a, ends_b = np.cumsum(size_a), np.cumsum(size_b)
-    cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    first = np.searchsorted(ends_b, ends_a - size_a, side="right")
-    times = np.searchsorted(ends_b, ends_a, side="left") - first + 1
+    mark_a, mark_b = (np.zeros(1 + (ends[-1] if len(ends) else 0), bool) for ends in (ends_a, ends_b))
+    mark_a[ends_a] = mark_b[ends_b] = True
+    common_a, common_b = mark_b[ends_a], mark_a[ends_b]
+    ended = np.cumsum(mark_b, dtype=np.int32)  # tokens of B that end at a place or before it
+    first = ended[ends_a - size_a].astype(np.int64)
+    times = ended[ends_a - 1] - first + 1
     links = np.cumsum(times)
     link_a = np.repeat(np.arange(len(size_a)), times)
     link_b = np.arange(links[-1] if len(links) else 0) + np.repeat(first - links + times, times)
-    return Alignment(cuts, np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b), link_a, link_b)
+    return Alignment(ends_a[common_a], np.cumsum(common_a) - common_a, np.cumsum(common_b) - common_b, link_a, link_b)
 
 
 def _joined(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -240,15 +322,19 @@ class _Spelling:
         self.shift = n_a + n_b
         self.n_a = n_a
         numbers = [*map(str, range(n_a)), *map(str, range(n_b))]
-        self.parts = [n + "," for n in numbers] + [n + "|" for n in numbers[:n_a]] + [n + ";" for n in numbers[n_a:]]
+        parts = [n + "," for n in numbers] + [n + "|" for n in numbers[:n_a]] + [n + ";" for n in numbers[n_a:]]
+        self.parts, self.sizes = np.array(parts, "S"), np.array(list(map(len, parts)))
 
-    def spell(self, ids_a: np.ndarray, ids_b: np.ndarray, found: Alignment) -> list[str]:
-        """Each token, in the order of groups and A before B, with the sign that follows it."""
-        side = np.concatenate([found.group_a * 2, found.group_b * 2 + 1])
-        order = np.argsort(side, kind="stable")
-        last = np.append(np.diff(side[order]) != 0, True)
-        token = np.concatenate([ids_a, ids_b + self.n_a])[order] + last * self.shift
-        return list(map(self.parts.__getitem__, token.tolist()))
+    def spell(self, ids_a: np.ndarray, ids_b: np.ndarray, found: Alignment, ends: np.ndarray) -> list[str]:
+        """Each token, in the order of groups and A before B, with the sign that follows it; divided where documents end."""
+        last_a, last_b = (np.append(np.diff(group) != 0, True)[: len(group)] for group in (found.group_a, found.group_b))
+        token = np.empty(len(ids_a) + len(ids_b), np.int64)
+        until_a, until_b = np.flatnonzero(last_a) + 1, np.append(0, np.flatnonzero(last_b) + 1)
+        token[np.arange(len(ids_a)) + until_b[found.group_a]] = ids_a + last_a * self.shift
+        token[np.arange(len(ids_b)) + until_a[found.group_b]] = ids_b + self.n_a + last_b * self.shift
+        text = self.parts[token].tobytes().translate(None, b"\0").decode("ascii")
+        until = np.append(0, np.cumsum(self.sizes[token]))[ends].tolist()
+        return [text[i : max(i, j - 1)] for i, j in zip([0, *until], until, strict=False)]
 
 
 @lru_cache(maxsize=2)
@@ -270,8 +356,7 @@ def _aligned(rows: pa.Table, counts: pa.Table, paths: tuple[str, str]) -> pa.Tab
     ends_links = np.searchsorted(found.link_a, ends_a)
     by_doc = lambda x, ends: np.diff(until(x)[ends], prepend=0)
     ends_groups = np.concatenate([[0], found.group_a + 1])[ends_a]
-    spelt, ends_tokens = _spelling(len(v.bytes_a), len(v.bytes_b)).spell(a, b, found), ends_a + ends_b
-    groups = ["".join(spelt[i:j])[:-1] for i, j in zip(np.concatenate([[0], ends_tokens[:-1]]).tolist(), ends_tokens.tolist(), strict=True)]
+    groups = _spelling(len(v.bytes_a), len(v.bytes_b)).spell(a, b, found, ends_a + ends_b)
     totals = [np.diff(ends_groups, prepend=0), np.diff(ends_links, prepend=0), by_doc(counts["best"].to_numpy()[at].astype(np.int64), ends_links), by_doc(counts["links"].to_numpy()[at], ends_links)]
     give_back()
     return pa.table([rows["doc_id"], rows["a_ids"], rows["b_ids"], pa.array(groups, pa.string()), *(pa.array(t, pa.int64()) for t in totals)], [c.split()[0] for c in ALIGNED.split(", ")])

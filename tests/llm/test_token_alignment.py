@@ -99,3 +99,45 @@ def test_counts_over_many_batches(spark, paths, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted((r.doc_id, r.n_best, r.count_sum) for r in ta.aligned(df, *paths).collect())
     assert got == sorted((r[0], r[5], r[6]) for r in brute(rows, paths))
+
+
+class Counting:
+    """A library's encoder that counts the texts that it is given."""
+
+    def __init__(self, encoder):
+        self.encoder, self.texts = encoder, 0
+
+    def __getattr__(self, name):
+        def call(texts, **options):
+            self.texts += len(texts)
+            return getattr(self.encoder, name)(texts, **options)
+
+        return call
+
+
+def test_new_pieces_are_encoded_together(paths):
+    rng, v, whole = random.Random(5), ta.Vocabularies(*paths), Whole(paths)
+    texts = [" ".join("".join(rng.choices("abcdeéß.,\n'", k=rng.randint(1, 12))) for _ in range(200)) for _ in range(40)]
+    texts += ["a▁b c", "ends with a blank ", "and a line\n", "\n \nx", "w" * 500 + " y"]
+    v.a, v.b = Counting(v.a), Counting(v.b)
+    got = v.encode_texts(texts)
+    for text, (a, b) in zip(texts, got, strict=True):
+        want_a, want_b = whole.tokens(text)
+        assert (np.frombuffer(a, "<u4").tolist(), np.frombuffer(b, "<u4").tolist()) == ([i for i, _ in want_a], [i for i, _ in want_b]), repr(text)
+    distinct = len({p for t in texts for p in ta.pieces(t)})
+    assert distinct > 5000
+    assert max(v.a.texts, v.b.texts) < distinct / 3, "pieces that end with a letter are encoded as one text with others"
+
+
+def test_forgotten_pieces_change_nothing(paths, monkeypatch):
+    rng, texts = random.Random(7), [None, "", "x▁y"]
+    texts += [" ".join("".join(rng.choices("abcé\n.", k=rng.choice([1, 2, 3, 90]))) for _ in range(30)) for _ in range(60)]
+    want = ta.Vocabularies(*paths).encode_texts(texts)
+    for name, bound in (("CACHE_PIECES", 40), ("CACHE_LETTERS", 200)):
+        with monkeypatch.context() as m:
+            m.setattr(ta, name, bound)
+            v = ta.Vocabularies(*paths)
+            assert [x for i in range(0, len(texts), 3) for x in v.encode_texts(texts[i : i + 3])] == want
+            v._forget()
+            assert len(v.known) == len(v.uses) == len(v.spelt) == len(v.ids[0].ends) == len(v.ids[1].ends)
+            assert len(v.known) <= ta.CACHE_PIECES and max(map(len, v.known)) <= ta.PIECE
